@@ -135,10 +135,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, sequence: int = SEQUENCE
                         at += len(x)
                     index.write_batch(pa.record_batch([ids, pa.array(starts, pa.int64()), pa.array(ns, pa.int64())], schema=index_schema))
             out.close()
-        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name + ".arrows"], "index": [name + ".docs.arrows"], "n": [at]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name + ".arrows"], "doc_file": [name + ".docs.arrows"], "n": [at]})
 
-    done = ordered.mapInArrow(run, "part long, file string, index string, n long").collect()
-    return [(r.file, r.index, r.n) for r in sorted(done)]
+    done = ordered.mapInArrow(run, "part long, file string, doc_file string, n long").collect()
+    return [(r.file, r.doc_file, r.n) for r in sorted(done)]
 
 
 def read_digests(spark, parts: list[tuple[str, str, int]]) -> DataFrame:
