@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, token_files
+from . import jaccard_join, packing, sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": packing.query,
+        "op6_jaccard_join": jaccard_join.query,
         "op8_token_files": token_files.query,
         "op9_sharding": sharding.query,
     }
