@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, sharding, token_files
+from . import jaccard_join, packing, quality, sharding, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.query,
         "op2_packing": packing.query,
         "op6_jaccard_join": jaccard_join.query,
         "op8_token_files": token_files.query,
         "op9_sharding": sharding.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
