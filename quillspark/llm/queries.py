@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language, packing, quality, secrets, sharding, token_files, toxicity
+from . import decontamination, jaccard_join, language, packing, privacy, quality, secrets, sharding, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.query,
         "op2_packing": packing.query,
         "op3_secrets": secrets.query,
+        "op4_privacy": privacy.query,
         "op5_decontamination": decontamination.query,
         "op6_jaccard_join": jaccard_join.query,
         "op7_language": language.query,
