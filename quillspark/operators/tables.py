@@ -5,6 +5,7 @@ Where the order of rows matters it is an argument, so results don't depend on pa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -92,13 +93,19 @@ def bind_columns(left: DataFrame, right: DataFrame, left_order: Keys, right_orde
 
 
 def positioned(df: DataFrame, order: Keys, name: str = "_position") -> DataFrame:
-    """Consecutive numbers from 0 in the order: rank within a value of the first column plus the
-    rows of all smaller values, which are counted by that value."""
-    first = order[0]
-    per = df.groupBy(first).agg(F.count("*").alias("_n"))
-    before = per.select(F.col(first).alias("_k"), (F.sum("_n").over(Window.orderBy(F.col(first).asc_nulls_first())) - F.col("_n")).alias("_before"))
-    w = Window.partitionBy(first).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w) - 1).join(before, F.col(first).eqNullSafe(F.col("_k"))).withColumn(name, F.col("_rank") + F.col("_before")).drop("_rank", "_before", "_k")
+    """Consecutive numbers from 0 in the order. Rows are dealt to ranges of the order and stored,
+    numbered within each range, and shifted by the sizes of the ranges before; there are only as
+    many sizes as ranges, and no task holds all rows."""
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    path = f"{top.rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_rank", rank).join(F.broadcast(before), "_range").withColumn(name, F.col("_rank") + F.col("_before")).drop("_rank", "_before", "_range")
 
 
 def containing(docs: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:

@@ -62,12 +62,12 @@ register("JN6", "SELECT c_custkey, s_suppkey FROM customer LEFT JOIN supplier ON
 register("JN7", "SELECT a.o_orderkey, b.o_totalprice AS pointed FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_orderkey")(lambda s, d: (lambda a, b: a.join(b, F.col("o_custkey") == F.col("k"), "left").select("o_orderkey", "pointed"))(table(s, d, "orders"), table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("pointed"))))
 register("JN8", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")(lambda s, d: table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name"))
 register("JN9", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")(lambda s, d: table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"))
-register("JN10", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")(lambda s, d: tb.not_in_any(table(s, d, "customer"), (table(s, d, "orders").where("o_totalprice > 200000"), "c_custkey", "o_custkey")).select("c_custkey"))
+register("JN10", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")(lambda s, d: tb.not_in_any(table(s, d, "customer"), (table(s, d, "orders").where("o_totalprice > 400000"), "c_custkey", "o_custkey")).select("c_custkey"))
 register("JN11", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.095)")(lambda s, d: (lambda l: tb.not_in_any(table(s, d, "part"), (l.where("l_quantity > 49"), "p_partkey", "l_partkey"), (l.where("l_discount > 0.095"), "p_partkey", "l_partkey")).select("p_partkey"))(table(s, d, "lineitem")))
 register("JN12", "WITH a AS (SELECT c_nationkey AS k, count(*) AS n_customers FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS n_suppliers FROM supplier GROUP BY 1) SELECT k, coalesce(n_customers, 0) AS n_customers, coalesce(n_suppliers, 0) AS n_suppliers FROM a FULL JOIN b USING (k)")(lambda s, d: tb.full_with_zero(table(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n_customers")), table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n_suppliers")), ["k"], ["n_customers", "n_suppliers"]))
 register("JN13", "SELECT r_name, t AS threshold FROM region CROSS JOIN (SELECT unnest([0.5::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS t)")(lambda s, d: table(s, d, "region").select("r_name", F.explode(F.array(F.lit(0.5), F.lit(0.6), F.lit(0.8))).alias("threshold")))
 register("JN14", "WITH a AS (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS p FROM region), b AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) SELECT r_name, n_name FROM a JOIN b USING (p)")(lambda s, d: tb.bind_columns(table(s, d, "region"), table(s, d, "nation"), ["r_regionkey"], ["n_nationkey"]).select("r_name", "n_name"))
-register("JN15", "WITH t AS (SELECT DISTINCT lower(p_name) AS term FROM part WHERE p_partkey < 40), q AS (SELECT p_partkey, ' ' || trim(regexp_replace(lower(p_name || ' ' || p_type), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS x FROM part) SELECT p_partkey, term FROM q JOIN t ON contains(x, ' ' || term || ' ')")(lambda s, d: (lambda p: tb.containing(p.withColumn("x", F.concat_ws(" ", "p_name", "p_type")), "x", p.where("p_partkey < 40").select(F.col("p_name").alias("term")), "term").select("p_partkey", "term"))(table(s, d, "part")))
+register("JN15", "WITH t AS (SELECT DISTINCT lower(p_name) AS term FROM part), q AS (SELECT p_partkey, ' ' || trim(regexp_replace(lower(p_name || ' ' || p_type), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS x FROM part) SELECT p_partkey, term FROM q JOIN t ON contains(x, ' ' || term || ' ')")(lambda s, d: (lambda p: tb.containing(p.withColumn("x", F.concat_ws(" ", "p_name", "p_type")), "x", p.select(F.col("p_name").alias("term")), "term").select("p_partkey", "term"))(table(s, d, "part")))
 register("JN16", "SELECT a.s_suppkey, b.c_custkey FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey AND 1 - levenshtein(right(a.s_name, 9), right(b.c_name, 9)) / 9.0 >= 0.88")(lambda s, d: table(s, d, "supplier").join(table(s, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey")).where(tx.similarity(F.expr("right(s_name, 9)"), F.expr("right(c_name, 9)")) >= 0.88).select("s_suppkey", "c_custkey"))
 register("JN18", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'houses' WHEN 'MACHINERY' THEN 'machines' END AS common FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", F.element_at(F.create_map(F.lit("BUILDING"), F.lit("houses"), F.lit("MACHINERY"), F.lit("machines")), F.col("c_mktsegment")).alias("common")))
 register("JN19", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")(lambda s, d: table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name"))

@@ -24,9 +24,11 @@ register("STR2", f"WITH {DOCS} SELECT id, {_PRE.format(c='abstract')} AS pre FRO
 register("STR3", f"WITH {DOCS} SELECT id, len({_TOK.format(c='abstract')}) AS n FROM docs")(lambda s, d: docs(s, d).select("id", F.size(tx.tokens(F.col("abstract"))).cast("long").alias("n")))
 register("STR4", f"WITH {DOCS}, w AS (SELECT id, unnest({_WORDS.format(c='abstract')}) AS word FROM docs) SELECT id, word, count(*) AS n FROM w GROUP BY 1, 2")(lambda s, d: docs(s, d).select("id", F.explode(tx.words(F.col("abstract"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n")))
 register("STR5", f"WITH {DOCS}, w AS (SELECT id, {_WORDS.format(c='abstract')} AS t FROM docs), b AS (SELECT id, unnest({_BI.format(t='t')}) AS bigram FROM w) SELECT bigram, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 3")(lambda s, d: docs(s, d).select(F.explode(tx.ngrams(tx.words(F.col("abstract")), 2)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n")).where("n >= 3"))
-_CAND = f"WITH {DOCS}, t AS (SELECT id, abstract, {_TOK.format(c=_PRE.format(c='abstract'))} AS t FROM docs), c AS (SELECT id, list_distinct(list_transform(regexp_extract_all(abstract, '\\b([A-Z][a-z]+\\s+[a-z]+)\\b', 1) || regexp_extract_all(abstract, '\\b([A-Z]\\.\\s+[a-z]+)\\b', 1) || CASE WHEN len(t) BETWEEN 2 AND 50 THEN list_filter({_BI.format(t='t')}, lambda x: length(x) > 5 AND length(x) < 40) ELSE [] END, lambda x: lower(regexp_replace(x, '\\s+', ' ', 'g')))) AS c FROM t)"
-_en = lambda s, d: docs(s, d).where("lang = 'en'")
-register("STR6", _CAND.replace("FROM documents)", "FROM documents WHERE lang = 'en')") + " SELECT id, len(c) AS n, array_to_string(list_sort(c), '|') AS names FROM c")(lambda s, d: _en(s, d).select("id", tx.candidate_names(F.col("abstract")).alias("c")).select("id", F.size("c").cast("long").alias("n"), F.array_join(F.sort_array("c"), "|").alias("names")))
+#: Letters beyond ASCII are masked where word bounds matter: engines differ in what bounds they make.
+_ASCII = DOCS.replace("text AS abstract", "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS abstract")
+_ascii = lambda s, d: docs(s, d).withColumn("abstract", F.regexp_replace("abstract", r"[^\x00-\x7F]", "_"))
+_CAND = f"WITH {_ASCII}, t AS (SELECT id, abstract, {_TOK.format(c=_PRE.format(c='abstract'))} AS t FROM docs), c AS (SELECT id, list_distinct(list_transform(regexp_extract_all(abstract, '\\b([A-Z][a-z]+\\s+[a-z]+)\\b', 1) || regexp_extract_all(abstract, '\\b([A-Z]\\.\\s+[a-z]+)\\b', 1) || CASE WHEN len(t) BETWEEN 2 AND 50 THEN list_filter({_BI.format(t='t')}, lambda x: length(x) > 5 AND length(x) < 40) ELSE [] END, lambda x: lower(regexp_replace(x, '\\s+', ' ', 'g')))) AS c FROM t)"
+register("STR6", _CAND + " SELECT id, len(c) AS n, array_to_string(list_sort(c), '|') AS names FROM c")(lambda s, d: _ascii(s, d).select("id", tx.candidate_names(F.col("abstract")).alias("c")).select("id", F.size("c").cast("long").alias("n"), F.array_join(F.sort_array("c"), "|").alias("names")))
 register("STR8", "SELECT p_partkey, upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) AS name FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", tx.correct_capitalization(F.col("p_name")).alias("name")))
 _KEYS = ["ring", "the an", "PCR", "schein", "aux"]
 register("STR9", f"WITH {DOCS} SELECT id, regexp_matches(lower(abstract), '{'|'.join(_KEYS)}') AS hit FROM docs")(lambda s, d: docs(s, d).select("id", tx.has_any(F.col("abstract"), _KEYS).alias("hit")))
@@ -34,13 +36,13 @@ _CATS = {"molecular": ["the", "heit"], "culture": ["ment", "schein"], "ecology":
 _FLAG = ", ".join(f"regexp_matches(lower(abstract), '{'|'.join(v)}') AS {k}_methods" for k, v in _CATS.items())
 register("STR10", f"WITH {DOCS} SELECT id, {_FLAG}, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(lower(abstract), {chr(39)}{chr(124).join(v)}{chr(39)}) THEN {chr(39)}{k}{chr(39)} END' for k, v in _CATS.items())}], lambda x: x IS NOT NULL), '; ') AS methods_summary FROM docs")(lambda s, d: ex.methods(docs(s, d), "abstract", _CATS).select("id", *[f"{k}_methods" for k in _CATS], "methods_summary"))
 _SIMPLE = ["the", "and", "la", "le", "der"]
-register("STR11", f"WITH {DOCS} SELECT id, array_to_string(regexp_extract_all(lower(abstract), '\\b(the|and|la|le|der)\\b', 1), ' ') AS found FROM docs WHERE lang = 'en'")(lambda s, d: _en(s, d).select("id", F.array_join(tx.extract_words(F.col("abstract"), _SIMPLE), " ").alias("found")))
+register("STR11", f"WITH {_ASCII} SELECT id, array_to_string(regexp_extract_all(lower(abstract), '\\b(the|and|la|le|der)\\b', 1), ' ') AS found FROM docs")(lambda s, d: _ascii(s, d).select("id", F.array_join(tx.extract_words(F.col("abstract"), _SIMPLE), " ").alias("found")))
 register("STR12", f"WITH {DOCS} SELECT id, array_to_string(list_filter(['root hair', 'of the', 'th'], lambda x: contains(lower(abstract), x)), '; ') AS found FROM docs")(lambda s, d: docs(s, d).select("id", F.array_join(tx.contained(F.col("abstract"), ["root hair", "of the", "th"]), "; ").alias("found")))
 register("STR13", "WITH w AS (SELECT p_partkey, split_part(p_name, ' ', 2) || 's' AS w FROM part) SELECT p_partkey, CASE w WHEN 'boxs' THEN 'case' ELSE CASE WHEN w LIKE '%ies' THEN regexp_replace(w, 'ies$', 'y') WHEN w LIKE '%ves' THEN regexp_replace(w, 'ves$', 'f') WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN regexp_replace(w, 's$', '') ELSE w END END AS one FROM w")(lambda s, d: table(s, d, "part").select("p_partkey", ex.singular(F.concat(F.split("p_name", " ")[1], F.lit("s")), {"boxs": "case"}).alias("one")))
 register("STR14", "SELECT n_nationkey, CASE lower(trim(n_name)) WHEN 'nation_1' THEN 'Nation One' WHEN 'nation_2' THEN 'Nation Two' ELSE upper(substr(trim(n_name), 1, 1)) || lower(substr(trim(n_name), 2)) END AS country FROM nation")(lambda s, d: table(s, d, "nation").select("n_nationkey", ex.standard_country(F.col("n_name"), ["Nation Two"], {"NATION_1": "Nation One", "NATION_2": "Nation Two"}).alias("country")))
 register("STR20", f"WITH {DOCS} SELECT id, array_to_string(list_distinct(regexp_extract_all(lower(abstract), '\\b(the)\\b', 1)), '; ') AS found FROM docs")(lambda s, d: docs(s, d).select("id", F.array_join(F.array_distinct(tx.extract_words(F.col("abstract"), ["the"])), "; ").alias("found")))
 _WEIGHTED = {"strong": (4, ["of the", "and the"]), "weak": (1, ["the", "in * of"])}
-register("STR23", f"WITH {DOCS} SELECT id, CAST(regexp_matches(lower(abstract), '\\bof\\s+the\\b')::INT * 4 + regexp_matches(lower(abstract), '\\band\\s+the\\b')::INT * 4 + regexp_matches(lower(abstract), '\\bthe\\b')::INT + regexp_matches(lower(abstract), '\\bin\\s+.*?\\s+of\\b')::INT AS BIGINT) AS score FROM docs WHERE lang = 'en'")(lambda s, d: _en(s, d).select("id", tx.phrase_score(F.col("abstract"), _WEIGHTED).cast("long").alias("score")))
+register("STR23", f"WITH {_ASCII} SELECT id, CAST(regexp_matches(lower(abstract), '\\bof\\s+the\\b')::INT * 4 + regexp_matches(lower(abstract), '\\band\\s+the\\b')::INT * 4 + regexp_matches(lower(abstract), '\\bthe\\b')::INT + regexp_matches(lower(abstract), '\\bin\\s+.*?\\s+of\\b')::INT AS BIGINT) AS score FROM docs")(lambda s, d: _ascii(s, d).select("id", tx.phrase_score(F.col("abstract"), _WEIGHTED).cast("long").alias("score")))
 register("STR26", f"WITH {DOCS} SELECT id, regexp_matches(lower(abstract), '\\bof\\s+the\\b') AS hit FROM docs")(lambda s, d: docs(s, d).select("id", F.lower("abstract").rlike(tx.phrase_pattern("Of The")).alias("hit")))
 register("STR30", "SELECT p_partkey, p_name LIKE 's%' AS s, p_name LIKE '%ring' AS e, contains(p_name, 'a') AS c, lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded, replace(p_name, ' ', '') AS squished FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", F.startswith("p_name", F.lit("s")).alias("s"), F.endswith("p_name", F.lit("ring")).alias("e"), F.contains("p_name", F.lit("a")).alias("c"), F.lpad(F.col("p_size").cast("string"), 4, "0").alias("padded"), F.replace("p_name", F.lit(" "), F.lit("")).alias("squished")))
 register("STR31", "SELECT o_orderkey, CAST(o_orderkey * 12345 AS BIGINT) AS n FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", tx.leading_count(F.concat(F.format_number(F.col("o_orderkey") * 12345, 0), F.lit(" species"))).alias("n")))
@@ -90,22 +92,22 @@ register("ML23", "SELECT quality, count(*) AS n, round(100.0 * count(*) / sum(co
 register("AN17", f"WITH {CLASSES} SELECT CASE WHEN conf IS NULL THEN 'Unknown' WHEN conf >= 0.9 THEN 'Very High' WHEN conf >= 0.8 THEN 'High' WHEN conf >= 0.7 THEN 'Medium' WHEN conf >= 0.6 THEN 'Low' ELSE 'Very Low' END AS band, count(*) AS n FROM classes GROUP BY 1")(lambda s, d: classes(s, d).groupBy(md.confidence_band(F.col("conf")).alias("band")).agg(F.count("*").alias("n")))
 
 # --- extraction -------------------------------------------------------------------------------
-#: A taxonomy from the parts: names, a fifth of them synonyms of the part before.
-_TAX = "tax AS (SELECT p_partkey AS taxonID, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS canonicalName, CASE WHEN p_partkey % 5 = 4 THEN 'synonym' ELSE 'accepted' END AS taxonomicStatus, CASE WHEN p_partkey % 5 = 4 THEN p_partkey - 1 END AS acceptedNameUsageID, CASE WHEN p_size > 25 THEN 'Plantae' ELSE 'Fungi' END AS kingdom, p_brand AS phylum, p_type AS family, split_part(p_name, ' ', 1) AS genus FROM part WHERE p_partkey < 60)"
+#: A taxonomy from the parts: names, a fifth of them synonyms of the first.
+_TAX = "one AS (SELECT min(p_partkey) AS k FROM part GROUP BY p_name), tax AS (SELECT p_partkey AS taxonID, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS canonicalName, CASE WHEN p_partkey % 5 = 4 THEN 'synonym' ELSE 'accepted' END AS taxonomicStatus, CASE WHEN p_partkey % 5 = 4 THEN 0 END AS acceptedNameUsageID, CASE WHEN p_size > 25 THEN 'Plantae' ELSE 'Fungi' END AS kingdom, p_brand AS phylum, p_type AS family, split_part(p_name, ' ', 1) AS genus FROM part JOIN one ON p_partkey = k)"
 
 
 def _taxonomy(s, d):
-    return table(s, d, "part").where("p_partkey < 60").select(F.col("p_partkey").alias("taxonID"), F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substr(p_name, 2)")).alias("canonicalName"), F.expr("if(p_partkey % 5 = 4, 'synonym', 'accepted')").alias("taxonomicStatus"), F.expr("if(p_partkey % 5 = 4, p_partkey - 1, null)").alias("acceptedNameUsageID"), F.expr("if(p_size > 25, 'Plantae', 'Fungi')").alias("kingdom"), F.col("p_brand").alias("phylum"), F.col("p_type").alias("family"), F.split("p_name", " ")[0].alias("genus"))
+    return tb.first_by(table(s, d, "part"), ["p_name"], ["p_partkey"]).select(F.col("p_partkey").alias("taxonID"), F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substr(p_name, 2)")).alias("canonicalName"), F.expr("if(p_partkey % 5 = 4, 'synonym', 'accepted')").alias("taxonomicStatus"), F.expr("if(p_partkey % 5 = 4, 0L, null)").alias("acceptedNameUsageID"), F.expr("if(p_size > 25, 'Plantae', 'Fungi')").alias("kingdom"), F.col("p_brand").alias("phylum"), F.col("p_type").alias("family"), F.split("p_name", " ")[0].alias("genus"))
 
 
 _ACC = "acc AS (SELECT lower(canonicalName) AS name, canonicalName AS resolved_name, kingdom, phylum, family, genus FROM tax WHERE taxonomicStatus = 'accepted'), syn AS (SELECT DISTINCT ON (lower(a.canonicalName)) lower(a.canonicalName) AS name, b.canonicalName AS resolved_name, b.kingdom, b.phylum, b.family, b.genus FROM tax a JOIN tax b ON a.acceptedNameUsageID = b.taxonID AND b.taxonomicStatus = 'accepted' WHERE a.taxonomicStatus <> 'accepted' ORDER BY lower(a.canonicalName), a.taxonID)"
 _VALID = "SELECT p_name, resolved_name, kingdom, phylum, family, genus, 'ACCEPTED' AS status FROM asked JOIN acc ON lower(p_name) = name UNION ALL SELECT p_name, resolved_name, kingdom, phylum, family, genus, 'SYNONYM' FROM asked JOIN syn ON lower(p_name) = name WHERE lower(p_name) NOT IN (SELECT name FROM acc)"
 register("EXT1", f"WITH {_TAX}, {_ACC} SELECT name, resolved_name FROM syn")(lambda s, d: ex.lookups(_taxonomy(s, d)).synonyms.select("name", "resolved_name"))
 register("EXT2", f"WITH {_TAX}, {_ACC}, asked AS (SELECT DISTINCT p_name FROM part) {_VALID}")(lambda s, d: ex.validated(table(s, d, "part").select("p_name").distinct(), "p_name", ex.lookups(_taxonomy(s, d))).select("p_name", "resolved_name", "kingdom", "phylum", "family", "genus", "status"))
-_TERMS = f"d AS (SELECT p_partkey AS id, {_TOK.format(c=_PRE.format(c='p_name'))} AS t FROM part WHERE p_partkey < 300), terms AS (SELECT DISTINCT id, unnest(t || {_BI.format(t='t')}) AS p_name FROM d)"
+_TERMS = f"d AS (SELECT p_partkey AS id, {_TOK.format(c=_PRE.format(c='p_name'))} AS t FROM part), terms AS (SELECT DISTINCT id, unnest(t || {_BI.format(t='t')}) AS p_name FROM d)"
 _HITS = f"hits AS (SELECT id, 'species' AS match_type, resolved_name, kingdom, phylum, family, genus, status FROM (SELECT id, x.* FROM terms JOIN ({_VALID.replace('asked', '(SELECT DISTINCT p_name FROM terms)')}) x ON terms.p_name = x.p_name) UNION SELECT id, 'genus', genus, kingdom, phylum, family, genus, 'ACCEPTED' FROM terms JOIN (SELECT DISTINCT genus, kingdom, phylum, family FROM acc) ON p_name = lower(genus) UNION SELECT id, 'family', family, kingdom, phylum, family, NULL, 'ACCEPTED' FROM terms JOIN (SELECT DISTINCT kingdom, phylum, family FROM acc) ON p_name = lower(family))"
-_FOUND = f"WITH {_TAX}, {_ACC}, {_TERMS}, {_HITS}, every AS (SELECT * FROM hits UNION ALL SELECT p_partkey, 'none', NULL, NULL, NULL, NULL, NULL, 'NO_MATCH' FROM part WHERE p_partkey < 300 AND p_partkey NOT IN (SELECT id FROM hits))"
-_taxa = lambda s, d: ex.taxa(table(s, d, "part").where("p_partkey < 300").select(F.col("p_partkey").alias("id"), "p_name"), "id", "p_name", ex.lookups(_taxonomy(s, d)))
+_FOUND = f"WITH {_TAX}, {_ACC}, {_TERMS}, {_HITS}, every AS (SELECT * FROM hits UNION ALL SELECT p_partkey, 'none', NULL, NULL, NULL, NULL, NULL, 'NO_MATCH' FROM part WHERE p_partkey NOT IN (SELECT id FROM hits))"
+_taxa = lambda s, d: ex.taxa(table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), "id", "p_name", ex.lookups(_taxonomy(s, d)))
 register("EXT3", f"{_FOUND} SELECT DISTINCT * FROM hits")(lambda s, d: _taxa(s, d).where("match_type <> 'none'"))
 register("EXT4", f"{_FOUND} SELECT * FROM every")(_taxa)
 register("EXT5", f"{_FOUND} SELECT match_type, count(*) AS n FROM every GROUP BY 1")(lambda s, d: tb.counted(_taxa(s, d), "match_type"))
@@ -180,4 +182,4 @@ def _(s, d):
     return fl.checkpointed(tb.counted(table(s, d, "documents"), "lang"), fl.scratch(s, "stage"))
 
 
-register("SNK7", "SELECT '@article{paper' || row_number() OVER (ORDER BY o, k) || ', doi={' || k || '}}' AS value FROM (SELECT CAST(o_custkey AS VARCHAR) AS k, min(o_orderkey) AS o FROM orders WHERE o_custkey < 50 GROUP BY 1)")(lambda s, d: fl.bibtex(table(s, d, "orders").where("o_custkey < 50").select(F.col("o_custkey").cast("string").alias("doi"), "o_orderkey"), "doi", "o_orderkey"))
+register("SNK7", "SELECT '@article{paper' || row_number() OVER (ORDER BY o, k) || ', doi={' || k || '}}' AS value FROM (SELECT CAST(o_custkey AS VARCHAR) AS k, min(o_orderkey) AS o FROM orders GROUP BY 1)")(lambda s, d: fl.bibtex(table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("doi"), "o_orderkey"), "doi", "o_orderkey"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators.tables import bind_rows, present
+from quillspark.operators.tables import bind_rows, positioned, present
 
 
 def files(spark: SparkSession, pattern: str) -> list[str]:
@@ -80,11 +80,8 @@ def markdown(df: DataFrame, most: int = 100) -> str:
 
 def bibtex(df: DataFrame, doi: str, order: str) -> DataFrame:
     """One line of BibTeX per distinct DOI, in a text column."""
-    from pyspark.sql import Window
-
     one = df.where(F.col(doi).isNotNull() & (F.col(doi) != "")).groupBy(doi).agg(F.min(order).alias("_o"))
-    n = F.row_number().over(Window.orderBy("_o", doi))
-    return one.select(F.format_string("@article{paper%d, doi={%s}}", n, F.col(doi)).alias("value"))
+    return positioned(one, ["_o", doi], "_at").select(F.format_string("@article{paper%d, doi={%s}}", F.col("_at") + 1, F.col(doi)).alias("value"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
