@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational, texts  # noqa: F401  (they register their queries)
+from . import more, relational, texts  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL, Query
 
 
