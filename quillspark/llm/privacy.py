@@ -38,12 +38,13 @@ PATTERNS = {
     "card": r"(?<![\d.+-])(?:(?:\d{4}[ -]){3}\d{4}|\d{13,19})(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)",
-    "given": rf"(?<={_BEFORE}(?:{_TITLE})\.? ){_NAME}(?= {_NAME})",
-    "surname": rf"(?<={_BEFORE}(?:{_TITLE})\.? (?:{_NAME} )?){_NAME}",
+    # the capital letter is looked for first: only there is it worth looking back for a title
+    "given": rf"(?=\p{{Lu}})(?<={_BEFORE}(?:{_TITLE})\.? ){_NAME}(?= {_NAME})",
+    "surname": rf"(?=\p{{Lu}})(?<=(?:{_TITLE})\.? )(?<={_BEFORE}(?:{_TITLE})\.? ){_NAME}|(?=\p{{Lu}})(?<=\p{{L}} )(?<={_BEFORE}(?:{_TITLE})\.? {_NAME} ){_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Texts without any of these cannot hold an entity; they are passed by quickly.
-MAYBE = rf"@|\d[\d .()-]{{5}}|[A-Z]{{2}}\d{{2}}|(?:{_TITLE})\.? \p{{Lu}}"
+#: Texts without any of these, an @ or a title cannot hold an entity; they are passed by quickly.
+MAYBE = r"\d[\d .()-]{5}|[A-Z]{2}\d{2}"
 #: Letters of surrogates by script; names are made of syllables of a consonant and a vowel.
 SCRIPTS = {
     r"\p{IsCyrillic}": ("бвгдзклмнпрст", "аеио", "а", "н"),
@@ -155,7 +156,8 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     docs = docs.drop("pii")
     names = docs.columns
     t = F.coalesce(F.col(text), F.lit(""))
-    has = F.expr(f"coalesce(`{text}`, '') rlike {quoted(MAYBE)} and coalesce(`{text}`, '') rlike {quoted(ANY)}")
+    quick = [f"contains(coalesce(`{text}`, ''), {quoted(x)})" for x in ["@", *(t + end for t in _TITLE.split("|") for end in (" ", ". "))]]
+    has = F.expr(f"({' or '.join(quick)} or coalesce(`{text}`, '') rlike {quoted(MAYBE)}) and coalesce(`{text}`, '') rlike {quoted(ANY)}")
     rest = docs.where(~has).withColumn("pii", F.lit(0).cast("long"))
     hits, _ = stored(docs.where(has).withColumn("_pii_row", F.monotonically_increasing_id()).withColumn("_pii_text", t), "entities-texts")
     seen, _ = stored(_found(hits), "occurrences")
