@@ -41,7 +41,42 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def lean(run):
+    """Wrap the function of a ``mapInArrow``: what a worker has freed goes back to the system
+    when a task ends, as idle workers stay beside the executor's own memory."""
+
+    def inner(batches):
+        yield from run(batches)
+        trim()
+
+    return inner
+
+
+def trim() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Rows of a batch sent to Python: whole texts may be long, so batches are small.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to ``BATCH_ROWS`` rows; it only bounds memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -68,7 +103,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """Word (bytes) to a signed 64-bit hash, remembered up to a bound."""
 
-    MOST = 400_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

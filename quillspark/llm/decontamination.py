@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 GRAM = 3
 WORDS = 8
@@ -90,8 +90,8 @@ class _Items:
         """For each place in the lists, whether its n-gram is a seed of its item."""
         of = np.repeat(df, self.last - self.first)
         out = of <= max(1, RARE * n_docs)
-        for i in np.unique(self.owner):
-            mine = np.flatnonzero(self.owner == i) if len(self.ids) < 64 else self._mine(i)
+        for i in range(len(self.ids)):
+            mine = self._mine(i)
             out[mine] |= of[mine] <= np.median(of[mine])
         return out
 
@@ -181,7 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             some = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["k", "n"])
 
-        found = text.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+        found = text.select("text").mapInArrow(lean(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
         by = dict(zip(found.column("k").to_pylist(), found.column("n").to_pylist()))  # at most the block's n-grams
         df = np.zeros(len(items.keys), np.int64)
         for k, n in by.items():
@@ -201,7 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 cols = list(zip(*rows)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "score", "end_word"])
 
-        out = out.union(text.mapInArrow(search, kind))
+        out = out.union(text.mapInArrow(lean(search), kind))
     return out
 
 

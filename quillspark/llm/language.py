@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, table
+from .common import lean, sampled, table
 
 SAMPLE = 20_000
 CELLS = 1 << 15
@@ -76,7 +76,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray] | None:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "cell", "n"])
 
-    sums = some.select("lang", "text").mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    sums = some.select("lang", "text").mapInArrow(lean(count), "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     top = sums.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
     got = sums.join(F.broadcast(top), "lang").select("lang", "cell", "n").toArrow()  # at most CELLS * LANGUAGES rows
     names = sorted(set(got.column("lang").to_pylist()))
@@ -135,7 +135,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(all_, pa.string())], ["doc_id", "held_out", "lang_pred", "score", "languages"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, languages string")
+    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, languages string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import lean, stored, table
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), kind)
 
 
 def fullest(left: dict[int, int], capacity: int) -> dict[int, int]:
@@ -134,7 +134,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
             yield pa.RecordBatch.from_arrays(out, [*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(run, kinds + ", sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run), kinds + ", sequence_id long, offset long")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import lean, new_path
 from .tokens import encoder
 
 END = 2
@@ -137,7 +137,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, sequence: int = SEQUENCE
             out.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name + ".arrows"], "doc_file": [name + ".docs.arrows"], "n": [at]})
 
-    done = ordered.mapInArrow(run, "part long, file string, doc_file string, n long").collect()
+    done = ordered.mapInArrow(lean(run), "part long, file string, doc_file string, n long").collect()
     return [(r.file, r.doc_file, r.n) for r in sorted(done)]
 
 
@@ -158,7 +158,7 @@ def read_digests(spark, parts: list[tuple[str, str, int]]) -> DataFrame:
                         crc = [zlib.crc32(tokens.ids(s, n).astype("<u4").tobytes()) for s, n in zip(starts.to_pylist(), ns.to_pylist())]
                         yield pa.RecordBatch.from_arrays([ids, pa.array(starts.to_numpy() + first), ns, pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return todo.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return todo.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, table
+from .common import lean, sampled, table
 
 SAMPLE = 30_000
 FEATURES = 512
@@ -118,7 +118,7 @@ def train(docs: DataFrame, graded: DataFrame) -> dict | None:
                     yield from out()
         yield from out()
 
-    df = joined.mapInArrow(counts, "word string, grade int, n long").groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.expr("if(grade > 0, n, 0)")).alias("bad")).where(f"n >= {LEAST_DF} or word = ''")
+    df = joined.mapInArrow(lean(counts), "word string, grade int, n long").groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.expr("if(grade > 0, n, 0)")).alias("bad")).where(f"n >= {LEAST_DF} or word = ''")
     totals = df.where("word = ''").first()
     if totals is None or not 0 < totals.bad < totals.n:
         return None
@@ -138,7 +138,7 @@ def train(docs: DataFrame, graded: DataFrame) -> dict | None:
             found = [known.count(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["grade", "at", "n"])
 
-    rows = joined.mapInArrow(features, "grade int, at array<int>, n array<int>").toArrow()
+    rows = joined.mapInArrow(lean(features), "grade int, at array<int>, n array<int>").toArrow()
     at = rows.column("at").combine_chunks()
     row, col = np.repeat(np.arange(rows.num_rows), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()
     value = np.log1p(rows.column("n").combine_chunks().flatten().to_numpy())
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p @ steps), pa.array(p[:, 0]), pa.array(p[:, 0] >= TOXIC)], [*names, "expected_severity", "p_toxic", "toxic"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, kinds + ", expected_severity double, p_toxic double, toxic boolean")
+    return docs.mapInArrow(lean(run), kinds + ", expected_severity double, p_toxic double, toxic boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
