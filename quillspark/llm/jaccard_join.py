@@ -10,9 +10,10 @@
    clusters. Clusters too large for one task are searched as pairs of blocks, after all records
    that are linked to the cluster's smallest record are settled with it.
 4. Within a block pair, DivideSkip: the inverted lists of a record's shingles are split into the
-   longest and the rest; the rest are heap-merged, and records that occur there often enough are
-   probed in the long lists by binary search. Those that reach the overlap are links. Pairs
-   already connected are not searched again, which changes no component.
+   longest and the rest; the rest are heap-merged (by counting where they are many), and records
+   that occur there often enough are probed in the long lists by binary search. Those that reach
+   the overlap are links. Pairs already connected are not searched again, which changes no
+   component.
 
 Defined cases: null and empty texts and texts without words have an empty set and are linked
 with nothing; rows that share a doc_id count as one record for linking, each row gets its own
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, shingle_hashes, stored, table
+from .common import discard, lean, shingle_hashes, stored, table
 from .graph import components
 
 #: Records and shingles of a block at most, roughly.
@@ -64,7 +65,7 @@ def _sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(needs, pa.int64()), lists], ["doc_id", "n", "set_key", "need", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, set_key binary, need long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n long, set_key binary, need long, prefix array<long>")
 
 
 def _bit(column: str) -> F.Column:
@@ -90,79 +91,79 @@ def _full_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
             sets = [shingle_hashes((t or b"").lower().split(), words).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "items"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _bit("doc_id").alias("bit")).mapInArrow(run, "rep long, items array<long>")
-
-
-def _find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _bit("doc_id").alias("bit")).mapInArrow(lean(run), "rep long, items array<long>")
 
 
 def _linked(common: np.ndarray | int, n: np.ndarray | int, m: int, num: int, den: int):
     return den * common >= num * (n + m - common)
 
 
+#: Short lists of more entries in all than this are merged by counting instead of by a heap, and
+#: a binary probe of all long lists costs as much as counting so many of their entries.
+HEAP, PROBE = 4_096, 4_000
+
+
 def divide_skip(sets: list[np.ndarray], sides: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """Links (i, j) that connect all that is linked; ``sides``: 0 and 1 when only pairs across
-    the sides count, 2 for records that pair with all."""
+    """Links (i, j) that connect all that is linked; sets are sorted. ``sides``: 0 and 1 when only
+    pairs across the sides count, 2 for records that pair with all."""
+    size, side = len(sets), np.array(sides)
     n = np.array([len(s) for s in sets])
-    parent = list(range(len(sets)))
+    group = np.arange(size)
     out: list[tuple[int, int]] = []
 
     def join(i: int, j: int) -> None:
-        a, b = _find(parent, i), _find(parent, j)
+        a, b = sorted((group[i], group[j]))
         if a != b:
-            parent[max(a, b)] = min(a, b)
+            group[group == b] = a
             out.append((i, j))
 
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), n)
+    owner = np.repeat(np.arange(size), n)
     # near copies of one text: a few centres connect most of a large group at one pass each
-    for _ in range(8 if len(sets) > 8 else 0):
-        open_ = [i for i in range(len(sets)) if _find(parent, i) == i]
-        counts = np.bincount([_find(parent, i) for i in range(len(sets))], minlength=len(sets))
-        alone = [i for i in open_ if counts[i] == 1]
-        if not alone:
+    for _ in range(8 if size > 8 else 0):
+        alone = np.flatnonzero(np.bincount(group, minlength=size)[group] == 1)
+        if not len(alone):
             break
-        c = alone[0]
-        common = np.bincount(owner[np.isin(flat, sets[c])], minlength=len(sets))
-        near = np.flatnonzero(_linked(common, n, n[c], num, den))
-        for j in near:
+        c = int(alone[0])
+        common = np.bincount(owner[np.isin(flat, sets[c])], minlength=size)
+        for j in np.flatnonzero(_linked(common, n, n[c], num, den)):
             if j != c:
                 join(c, int(j))
-    roots = [_find(parent, i) for i in range(len(sets))]
-    if len(set(roots)) == 1:
+    largest = int(np.bincount(group).argmax())
+    queries = np.flatnonzero(group != largest)
+    if not len(queries):
         return out
-    largest = int(np.bincount(roots).argmax())
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]  # inverted lists: the owners of equal items, ascending
-    for q in [i for i in range(len(sets)) if roots[i] != largest]:
+    for q in queries.tolist():
         lo, hi = np.searchsorted(flat, sets[q], "left"), np.searchsorted(flat, sets[q], "right")
-        sizes = hi - lo
+        lengths = hi - lo
         t = -(-num * int(n[q]) // den)  # the least overlap with any record that is linked to q
-        by_size = np.argsort(-sizes, kind="stable")
-        longest = int(sizes[by_size[0]]) if len(sizes) else 0
-        n_long = min(t - 1, int(t / (0.0085 * np.log2(max(longest, 2)) + 1)))
-        long_, short = by_size[:n_long], by_size[n_long:]
-        merged = heapq.merge(*(owner[lo[k] : hi[k]].tolist() for k in short if sizes[k] > 1))
-        # lists of one hold q alone
-        for j, same in groupby(merged):
-            if j == q or sides[j] == sides[q] != 2:
-                continue
-            count = sum(1 for _ in same)
-            if count < t - n_long or _find(parent, j) == _find(parent, q):
-                continue
-            total = int(n[q]) + int(n[j])
-            need = -(-num * total // (num + den))
-            for at, k in enumerate(long_):
-                if count >= need or count + n_long - at < need:
-                    break
-                x = lo[k] + np.searchsorted(owner[lo[k] : hi[k]], j)
-                count += int(x < hi[k] and owner[x] == j)
-            if count >= need:
+        by_length = np.argsort(-lengths, kind="stable")
+        n_long = max(0, min(t - 1, int(t / (0.0085 * np.log2(max(int(lengths.max()), 2)) + 1))))
+        lists = lambda ks: [owner[lo[k] : hi[k]] for k in ks.tolist() if lengths[k] > 1]  # noqa: E731, B023  (lists of one hold q alone)
+        long_, short = by_length[:n_long], by_length[n_long:]
+        some = lists(short)
+        if sum(map(len, some)) <= HEAP:
+            met = [(j, sum(1 for _ in same)) for j, same in groupby(heapq.merge(*(x.tolist() for x in some)))]
+            ids, counts = (np.array(x, np.int64) for x in zip(*met)) if met else (np.empty(0, np.int64),) * 2
+        else:
+            counts = np.bincount(np.concatenate(some), minlength=size)
+            ids = np.arange(size)
+        keep = (counts >= t - n_long) & (ids != q) & (group[ids] != group[q]) & ((side[ids] != side[q]) | (side[q] == 2))
+        ids, counts = ids[keep], counts[keep]
+        if len(ids) * PROBE > lengths[long_].sum():
+            more = lists(long_)
+            counts = counts + (np.bincount(np.concatenate(more), minlength=size)[ids] if more else 0)
+            for j in ids[_linked(counts, n[ids], n[q], num, den)].tolist():
                 join(q, j)
+            continue
+        rest = sets[q][np.sort(long_)]
+        for j, count in zip(ids.tolist(), counts.tolist()):
+            if group[j] != group[q] and _linked(count + len(rest), n[j], n[q], num, den):
+                at = np.minimum(np.searchsorted(sets[j], rest), n[j] - 1)
+                if _linked(count + int((sets[j][at] == rest).sum()), n[j], n[q], num, den):
+                    join(q, j)
     return out
 
 
@@ -170,7 +171,7 @@ def _search(blocks: DataFrame, num: int, den: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("n", "ascending"), ("rep", "ascending")])
         reps = t.column("rep").to_pylist()
-        sets = [x.values.to_numpy() for x in t.column("items")]
+        sets = [x.values.to_numpy().view(np.uint64) for x in t.column("items")]
         links = divide_skip(sets, t.column("side").to_pylist(), num, den)
         return pa.table({"a": pa.array([reps[i] for i, _ in links], pa.int64()), "b": pa.array([reps[j] for _, j in links], pa.int64())})
 
@@ -236,3 +237,16 @@ def join(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM documents LEFT JOIN n USING (doc_id) JOIN m ON node = doc_id
+"""
