@@ -1,15 +1,20 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Candidates are runs of 20 or more characters of the base64 alphabets. For each, the encoding is
-inferred (hex, base32, base64) and three tests ask whether it is anything but text-like:
-
-* uniformity: the chi-squared statistic over the encoding's alphabet lies below what letters as
-  uneven as those of words would give (their mean and variance are fixed values here);
-* runs: lower case, upper case, digits and signs alternate more often than in text-like names;
-* serial correlation: neighbouring symbols are less correlated than in text-like strings.
-
-Each gives a bound exp(-z*z/2)/2 on the probability of so small a departure from random under the
-text-like hypothesis; a candidate must pass all, so the largest counts (intersection-union).
+inferred (hex, base32, one case with digits, base64; the first three in either case) and four tests
+ask whether it is anything but text-like or patterned, each against its own kind of such strings:
+
+* uniformity: the chi-squared statistic over the encoding's alphabet lies below what strings of a
+  few symbols only would give;
+* letters: rare letters are more frequent than in words (mean and variance of the letters'
+  surprise are those of words; digits and signs don't count). Hex has too few letters for it;
+* runs: lower case, upper case, digits and signs alternate more often than in text-like names of
+  the encoding: seldom where there is one case, often in names of mixed case or with signs;
+* serial correlation: neighbouring symbols are less correlated than in alphabetic sequences.
+
+Plain numbers and UUIDs are names, not secrets, and never discoveries. Each test gives a bound
+exp(-z*z/2)/2 on the probability of so small a departure from random under its hypothesis; a
+candidate must pass all, so the largest counts (intersection-union).
 These values are counted over the whole corpus in length classes on a fixed grid, rounded up, and
 in each class the Benjamini-Hochberg rule at level ``FALSE_SHARE`` sets the cutoff. So the share of false
 discoveries is controlled at every length, and short strings need the stronger evidence.
@@ -21,6 +26,8 @@ and columns with the names of results are replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +44,23 @@ FALSE_SHARE = 0.01
 CLASSES = (31, 47, 63, 127)
 #: Cells of the grid a factor of ten in probability has.
 GRID = 20
-#: Fixed values of the text-like hypothesis: excess of the sum of squared frequencies by alphabet
-#: size, a variance term, the share of changes of character class, and the serial correlation.
-EXCESS = {16: 0.6, 32: 0.9, 64: 3.0}
-SPREAD = {16: 0.004, 32: 0.003, 64: 0.0012}
-CHANGES, SERIAL = 0.25, 0.6
-ALPHABETS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+#: Fixed values of the hypotheses, by alphabet size: excess of the sum of squared frequencies, a
+#: variance term, and the share of changes of character class; and the serial correlation.
+EXCESS = {16: 3.0, 32: 5.0, 36: 5.0, 64: 7.0}
+SPREAD = {16: 0.004, 32: 0.003, 36: 0.003, 64: 0.0012}
+CHANGES = {16: 0.12, 32: 0.05, 36: 0.05, 64: 0.25}
+SERIAL = 0.8
+ALPHABETS = {16: "0123456789abcdef", 32: "abcdefghijklmnopqrstuvwxyz234567", 36: "abcdefghijklmnopqrstuvwxyz0123456789", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+#: Thousandths of the letters a to z in words of European languages.
+LETTERS = (75, 15, 26, 40, 145, 15, 20, 55, 73, 3, 8, 40, 25, 85, 63, 22, 4, 68, 63, 85, 38, 12, 14, 4, 12, 5)
+#: How much more the letters of a word vary than independent ones.
+UNEVEN = 1.5
+_SHARES = [x / sum(LETTERS) for x in LETTERS]
+_MEAN = -sum(p * math.log(p) for p in _SHARES)
+#: Surprise of no letter and of a to z, above the mean of words.
+SURPRISE = [0.0, *(round(-math.log(p) - _MEAN, 6) for p in _SHARES)]
+SURPRISE_VARIANCE = UNEVEN * sum(p * (math.log(p) + _MEAN) ** 2 for p in _SHARES)
+UUID = "^[0-9a-fA-F]{8}([+/][0-9a-fA-F]{4}){3}[+/][0-9a-fA-F]{12}$"
 _EMPTY = "cast(array() as array<struct<start:int,stop:int>>)"
 
 
@@ -54,24 +72,30 @@ def _by_size(values: dict, size: str = "x.k") -> str:
 def _tested(runs: str) -> str:
     """SQL: the candidates with their length and probability bound, step by step."""
     clean = r"translate(regexp_replace(x.g0, '=+$', ''), '-_', '+/')"
+    surprise = "array(" + ", ".join(f"{v}D" for v in SURPRISE) + ")"
     steps = [
         f"named_struct('start', x.start, 'stop', x.stop, 's', {clean})",
-        "named_struct('start', x.start, 'stop', x.stop, 's', if(x.s rlike '^[0-9A-F]+$', lower(x.s), x.s), 'k', case when x.s rlike '^[0-9]+$' then 0 when x.s rlike '^([0-9a-f]+|[0-9A-F]+)$' then 16 when x.s rlike '^[A-Z2-7]+$' then 32 else 64 end)",
+        f"named_struct('start', x.start, 'stop', x.stop, 's', x.s, 'k', case when x.s rlike '^[0-9]+$' or x.s rlike '{UUID}' then 0 when x.s rlike '^([0-9a-f]+|[0-9A-F]+)$' then 16 when x.s rlike '^([A-Z2-7]+|[a-z2-7]+)$' then 32 when x.s rlike '^([A-Z0-9]+|[a-z0-9]+)$' then 36 else 64 end)",
+        "named_struct('start', x.start, 'stop', x.stop, 's', if(x.k < 64, lower(x.s), x.s), 'k', x.k)",
         f"named_struct('start', x.start, 'stop', x.stop, 'k', x.k, 'n', char_length(x.s), 'c', transform(sequence(1, char_length(x.s)), i -> substring(x.s, i, 1)), 's', x.s, 'a', {_by_size(ALPHABETS)})",
-        """named_struct('start', x.start, 'stop', x.stop, 'k', x.k, 'n', x.n,
+        f"""named_struct('start', x.start, 'stop', x.stop, 'k', x.k, 'n', x.n,
             'squares', aggregate(x.c, 0, (t, c) -> t + x.n - char_length(replace(x.s, c, ''))),
             'kind', transform(x.c, c -> case when c rlike '[a-z]' then 1 when c rlike '[A-Z]' then 2 when c rlike '[0-9]' then 3 else 4 end),
+            'surprise', transform(x.c, c -> {surprise}[instr('abcdefghijklmnopqrstuvwxyz', lower(c))]),
+            'letters', char_length(regexp_replace(x.s, '[^A-Za-z]', '')),
             'v', transform(x.c, c -> instr(x.a, c)))""",
-        """named_struct('start', x.start, 'stop', x.stop, 'k', x.k, 'n', x.n, 'squares', x.squares, 'v', x.v,
+        """named_struct('start', x.start, 'stop', x.stop, 'k', x.k, 'n', x.n, 'squares', x.squares, 'v', x.v, 'letters', x.letters,
+            'surprise', aggregate(x.surprise, 0D, (t, s) -> t + s),
             'changes', aggregate(sequence(1, x.n - 1), 0, (t, i) -> t + if(x.kind[i] <> x.kind[i - 1], 1, 0)),
             'mean', aggregate(x.v, 0D, (t, v) -> t + v) / x.n)""",
-        """named_struct('start', x.start, 'stop', x.stop, 'k', x.k, 'n', x.n, 'squares', x.squares, 'changes', x.changes,
+        """named_struct('start', x.start, 'stop', x.stop, 'k', x.k, 'n', x.n, 'squares', x.squares, 'changes', x.changes, 'surprise', x.surprise, 'letters', x.letters,
             'top', aggregate(sequence(1, x.n - 1), 0D, (t, i) -> t + (x.v[i] - x.mean) * (x.v[i - 1] - x.mean)),
             'all', aggregate(x.v, 0D, (t, v) -> t + (v - x.mean) * (v - x.mean)))""",
         f"""named_struct('start', x.start, 'stop', x.stop, 'k', x.k, 'n', x.n,
             'z', least((x.k - 1 + (x.n - 1) * {_by_size(EXCESS)} - (x.k * x.squares / x.n - x.n)) / sqrt(2D * (x.k - 1) + 4D * x.n * x.k * x.k * {_by_size(SPREAD)}),
-                (x.changes / (x.n - 1) - {CHANGES}D) / sqrt({CHANGES * (1 - CHANGES)}D / (x.n - 1)),
-                ({SERIAL}D - if(x.all > 0, x.top / x.all, 1D)) * sqrt(x.n)))""",
+                if(x.k = 16, double('infinity'), x.surprise / sqrt({SURPRISE_VARIANCE}D * greatest(x.letters, 1))),
+                (x.changes / (x.n - 1) - {_by_size(CHANGES)}) / sqrt({_by_size({k: c * (1 - c) for k, c in CHANGES.items()})} / (x.n - 1)),
+                ({SERIAL}D - if(x.all > 0, x.top / x.all, 1D)) * sqrt(x.n / {1 - SERIAL**2}D)))""",
         # the cell of the bound's logarithm, towards the weaker evidence
         f"named_struct('start', x.start, 'stop', x.stop, 'n', x.n, 'cell', if(x.k > 0 and x.z > 0, int(floor({GRID}D * (x.z * x.z / 2 * {0.4342944819032518}D + {0.3010299956639812}D))), 0))",
     ]

@@ -286,6 +286,28 @@ def test_random_strings_are_discoveries(spark, awkward, empty):
     assert secrets.redact(empty).count() == 0
 
 
+def test_each_encoding_is_discovered(spark):
+    import random
+    import string
+
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alphabets = {"hex": digits + "ABCDEF", "base32": up + "234567", "low32": low + "234567", "lower": low + digits, "base64": up + low + digits + "+/"}
+    least = {20: 0.2, 32: 0.6, 40: 0.75, 64: 0.9}
+    rng = random.Random(4)
+    keys = [(name, n, "".join(rng.choices(a, k=n))) for name, a in alphabets.items() for n in least for _ in range(60)]
+    words = "test value series index default handler abstract request parser module import label window format string array config session metadata quarter zone".split()
+    joined = {"snake": "_".join, "path": "/".join, "plain": "".join, "camel": lambda w: "".join(map(str.title, w)), "upper": lambda w: "_".join(w).upper(), "numbered": lambda w: "".join(x + str(rng.randrange(30)) for x in w)}
+    names = [j(rng.choices(words, k=rng.randrange(4, 9))) for j in joined.values() for _ in range(1_800)]
+    names += ["550e8400-e29b-41d4-a716-446655440000", "abcdefghijklmnopqrstuvwxyz0123456789", "x1z9" * 8, "qwertyuiopasdfghjklzxcvbnm", "f" * 30, "20240131120000123456"]
+    rows = list(enumerate([k for _, _, k in keys] + [w for w in names if len(w) >= 20]))
+    hits = {r.doc_id for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if any(s.kind == "random" for s in r.secrets)}
+    for name in alphabets:
+        for n, share in least.items():
+            mine = [i for i, k in enumerate(keys) if k[:2] == (name, n)]
+            assert sum(i in hits for i in mine) >= share * len(mine), (name, n, sum(i in hits for i in mine))
+    assert sum(i >= len(keys) for i in hits) <= 0.01 * len(hits), [rows[i] for i in hits if i >= len(keys)][:5]
+
+
 # --- privacy ----------------------------------------------------------------------------------
 def test_surrogates(spark, awkward, empty):
     rows = [(1, "Mail Bob.x-1@mail5.example.com or BOB.X-1@MAIL5.EXAMPLE.COM, call +1 (017) 555-7713; 4111 1111 1111 1111, 4111111111111111, 10.2.3.4."), (2, "Mrs. Anna Smith met Mr Smith and Herr Müller; Г-жа Анна Иванова."), (3, "Bob.x-1@mail5.example.com"), (4, None), (5, "12 plain words")]
