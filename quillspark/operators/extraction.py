@@ -249,3 +249,12 @@ def term_counts(docs: DataFrame, key: str, text: str, stop: list[str]) -> DataFr
     """Long document-term counts of words without digits and stop words."""
     w = docs.select(key, F.explode(tx.words(F.col(text))).alias("word"))
     return w.where(~F.col("word").rlike(r"\d") & ~F.col("word").isin(*stop)).groupBy(key, "word").agg(F.count("*").alias("n"))
+
+
+def bigram_counts(docs: DataFrame, key: str, text: str, stop: list[str], least: int = 2) -> DataFrame:
+    """Long document-bigram counts without digits and stop words, of the bigrams that all documents
+    together have ``least`` times; a document without any has one row: no bigram, 0 times."""
+    plain = lambda x: ~x.rlike(r"\p{Nd}") & ~F.substring_index(x, "_", 1).isin(*stop) & ~F.substring_index(x, "_", -1).isin(*stop)
+    counts = docs.select(key, F.explode(F.filter(tx.ngrams(tx.words(F.col(text)), 2, "_"), plain)).alias("bigram")).groupBy(key, "bigram").agg(F.count("*").alias("n"))
+    often = counts.groupBy("bigram").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
+    return docs.select(key).distinct().join(counts.join(often, "bigram", "left_semi"), key, "left").select(key, "bigram", F.coalesce("n", F.lit(0)).alias("n"))

@@ -12,6 +12,7 @@ from quillspark.operators import training as tr
 from quillspark.sources import files as fl
 
 from .registry import CLASSES, DOCS, classes, docs, register, table
+from .texts import _STOP as STOP
 
 # --- sources and schema -----------------------------------------------------------------------
 
@@ -74,6 +75,8 @@ register("EXT23", "SELECT n_name, count(c_custkey) AS n, count(c_custkey) > 0 AS
 # --- models -----------------------------------------------------------------------------------
 _labelled = lambda s, d: table(s, d, "documents").select("doc_id", "text").join(table(s, d, "labels").select("doc_id", "toxic"), "doc_id")
 register("ML2", f"WITH {DOCS}, w AS (SELECT id, regexp_extract_all(lower(abstract), '([\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*)', 1) AS t FROM docs), b AS (SELECT id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])) AS bigram FROM w) SELECT id, bigram, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) >= 2")(lambda s, d: docs(s, d).select("id", F.explode(tx.ngrams(tx.words(F.col("abstract")), 2, "_")).alias("bigram")).groupBy("id", "bigram").agg(F.count("*").alias("n")).where("n >= 2"))
+_STOPS = ", ".join(f"'{w}'" for w in STOP)
+register("ML2_whole", f"WITH {DOCS}, w AS (SELECT id, regexp_extract_all(lower(abstract), '([\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*)', 1) AS t FROM docs), p AS (SELECT id, t[i] AS a, t[i + 1] AS b FROM (SELECT id, t, unnest(range(1, len(t))) AS i FROM w)), c AS (SELECT id, a || '_' || b AS bigram, count(*) AS n FROM p WHERE a NOT IN ({_STOPS}) AND b NOT IN ({_STOPS}) AND NOT regexp_matches(a || b, '\\p{{Nd}}') GROUP BY 1, 2), k AS (SELECT bigram FROM c GROUP BY 1 HAVING sum(n) >= 2) SELECT docs.id, m.bigram, coalesce(m.n, 0) AS n FROM docs LEFT JOIN (SELECT * FROM c WHERE bigram IN (SELECT bigram FROM k)) m ON docs.id = m.id")(lambda s, d: ex.bigram_counts(docs(s, d), "id", "abstract", STOP))
 register("ML5", None)(lambda s, d: tr.balanced_by_neighbours(table(s, d, "labels").join(table(s, d, "documents"), "doc_id").withColumn("n_chars", F.col("n_chars").cast("double")), "toxic", 1, ["n_chars"], 2, "doc_id"))
 register("ML8", None)(lambda s, d: tr.predicted(tr.elastic_net(_labelled(s, d), "text", "toxic"), table(s, d, "documents"), "text", "doc_id"))
 register("ML9", None)(lambda s, d: tr.predicted(tr.linear_svm(_labelled(s, d), "text", "toxic"), table(s, d, "documents"), "text", "doc_id"))

@@ -24,6 +24,7 @@ register("STR2", f"WITH {DOCS} SELECT id, {_PRE.format(c='abstract')} AS pre FRO
 register("STR3", f"WITH {DOCS} SELECT id, len({_TOK.format(c='abstract')}) AS n FROM docs")(lambda s, d: docs(s, d).select("id", F.size(tx.tokens(F.col("abstract"))).cast("long").alias("n")))
 register("STR4", f"WITH {DOCS}, w AS (SELECT id, unnest({_WORDS.format(c='abstract')}) AS word FROM docs) SELECT id, word, count(*) AS n FROM w GROUP BY 1, 2")(lambda s, d: docs(s, d).select("id", F.explode(tx.words(F.col("abstract"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n")))
 register("STR5", f"WITH {DOCS}, w AS (SELECT id, {_WORDS.format(c='abstract')} AS t FROM docs), b AS (SELECT id, unnest({_BI.format(t='t')}) AS bigram FROM w) SELECT bigram, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 3")(lambda s, d: docs(s, d).select(F.explode(tx.ngrams(tx.words(F.col("abstract")), 2)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n")).where("n >= 3"))
+register("STR5_whole", f"WITH {DOCS}, w AS (SELECT id, {_WORDS.format(c='abstract')} AS t FROM docs), b AS (SELECT unnest({_BI.format(t='t')}) AS bigram FROM w) SELECT bigram, count(*) AS n FROM b GROUP BY 1")(lambda s, d: docs(s, d).select(F.explode(tx.ngrams(tx.words(F.col("abstract")), 2)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n")))
 #: Letters beyond ASCII are masked where word bounds matter: engines differ in what bounds they make.
 _ASCII = DOCS.replace("text AS abstract", "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS abstract")
 _ascii = lambda s, d: docs(s, d).withColumn("abstract", F.regexp_replace("abstract", r"[^\x00-\x7F]", "_"))

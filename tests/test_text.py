@@ -116,6 +116,12 @@ def test_context(spark):
     assert value(spark, tx.context_words(F.col("t"), "not there"), t=text) is None
 
 
+def test_bigrams_by_corpus_count(spark):
+    docs = spark.createDataFrame([(1, "red oak and red oak"), (2, "The red oak"), (3, "old elm, 2 elms"), (4, "old elm"), (5, "single words"), (6, None)], "id long, t string")
+    got = {tuple(r) for r in ex.bigram_counts(docs, "id", "t", ["the", "and"]).collect()}
+    assert got == {(1, "red_oak", 2), (2, "red_oak", 1), (3, "old_elm", 1), (4, "old_elm", 1), (5, None, 0), (6, None, 0)}
+
+
 def test_quotas():
     assert tb.proportional_quotas({"a": 90, "b": 9, "c": 1}, 10) == {"a": 8, "b": 1, "c": 1}
     assert sum(tb.balanced_quotas(["a", "b", "c"], 10).values()) == 10
