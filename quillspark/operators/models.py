@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ def ensemble_rule(glm_a: Column, svm_label: Column, threshold: float) -> Column:
     return F.when(glm_a > threshold, "Absence").otherwise(svm_label)
 
 
-def threshold_label(p: Column, threshold: float, yes: str, no: str) -> Column:
-    """yes from the threshold on, no up to its complement, Uncertain between."""
+def threshold_label(p: Column, threshold: float | Decimal, yes: str, no: str) -> Column:
+    """yes from the threshold on, no up to its complement, Uncertain between; ties are exact in decimals."""
     return F.when(p >= threshold, yes).when(p <= 1 - threshold, no).otherwise("Uncertain")
 
 

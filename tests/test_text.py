@@ -9,6 +9,7 @@ from quillspark.functions import text as tx
 from quillspark.operators import extraction as ex
 from quillspark.operators import models as md
 from quillspark.operators import tables as tb
+from quillspark.plans import catalogue
 
 
 def value(spark, column, **values):
@@ -122,6 +123,21 @@ def test_bigrams_by_corpus_count(spark):
     assert got == {(1, "red_oak", 2), (2, "red_oak", 1), (3, "old_elm", 1), (4, "old_elm", 1), (5, None, 0), (6, None, 0)}
 
 
+def test_halves_and_ties(spark, tmp_path):
+    lines = [(1, 1, 0.50, 0.01), (1, 7, 12.50, 0.05), (2, 3, 100.10, 0.05), (2, 4, 3.33, 0.10)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r.l_orderkey, r.l_linenumber): r.x for r in catalogue.queries()["MTH1_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1): 0.01, (1, 7): 0.63, (2, 3): 5.01, (2, 4): 0.33}
+    labels = [(i, 0, 1) for i in range(101)]  # both confidences take each of 0.00 to 1.00
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = {r.id: r for r in catalogue.queries()["ML16_whole"](spark, str(tmp_path)).collect()}
+    assert len(rows) == 101
+    for i, r in rows.items():
+        for p, yes, no, kind in ((i * 37 % 101, "Relevant", "Irrelevant", "relevance"), (i * 53 % 101, "Presence", "Absence", "pa")):
+            for level, t in (("loose", 50), ("medium", 60), ("strict", 80), ("super_strict", 90))[: 3 if kind == "relevance" else 4]:
+                assert r[f"{kind}_{level}"] == (yes if p >= t else no if 100 - p >= t else "Uncertain")
+
+
 def test_quotas():
     assert tb.proportional_quotas({"a": 90, "b": 9, "c": 1}, 10) == {"a": 8, "b": 1, "c": 1}
     assert sum(tb.balanced_quotas(["a", "b", "c"], 10).values()) == 10
