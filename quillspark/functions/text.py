@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,3 +138,34 @@ def snake_case(name: str) -> str:
     out = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.strip())
     out = re.sub(r"[^0-9a-zA-Z]+", "_", out).strip("_").lower()
     return f"x{out}" if out[:1].isdigit() else out or "x"
+
+
+def jaro_winkler(a: str, b: str, prefix: float = 0.1) -> float:
+    """The similarity of two strings from 0 to 1; up to 4 equal first characters raise it."""
+    if not a or not b:
+        return 1.0 if a == b else 0.0
+    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    used, mine = [False] * len(b), []
+    for i, x in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not used[j] and b[j] == x:
+                used[j] = True
+                mine.append(x)
+                break
+    m = len(mine)
+    if not m:
+        return 0.0
+    moved = sum(x != y for x, y in zip(mine, (y for y, u in zip(b, used) if u))) / 2
+    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    same = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
+    return jaro + same * prefix * (1 - jaro)
+
+
+def jaro_winkler_distance(a: Column, b: Column) -> Column:
+    """1 less the similarity, on 9 places; null if one is null."""
+
+    @F.pandas_udf("double")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else round(1 - jaro_winkler(p, q), 9) for p, q in zip(x, y)], dtype="float64")
+
+    return distance(a, b)

@@ -251,6 +251,15 @@ def term_counts(docs: DataFrame, key: str, text: str, stop: list[str]) -> DataFr
     return w.where(~F.col("word").rlike(r"\d") & ~F.col("word").isin(*stop)).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
+def nearest_names(names: DataFrame, key: str, name: str, candidates: DataFrame, candidate: str, order: str, most: float = 0.15) -> DataFrame:
+    """key, distance of the nearest candidate by Jaro-Winkler on whole names, and that candidate as
+    ``nearest`` if it is at most ``most`` away; the first in order of equal ones. Every name is
+    compared with every candidate, so these should be few."""
+    pairs = names.select(key, name).join(F.broadcast(candidates.select(candidate, order)), how="left")
+    first = pairs.withColumn("_d", tx.jaro_winkler_distance(F.col(name), F.col(candidate))).groupBy(key).agg(F.min(F.when(F.col("_d").isNotNull(), F.struct("_d", order, candidate))).alias("_x"))
+    return first.select(key, F.col("_x._d").alias("distance"), F.when(F.col("_x._d") <= most, F.col(f"_x.{candidate}")).alias("nearest"))
+
+
 def bigram_counts(docs: DataFrame, key: str, text: str, stop: list[str], least: int = 2) -> DataFrame:
     """Long document-bigram counts without digits and stop words, of the bigrams that all documents
     together have ``least`` times; a document without any has one row: no bigram, 0 times."""

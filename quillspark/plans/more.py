@@ -60,6 +60,7 @@ register("STR24", None)(lambda s, d: docs(s, d).select("id", tx.context_words(F.
 register("STR25", None)(lambda s, d: docs(s, d).select("id", tx.context_chars(F.col("abstract"), "of the").alias("context")).where("context is not null"))
 register("STR27", None)(lambda s, d: ex.statements(docs(s, d), "id", "abstract", {"x": ["of the thing", "that the"]}))
 register("STR28", "SELECT s_suppkey, arg_min(n_name, levenshtein(right(s_name, 2), right(n_name, 2)) * 1000 + n_nationkey) AS nearest FROM supplier JOIN nation ON s_nationkey % 5 = n_nationkey % 5 GROUP BY 1")(lambda s, d: table(s, d, "supplier").join(F.broadcast(table(s, d, "nation")), F.expr("s_nationkey % 5 = n_nationkey % 5")).groupBy("s_suppkey").agg(F.min_by("n_name", F.expr("levenshtein(right(s_name, 2), right(n_name, 2)) * 1000 + n_nationkey")).alias("nearest")))
+register("STR28_whole", "SELECT s_suppkey, d AS distance, CASE WHEN d <= 0.15 THEN n_name END AS nearest FROM (SELECT s_suppkey, n_name, n_nationkey, round(1 - jaro_winkler_similarity(s_name, n_name), 9) AS d FROM supplier CROSS JOIN nation) QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY d, n_nationkey) = 1")(lambda s, d: ex.nearest_names(table(s, d, "supplier"), "s_suppkey", "s_name", table(s, d, "nation"), "n_name", "n_nationkey"))
 register("STR34", "SELECT r_regionkey, CASE WHEN lower(r_name) LIKE 'a%' THEN 'Plantae' ELSE 'Fungi' END AS kingdom FROM region")(lambda s, d: table(s, d, "region").select("r_regionkey", F.when(F.lower("r_name").like("a%"), "Plantae").otherwise("Fungi").alias("kingdom")))
 register("STR36", "SELECT p_partkey FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'box')")(lambda s, d: table(s, d, "part").where(F.contains("p_name", F.lit("ring")) | F.contains("p_name", F.lit("box"))).select("p_partkey"))
 register("STR38", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN contains(p_name, 'sm') THEN 'small' END, CASE WHEN contains(p_name, 'in') THEN 'in' END], lambda x: x IS NOT NULL), '; ') AS found FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.filter(F.array(F.when(F.contains("p_name", F.lit("sm")), "small"), F.when(F.contains("p_name", F.lit("in")), "in")), lambda x: x.isNotNull()), "; ").alias("found")))

@@ -138,6 +138,16 @@ def test_halves_and_ties(spark, tmp_path):
                 assert r[f"{kind}_{level}"] == (yes if p >= t else no if 100 - p >= t else "Uncertain")
 
 
+def test_nearest_names(spark):
+    for a, b, want in (("MARTHA", "MARHTA", 0.961111), ("DWAYNE", "DUANE", 0.84), ("DIXON", "DICKSONX", 0.813333), ("abc", "xyz", 0), ("", "", 1), ("a", "", 0), ("a", "a", 1)):
+        assert round(tx.jaro_winkler(a, b), 6) == want
+    names = spark.createDataFrame([(1, "quercus robor"), (2, "fagus silvatica"), (3, "zzz"), (4, None), (5, "quercus")], "k long, n string")
+    known = spark.createDataFrame([(0, "fagus sylvatica"), (1, "quercus robur"), (2, "quercus rubra"), (3, "quercus robur")], "i int, c string")
+    got = {r.k: r for r in ex.nearest_names(names, "k", "n", known, "c", "i").collect()}
+    assert {k: r.nearest for k, r in got.items()} == {1: "quercus robur", 2: "fagus sylvatica", 3: None, 4: None, 5: "quercus robur"}
+    assert got[3].distance == 1 and got[4].distance is None and 0 < got[1].distance < 0.05
+
+
 def test_quotas():
     assert tb.proportional_quotas({"a": 90, "b": 9, "c": 1}, 10) == {"a": 8, "b": 1, "c": 1}
     assert sum(tb.balanced_quotas(["a", "b", "c"], 10).values()) == 10
