@@ -167,14 +167,46 @@ def places(docs: DataFrame, text: str, countries: dict[str, str], rules: list[Pl
     }).drop("_c", "_k", "_r")
 
 
-#: Degrees with minutes and a direction, decimal degrees with a direction, and decimal pairs.
-COORDINATES = r"""\d{1,3}\s*[°º]\s*\d{0,2}[.,]?\d*\s*['′]?\s*[\d.]*["″]?\s*[NSEW]|\d{1,3}\.\d+\s*[°º]?\s*[NSEW]\b|[-+]?\d{1,2}\.\d{2,}\s*,\s*[-+]?\d{1,3}\.\d{2,}"""
+_D, _P = r"-?\d{1,2}(?:\.\d+)?\s*,\s*-?\d{1,3}(?:\.\d+)?", r"\b\d{1,2}(?:\.\d+)?[°]?\s*[NS]\b.*?\b\d{1,3}(?:\.\d+)?[°]?\s*[EW]\b"
+#: The reference's patterns in its order, with its Unicode classes.
+COORDINATES = [
+    _P,  # 45.5°N, 122.3°W
+    rf"\b{_D}\b",  # 45.5, -122.3
+    r"""\b\d{1,2}[°]\s*\d{1,2}['′]?\s*\d{0,2}[″"]?\s*[NS]\b.*?\b\d{1,3}[°]\s*\d{1,2}['′]?\s*\d{0,2}[″"]?\s*[EW]\b""",  # 45°30'45"N, 122°45'30"W
+    r"\b\d{1,2}\.\d+[NS]\s*,?\s*\d{1,3}\.\d+[EW]\b",  # 45.5N, 122.3W
+    r"\b\d{1,2}[NS]\s*,?\s*\d{1,3}[EW]\b",  # 45N, 122W
+    r"\b\d{1,2}\s+\d{1,2}[′']?\s*[NS]\s*,?\s*\d{1,3}\s+\d{1,2}[′']?\s*[EW]\b",  # 45 30 N, 122 45 W
+    rf"\(\s*{_D}\s*\)",  # (45.5, -122.3)
+    r"\b\d{1,2}°\d{1,2}['′]\s*[NS]\s*,?\s*\d{1,3}°\d{1,2}['′]\s*[EW]\b",  # 45°30′N, 122°45′W
+    r"\b\d{1,2}[NS]\s+\d{6}\s+\d{7}\b",  # 45N 123456 7890123
+    r"\b\d{1,2}[NS]\d{6,7}\b",  # 45N123456
+    r"\b\d{1,2}-\d{1,2}[°]?[NS]\s*,?\s*\d{2,3}-\d{2,3}[°]?[EW]\b",  # 40-50°N, 120-130°W
+    r"\b[NS]\d{1,2}\.\d+\s*,?\s*[EW]\d{2,3}\.\d+\b",  # N45.5, W122.3
+    rf"\[\s*{_D}\s*\]",  # [45.5, -122.3]
+    _P + r".*?\b\d+[mft]\b",  # 45.5°N 122.3°W 1500m
+    r"\b[a-zA-Z]{2}\s*\d{4}\s*\d{4}\b",  # SU 1234 5678
+    r"\b[a-zA-Z]{2}-\d{4}-\d{4}\b",  # SU-1234-5678
+    r"\b\d{4}[NS]\d{6}[EW]\b",
+    r"\b\d{6}[NS]\s*\d{6}[EW]\b",
+    r"\b\d{8}[NS][EW]\b",
+]
+#: One degree with a direction or a decimal pair; what STR21's SQL takes for a coordinate.
+DEGREES = r"""\d{1,3}\s*[°º]\s*\d{0,2}[.,]?\d*\s*['′]?\s*[\d.]*["″]?\s*[NSEW]|\d{1,3}\.\d+\s*[°º]?\s*[NSEW]\b|[-+]?\d{1,2}\.\d{2,}\s*,\s*[-+]?\d{1,3}\.\d{2,}"""
 
 
 def has_coordinates(c: Column) -> Column:
-    """Whether a coordinate is given whose first number is a possible degree."""
-    first = F.regexp_extract(F.regexp_extract(c, f"({COORDINATES})", 1), r"(\d+(?:\.\d+)?)", 1)
-    return c.rlike(COORDINATES) & (first.cast("double") <= 180)
+    """Whether any of all matches is possible: of two or more numbers one is at most 90, a single
+    one at most 180, or a grid reference from 100,000 on. No text has none."""
+    hits = F.regexp_extract_all(c, F.lit("(?U)" + "|".join(COORDINATES)), F.lit(0))
+    numbers = lambda hit: F.transform(F.regexp_extract_all(hit, F.lit(r"-?\d+\.?\d*"), F.lit(0)), lambda x: x.try_cast("double"))
+    possible = lambda n: F.when(F.size(n) >= 2, F.exists(n, lambda x: F.abs(x) <= 90)).otherwise(F.exists(n, lambda x: (F.abs(x) <= 180) | (x >= 100_000)))
+    return F.coalesce(F.exists(hits, lambda hit: possible(numbers(hit))), F.lit(False))
+
+
+def has_degrees(c: Column) -> Column:
+    """Whether a degree or a decimal pair is given whose first number is a possible degree."""
+    first = F.regexp_extract(F.regexp_extract(c, f"({DEGREES})", 1), r"(\d+(?:\.\d+)?)", 1)
+    return c.rlike(DEGREES) & (first.cast("double") <= 180)
 
 
 def standard_country(c: Column, canonical: list[str], synonyms: dict[str, str]) -> Column:

@@ -55,7 +55,8 @@ register("STR15", f"WITH {_ASCII} SELECT id, regexp_matches(abstract, '(?i)\\bth
 register("STR16", f"WITH {_ASCII} SELECT id, regexp_matches(abstract, '(?i)\\bof\\s+the\\b') AS hit FROM docs")(lambda s, d: _ascii(s, d).select("id", F.col("abstract").rlike(r"(?i)(?<!\w)of\s+the(?!\w)").alias("hit")))
 register("STR18", "SELECT c_custkey, CASE WHEN regexp_matches(c_mktsegment, '\\bBUILDING\\b') THEN 'Houses' WHEN regexp_matches(c_mktsegment, '\\bMACHINERY\\b') THEN 'Works' END AS place FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment").rlike(r"\bBUILDING\b"), "Houses").when(F.col("c_mktsegment").rlike(r"\bMACHINERY\b"), "Works").alias("place")))
 register("STR19", "SELECT r_name, trim(c) AS country FROM (SELECT r_name, unnest(string_split(r_name || 'land; Multiple others; ' || r_name || 'ia', ';')) AS c FROM region) WHERE trim(c) NOT LIKE 'Multiple%'")(lambda s, d: tb.separated(table(s, d, "region").select("r_name", F.concat("r_name", F.lit("land; Multiple others; "), "r_name", F.lit("ia")).alias("country")), "country").where("country not like 'Multiple%'"))
-register("STR21", "SELECT c_custkey, c_acctbal / 100 BETWEEN 10 AND 99.99 AS hit FROM customer WHERE c_acctbal >= 1000")(lambda s, d: table(s, d, "customer").where("c_acctbal >= 1000").select("c_custkey", ex.has_coordinates(F.format_string("%.4f N", F.col("c_acctbal") / 100)).alias("hit")))
+register("STR21", "SELECT c_custkey, c_acctbal / 100 BETWEEN 10 AND 99.99 AS hit FROM customer WHERE c_acctbal >= 1000")(lambda s, d: table(s, d, "customer").where("c_acctbal >= 1000").select("c_custkey", ex.has_degrees(F.format_string("%.4f N", F.col("c_acctbal") / 100)).alias("hit")))
+register("STR21_whole", None)(lambda s, d: docs(s, d).select("id", ex.has_coordinates(F.col("abstract")).alias("hit")))
 register("STR24", None)(lambda s, d: docs(s, d).select("id", tx.context_words(F.col("abstract"), "of the").alias("context")).where("context is not null"))
 register("STR25", None)(lambda s, d: docs(s, d).select("id", tx.context_chars(F.col("abstract"), "of the").alias("context")).where("context is not null"))
 register("STR27", None)(lambda s, d: ex.statements(docs(s, d), "id", "abstract", {"x": ["of the thing", "that the"]}))

@@ -148,6 +148,14 @@ def test_nearest_names(spark):
     assert got[3].distance == 1 and got[4].distance is None and 0 < got[1].distance < 0.05
 
 
+def test_coordinates(spark):
+    yes = ["45.5°N, 122.3°W", "45.5, -122.3", "45°30'45\"N, 122°45'30\"W", "45.5N, 122.3W", "45N, 122W", "45 30 N, 122 45 W", "(45.5, -122.3)", "45°30′N 122°45′W", "45N 123456 7890123", "45N123456", "40-50°N, 120-130°W", "N45.5, W122.3", "[45.5, -122.3]"]
+    yes += ["45.5°N 122.3°W 1500m", "SU 0012 5678", "1234N123456E 10, 20", "00000012NE", "500.25, 400 plots, then 45N, 122W", "SU 1234 5678; (12, 99)"]
+    no = [None, "", "no numbers", "12 plots in 1999", "45.5 N alone", "SU-1234-5678", "1234N123456E", "about 45N"]
+    df = spark.createDataFrame([(t, t in yes) for t in yes + no], "t string, want boolean")
+    assert [r.t for r in df.where(ex.has_coordinates(F.col("t")) != F.col("want")).collect()] == []
+
+
 def test_quotas():
     assert tb.proportional_quotas({"a": 90, "b": 9, "c": 1}, 10) == {"a": 8, "b": 1, "c": 1}
     assert sum(tb.balanced_quotas(["a", "b", "c"], 10).values()) == 10
