@@ -5,10 +5,11 @@ in how many documents each of the items' word n-grams occurs; an item's seeds ar
 that are rare there (at most ``RARE`` of the documents), and never fewer than the rarer half of
 them, so that an item which leaked often still has seeds. A second pass looks the seeds up in
 every document, and aligns the item with the stretch of the document around each cluster of
-seed hits. The score is the best local alignment's share of the item's own.
+seed hits. The score is the best local alignment's share of the item's own. Items with fewer than
+``WORDS`` words must be there word for word, as part of one would be a common phrase.
 
 All text is read. Words are runs of letters and digits, in lower case. Defined cases: null and
-empty texts match nothing; items with a null text or fewer words than ``WORDS`` are not test
+empty texts match nothing; items with a null text or fewer words than ``GRAM`` are not test
 items; several rows of an item_id are several items; rows sharing a doc_id are searched each for
 itself; an empty table on either side gives an empty result; columns beside ids and texts are not
 read.
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import lean, table
 
 GRAM = 3
+#: Items with fewer words leak only as whole copies; with fewer than ``GRAM``, they are no test items.
 WORDS = 8
 RARE = 1e-4
-SCORE = 0.4
+SCORE, SHORT_SCORE = 0.4, 1.0
 #: Words of all items of a block at most, about 100 MB of seeds in a worker.
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -2
@@ -140,7 +142,7 @@ def _aligned(items: _Items, ids: np.ndarray, at: np.ndarray, key: np.ndarray, se
             score, end = smith_waterman(item, ids[a : hi + 2 * m])
             best = max(best, (score, a + end))
             lo = hi = pos if pos is not None else 0
-        if best[0] >= SCORE * MATCH * m:
+        if best[0] >= (SCORE if m >= WORDS else SHORT_SCORE) * MATCH * m:
             out.append((i, best[0] / (MATCH * m), best[1]))
     return out
 
@@ -150,7 +152,7 @@ def _blocks(benchmark: DataFrame):
     held, size = [], 0
     for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
         ws = words_of(r.text)
-        if len(ws) >= WORDS:
+        if len(ws) >= GRAM:
             held.append((r.item_id, ws))
             size += len(ws)
         if size >= BLOCK_WORDS:
@@ -162,7 +164,7 @@ def _blocks(benchmark: DataFrame):
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score and the word where the alignment ends, of all pairs whose score
-    reaches ``SCORE``."""
+    reaches ``SCORE``, or ``SHORT_SCORE`` for short items."""
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = "doc_id long, item_id long, score double, end_word long"

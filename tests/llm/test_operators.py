@@ -257,6 +257,13 @@ def test_leaks_and_edits_are_found(spark, awkward, empty):
     assert decontamination.clean(awkward, bench).columns == awkward.columns
 
 
+def test_short_items_leak_as_whole_copies(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "What is the capital of France?"), (3, "one two three four five six seven"), (4, "too short"), (5, "a b c d e f g h")]
+    rows = [(1, "He asked: who wrote Hamlet? Nobody knew."), (2, "what is the capital of Spain"), (3, "So WHAT is the, capital of France"), (4, "one two three four five six seven"), (5, "one two three four five six eight"), (6, "too short"), (7, "who wrote, long ago, hamlet"), (8, "a b c d x f g h"), (9, None)]
+    found = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (3, 2), (4, 3), (8, 5)}
+
+
 # --- secrets ----------------------------------------------------------------------------------
 def base_spans(t):
     found = [("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 8), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 32)]
