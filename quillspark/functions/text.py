@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,10 +38,16 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*)"), F.lit(1))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often ``use`` names it: inside the
+    lambdas of array functions, an expression would be computed again for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ngrams(list_: Column, n: int, by: str = " ") -> Column:
-    """The n-grams of an array of tokens; none if it is shorter."""
-    last = F.size(list_) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(list_, i + 1, n), by))).otherwise(F.array().cast("array<string>"))
+    """The n-grams of an array of tokens; none if it is shorter. Linear in its length."""
+    grams = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.concat_ws(by, *[F.get(t, i + k) for k in range(n)]))
+    return let(list_, lambda t: F.when(F.size(t) >= n, grams(t)).otherwise(F.array().cast("array<string>")))
 
 
 def candidate_names(c: Column) -> Column:
@@ -88,11 +96,13 @@ def phrase_score(c: Column, weighted: dict[str, tuple[int, list[str]]]) -> Colum
 
 def context_words(c: Column, phrase: str, around: int = 15, most: int = 300) -> Column:
     """The words around the first place where the phrase's tokens stand exactly; null if none."""
-    t, k = tokens(F.lower(c)), len(phrase.split())
-    at = F.array_position(ngrams(t, k), phrase.lower())
-    start = F.greatest(F.lit(1), at - around)
-    got = F.array_join(F.slice(t, start.cast("int"), (at - start + k + around).cast("int")), " ")
-    return F.when(at > 0, F.when(F.length(got) > most, F.concat(F.substring(got, 1, most), F.lit("..."))).otherwise(got))
+    k = len(phrase.split())
+
+    def near(t: Column) -> Column:
+        return let(F.array_position(ngrams(t, k), phrase.lower()).cast("int"), lambda at: F.when(at > 0, let(F.greatest(F.lit(1), at - around), lambda start: F.array_join(F.slice(t, start, at - start + k + around), " "))))
+
+    got = let(tokens(F.lower(c)), near)
+    return let(got, lambda g: F.when(F.length(g) > most, F.concat(F.substring(g, 1, most), F.lit("..."))).otherwise(g))
 
 
 def context_chars(c: Column, phrase: str, around: int = 60, most: int = 500) -> Column:
@@ -114,8 +124,30 @@ def fuzzy_phrase(c: Column, phrase: str, least: float = 0.9) -> Column:
     low = F.lower(c)
     k = len(phrase.split())
     scored = F.transform(ngrams(tokens(low), k), lambda w: F.struct(w.alias("found"), similarity(w, F.lit(phrase.lower())).alias("similarity")))
-    hit = F.filter(scored, lambda s: s["similarity"] >= least)
-    return F.when(F.contains(low, F.lit(phrase.lower().split()[0])) & (F.size(hit) > 0), F.element_at(hit, 1))
+    hit = F.get(F.filter(scored, lambda s: s["similarity"] >= least), F.lit(0))
+    return F.when(F.contains(low, F.lit(phrase.lower().split()[0])), hit)
+
+
+def fixed(c: Column, places: int) -> Column:
+    """A number with so many decimal places, as C's ``%.nf`` gives it: the binary value decides,
+    not its decimal text, and only an exact half goes to the even digit.
+
+    A half is m / (2 * 10^places) for an odd m. The double is multiplied by 2 * 10^places as a sum
+    of powers of two, the largest first, less m: each partial difference of that order is exact.
+    """
+    scale = 10**places
+    x = F.abs(c.cast("double"))
+
+    def nearest(low: Column) -> Column:
+        m = 2 * low + 1
+        rest = -m.cast("double")
+        for power in (1 << k for k in reversed(range((2 * scale).bit_length())) if 2 * scale >> k & 1):
+            rest = rest + x * float(power)
+        return let(rest, lambda r: low + F.when((r > 0) | ((r == 0) & (low % 2 == 1)), 1).otherwise(0))
+
+    units = let(F.floor(x * scale).cast("long"), nearest)
+    text = lambda u: F.concat(F.when(c < 0, "-").otherwise(""), (F.floor(u / scale)).cast("string"), *([F.lit("."), F.lpad((u % scale).cast("string"), places, "0")] if places else []))
+    return let(units, text)
 
 
 def leading_count(c: Column) -> Column:

@@ -1,5 +1,5 @@
 """Information extraction from texts: names against a taxonomy, methods, parts, places, traits,
-evidence and statements. Dictionaries are arguments; ``functions.dictionaries`` has starters."""
+evidence and statements. Dictionaries are arguments, or tables of ``sources.reference``."""
 
 from __future__ import annotations
 
@@ -190,9 +190,6 @@ COORDINATES = [
     r"\b\d{6}[NS]\s*\d{6}[EW]\b",
     r"\b\d{8}[NS][EW]\b",
 ]
-#: One degree with a direction or a decimal pair; what STR21's SQL takes for a coordinate.
-DEGREES = r"""\d{1,3}\s*[°º]\s*\d{0,2}[.,]?\d*\s*['′]?\s*[\d.]*["″]?\s*[NSEW]|\d{1,3}\.\d+\s*[°º]?\s*[NSEW]\b|[-+]?\d{1,2}\.\d{2,}\s*,\s*[-+]?\d{1,3}\.\d{2,}"""
-
 
 def has_coordinates(c: Column) -> Column:
     """Whether any of all matches is possible: of two or more numbers one is at most 90, a single
@@ -203,12 +200,6 @@ def has_coordinates(c: Column) -> Column:
     return F.coalesce(F.exists(hits, lambda hit: possible(numbers(hit))), F.lit(False))
 
 
-def has_degrees(c: Column) -> Column:
-    """Whether a degree or a decimal pair is given whose first number is a possible degree."""
-    first = F.regexp_extract(F.regexp_extract(c, f"({DEGREES})", 1), r"(\d+(?:\.\d+)?)", 1)
-    return c.rlike(DEGREES) & (first.cast("double") <= 180)
-
-
 def standard_country(c: Column, canonical: list[str], synonyms: dict[str, str]) -> Column:
     """A country's canonical name: the title-cased name if it is one, else by synonym, else the
     title-cased input."""

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from quillspark.functions.text import normalize_text, snake_case
 
@@ -121,29 +122,46 @@ def containing(docs: DataFrame, text: str, terms: DataFrame, term: str) -> DataF
 
 
 # --- duplicates -------------------------------------------------------------------------------
-def first_by(df: DataFrame, keys: Keys, order: Sequence[str | Column]) -> DataFrame:
-    """The first row of each key in the order; null keys are one group."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+def digest(*keys: str) -> Column:
+    """128 bits that stand for the values of the keys; nulls are told from empty values. Long
+    texts are compared and shuffled by it instead of as they are."""
+    told = [F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("n")) for k in keys]
+    return F.md5(F.concat_ws("\x1f", *told).cast("binary"))
+
+
+def first_by(df: DataFrame, keys: Keys, order: Sequence[str | Column], group: Sequence[str | Column] = ()) -> DataFrame:
+    """The first row of each key in the order; null keys are one group. ``group`` may give other
+    expressions that tell the keys apart.
+
+    Where the order is one of columns, the first row is an aggregate, so that a key with very many
+    rows is reduced before the shuffle; else the rows of a key are numbered.
+    """
+    by = list(group or keys)
+    if all(isinstance(o, str) for o in order) and not any(isinstance(f.dataType, (MapType, VariantType)) for f in df.schema):
+        rest = [c for c in df.columns if c not in order]
+        least = df.groupBy(*[(F.col(k) if isinstance(k, str) else k).alias(f"_key{i}") for i, k in enumerate(by)]).agg(F.min(F.struct(*order, *rest)).alias("_first"))
+        return least.select(*[F.col("_first").getField(c).alias(c) for c in df.columns])
+    w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def first_by_keyed(df: DataFrame, key: str, order: Sequence[str | Column]) -> DataFrame:
+def first_by_keyed(df: DataFrame, key: str, order: Sequence[str | Column], group: Column | None = None) -> DataFrame:
     """As ``first_by``, but all rows with a null or empty key stay."""
     missing = F.col(key).isNull() | (F.col(key) == "")
-    return first_by(df.where(~missing), [key], order).unionByName(df.where(missing))
+    return first_by(df.where(~missing), [key], order, [group] if group is not None else ()).unionByName(df.where(missing))
 
 
 def first_by_text(df: DataFrame, text: str, order: Sequence[str | Column]) -> DataFrame:
-    """The first row of each normalised text; rows without text stay."""
-    keyed = df.withColumn("_norm", normalize_text(F.col(text)))
+    """The first row of each normalised text, told apart by digests; rows without text stay."""
+    norm = normalize_text(F.col(text))
+    keyed = df.withColumn("_norm", F.when(F.coalesce(norm, F.lit("")) != "", F.md5(norm.cast("binary"))))
     return first_by_keyed(keyed, "_norm", order).drop("_norm")
 
 
 def without_duplicated(df: DataFrame, keys: Keys) -> DataFrame:
     """Only rows whose key is unique: all members of larger groups go."""
-    many = df.groupBy(*keys).count().where("count > 1").drop("count")
-    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(many[k]) for k in keys])
-    return df.join(many, same, "left_anti")
+    many = df.groupBy(digest(*keys).alias("_many")).count().where("count > 1").select("_many")
+    return df.join(many, digest(*keys) == F.col("_many"), "left_anti")
 
 
 def duplicate_report(df: DataFrame, keys: Keys) -> DataFrame:

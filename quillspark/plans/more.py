@@ -55,13 +55,13 @@ register("STR15", f"WITH {_ASCII} SELECT id, regexp_matches(abstract, '(?i)\\bth
 register("STR16", f"WITH {_ASCII} SELECT id, regexp_matches(abstract, '(?i)\\bof\\s+the\\b') AS hit FROM docs")(lambda s, d: _ascii(s, d).select("id", F.col("abstract").rlike(r"(?i)(?<!\w)of\s+the(?!\w)").alias("hit")))
 register("STR18", "SELECT c_custkey, CASE WHEN regexp_matches(c_mktsegment, '\\bBUILDING\\b') THEN 'Houses' WHEN regexp_matches(c_mktsegment, '\\bMACHINERY\\b') THEN 'Works' END AS place FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment").rlike(r"\bBUILDING\b"), "Houses").when(F.col("c_mktsegment").rlike(r"\bMACHINERY\b"), "Works").alias("place")))
 register("STR19", "SELECT r_name, trim(c) AS country FROM (SELECT r_name, unnest(string_split(r_name || 'land; Multiple others; ' || r_name || 'ia', ';')) AS c FROM region) WHERE trim(c) NOT LIKE 'Multiple%'")(lambda s, d: tb.separated(table(s, d, "region").select("r_name", F.concat("r_name", F.lit("land; Multiple others; "), "r_name", F.lit("ia")).alias("country")), "country").where("country not like 'Multiple%'"))
-register("STR21", "SELECT c_custkey, c_acctbal / 100 BETWEEN 10 AND 99.99 AS hit FROM customer WHERE c_acctbal >= 1000")(lambda s, d: table(s, d, "customer").where("c_acctbal >= 1000").select("c_custkey", ex.has_degrees(F.format_string("%.4f N", F.col("c_acctbal") / 100)).alias("hit")))
-register("STR21_whole", None)(lambda s, d: docs(s, d).select("id", ex.has_coordinates(F.col("abstract")).alias("hit")))
-register("STR24", None)(lambda s, d: docs(s, d).select("id", tx.context_words(F.col("abstract"), "of the").alias("context")).where("context is not null"))
+_HITS = "regexp_extract_all(abstract, '" + "|".join(ex.COORDINATES).replace("'", "''") + "')"
+_POSSIBLE = "CASE WHEN len(n) >= 2 THEN len(list_filter(n, lambda x: abs(x) <= 90)) > 0 ELSE len(list_filter(n, lambda x: abs(x) <= 180 OR x >= 100000)) > 0 END"
+register("STR21", f"WITH {DOCS}, h AS (SELECT id, unnest({_HITS}) AS h FROM docs), n AS (SELECT id, list_transform(regexp_extract_all(h, '-?\\d+\\.?\\d*'), lambda x: CAST(x AS DOUBLE)) AS n FROM h) SELECT id, id IN (SELECT id FROM n WHERE {_POSSIBLE}) AS hit FROM docs")(lambda s, d: docs(s, d).select("id", ex.has_coordinates(F.col("abstract")).alias("hit")))
+register("STR24", f"WITH {DOCS}, t AS (SELECT id, list_filter(regexp_split_to_array(lower(abstract), '\\s+'), lambda x: x <> '') AS t FROM docs), p AS (SELECT id, t, list_position(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), 'of the') AS p FROM t), g AS (SELECT id, array_to_string(t[greatest(1, p - 15):p + 16], ' ') AS g FROM p WHERE p > 0) SELECT id, CASE WHEN length(g) > 300 THEN left(g, 300) || '...' ELSE g END AS context FROM g")(lambda s, d: docs(s, d).select("id", tx.context_words(F.col("abstract"), "of the").alias("context")).where("context is not null"))
 register("STR25", None)(lambda s, d: docs(s, d).select("id", tx.context_chars(F.col("abstract"), "of the").alias("context")).where("context is not null"))
 register("STR27", None)(lambda s, d: ex.statements(docs(s, d), "id", "abstract", {"x": ["of the thing", "that the"]}))
-register("STR28", "SELECT s_suppkey, arg_min(n_name, levenshtein(right(s_name, 2), right(n_name, 2)) * 1000 + n_nationkey) AS nearest FROM supplier JOIN nation ON s_nationkey % 5 = n_nationkey % 5 GROUP BY 1")(lambda s, d: table(s, d, "supplier").join(F.broadcast(table(s, d, "nation")), F.expr("s_nationkey % 5 = n_nationkey % 5")).groupBy("s_suppkey").agg(F.min_by("n_name", F.expr("levenshtein(right(s_name, 2), right(n_name, 2)) * 1000 + n_nationkey")).alias("nearest")))
-register("STR28_whole", "SELECT s_suppkey, d AS distance, CASE WHEN d <= 0.15 THEN n_name END AS nearest FROM (SELECT s_suppkey, n_name, n_nationkey, round(1 - jaro_winkler_similarity(s_name, n_name), 9) AS d FROM supplier CROSS JOIN nation) QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY d, n_nationkey) = 1")(lambda s, d: ex.nearest_names(table(s, d, "supplier"), "s_suppkey", "s_name", table(s, d, "nation"), "n_name", "n_nationkey"))
+register("STR28", "SELECT s_suppkey, d AS distance, CASE WHEN d <= 0.15 THEN n_name END AS nearest FROM (SELECT s_suppkey, n_name, n_nationkey, round(1 - jaro_winkler_similarity(s_name, n_name), 9) AS d FROM supplier CROSS JOIN nation) QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY d, n_nationkey) = 1")(lambda s, d: ex.nearest_names(table(s, d, "supplier"), "s_suppkey", "s_name", table(s, d, "nation"), "n_name", "n_nationkey"))
 register("STR34", "SELECT r_regionkey, CASE WHEN lower(r_name) LIKE 'a%' THEN 'Plantae' ELSE 'Fungi' END AS kingdom FROM region")(lambda s, d: table(s, d, "region").select("r_regionkey", F.when(F.lower("r_name").like("a%"), "Plantae").otherwise("Fungi").alias("kingdom")))
 register("STR36", "SELECT p_partkey FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'box')")(lambda s, d: table(s, d, "part").where(F.contains("p_name", F.lit("ring")) | F.contains("p_name", F.lit("box"))).select("p_partkey"))
 register("STR38", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN contains(p_name, 'sm') THEN 'small' END, CASE WHEN contains(p_name, 'in') THEN 'in' END], lambda x: x IS NOT NULL), '; ') AS found FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.filter(F.array(F.when(F.contains("p_name", F.lit("sm")), "small"), F.when(F.contains("p_name", F.lit("in")), "in")), lambda x: x.isNotNull()), "; ").alias("found")))
@@ -76,9 +76,8 @@ register("EXT23", "SELECT n_name, count(c_custkey) AS n, count(c_custkey) > 0 AS
 
 # --- models -----------------------------------------------------------------------------------
 _labelled = lambda s, d: table(s, d, "documents").select("doc_id", "text").join(table(s, d, "labels").select("doc_id", "toxic"), "doc_id")
-register("ML2", f"WITH {DOCS}, w AS (SELECT id, regexp_extract_all(lower(abstract), '([\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*)', 1) AS t FROM docs), b AS (SELECT id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])) AS bigram FROM w) SELECT id, bigram, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) >= 2")(lambda s, d: docs(s, d).select("id", F.explode(tx.ngrams(tx.words(F.col("abstract")), 2, "_")).alias("bigram")).groupBy("id", "bigram").agg(F.count("*").alias("n")).where("n >= 2"))
 _STOPS = ", ".join(f"'{w}'" for w in STOP)
-register("ML2_whole", f"WITH {DOCS}, w AS (SELECT id, regexp_extract_all(lower(abstract), '([\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*)', 1) AS t FROM docs), p AS (SELECT id, t[i] AS a, t[i + 1] AS b FROM (SELECT id, t, unnest(range(1, len(t))) AS i FROM w)), c AS (SELECT id, a || '_' || b AS bigram, count(*) AS n FROM p WHERE a NOT IN ({_STOPS}) AND b NOT IN ({_STOPS}) AND NOT regexp_matches(a || b, '\\p{{Nd}}') GROUP BY 1, 2), k AS (SELECT bigram FROM c GROUP BY 1 HAVING sum(n) >= 2) SELECT docs.id, m.bigram, coalesce(m.n, 0) AS n FROM docs LEFT JOIN (SELECT * FROM c WHERE bigram IN (SELECT bigram FROM k)) m ON docs.id = m.id")(lambda s, d: ex.bigram_counts(docs(s, d), "id", "abstract", STOP))
+register("ML2", f"WITH {DOCS}, w AS (SELECT id, regexp_extract_all(lower(abstract), '([\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*)', 1) AS t FROM docs), p AS (SELECT id, t[i] AS a, t[i + 1] AS b FROM (SELECT id, t, unnest(range(1, len(t))) AS i FROM w)), c AS (SELECT id, a || '_' || b AS bigram, count(*) AS n FROM p WHERE a NOT IN ({_STOPS}) AND b NOT IN ({_STOPS}) AND NOT regexp_matches(a || b, '\\p{{Nd}}') GROUP BY 1, 2), k AS (SELECT bigram FROM c GROUP BY 1 HAVING sum(n) >= 2) SELECT docs.id, m.bigram, coalesce(m.n, 0) AS n FROM docs LEFT JOIN (SELECT * FROM c WHERE bigram IN (SELECT bigram FROM k)) m ON docs.id = m.id")(lambda s, d: ex.bigram_counts(docs(s, d), "id", "abstract", STOP))
 register("ML5", None)(lambda s, d: tr.balanced_by_neighbours(table(s, d, "labels").join(table(s, d, "documents"), "doc_id").withColumn("n_chars", F.col("n_chars").cast("double")), "toxic", 1, ["n_chars"], 2, "doc_id"))
 register("ML8", None)(lambda s, d: tr.predicted(tr.elastic_net(_labelled(s, d), "text", "toxic"), table(s, d, "documents"), "text", "doc_id"))
 register("ML9", None)(lambda s, d: tr.predicted(tr.linear_svm(_labelled(s, d), "text", "toxic"), table(s, d, "documents"), "text", "doc_id"))

@@ -84,7 +84,7 @@ register("DED5", "SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM line
 register("DED6", "WITH u AS (SELECT doc_id AS id, 1 AS p FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 2 FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, 3 FROM documents) SELECT id, min(p) AS p FROM u GROUP BY id")(lambda s, d: (lambda l: tb.first_by(l.where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit(1).alias("p")).union(l.where("quality = 0").select("doc_id", F.lit(2))).union(table(s, d, "documents").select("doc_id", F.lit(3))), ["id"], ["p"]))(table(s, d, "labels")))
 register("DED7", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")(lambda s, d: table(s, d, "lineitem").select("l_returnflag", "l_linestatus").distinct())
 register("DED8", "SELECT doc_id FROM documents WHERE (text, lang) NOT IN (SELECT text, lang FROM documents GROUP BY 1, 2 HAVING count(*) > 1)")(lambda s, d: tb.without_duplicated(table(s, d, "documents"), ["text", "lang"]).select("doc_id"))
-register("DED9", "SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")(lambda s, d: tb.first_by(table(s, d, "documents"), ["text"], ["doc_id"]).select("doc_id", "text"))
+register("DED9", "SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")(lambda s, d: tb.first_by(table(s, d, "documents"), ["text"], ["doc_id"], [tb.digest("text")]).select("doc_id", "text"))
 register("DED10", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(lambda s, d: tb.first_by(table(s, d, "orders"), ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey"))
 register("DED11", "SELECT lower(p_name) AS synonym, arg_min(p_brand, p_partkey) AS accepted FROM part GROUP BY 1")(lambda s, d: table(s, d, "part").groupBy(F.lower("p_name").alias("synonym")).agg(F.min_by("p_brand", "p_partkey").alias("accepted")))
 register("DED12", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")(lambda s, d: tb.duplicate_report(table(s, d, "lineitem"), ["l_partkey"]))

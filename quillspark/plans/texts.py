@@ -25,8 +25,7 @@ register("STR1", f"WITH {DOCS} SELECT id, trim(regexp_replace(regexp_replace(low
 register("STR2", f"WITH {DOCS} SELECT id, {_PRE.format(c='abstract')} AS pre FROM docs")(lambda s, d: docs(s, d).select("id", tx.preprocessed(F.col("abstract")).alias("pre")))
 register("STR3", f"WITH {DOCS} SELECT id, len({_TOK.format(c='abstract')}) AS n FROM docs")(lambda s, d: docs(s, d).select("id", F.size(tx.tokens(F.col("abstract"))).cast("long").alias("n")))
 register("STR4", f"WITH {DOCS}, w AS (SELECT id, unnest({_WORDS.format(c='abstract')}) AS word FROM docs) SELECT id, word, count(*) AS n FROM w GROUP BY 1, 2")(lambda s, d: docs(s, d).select("id", F.explode(tx.words(F.col("abstract"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n")))
-register("STR5", f"WITH {DOCS}, w AS (SELECT id, {_WORDS.format(c='abstract')} AS t FROM docs), b AS (SELECT id, unnest({_BI.format(t='t')}) AS bigram FROM w) SELECT bigram, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 3")(lambda s, d: docs(s, d).select(F.explode(tx.ngrams(tx.words(F.col("abstract")), 2)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n")).where("n >= 3"))
-register("STR5_whole", f"WITH {DOCS}, w AS (SELECT id, {_WORDS.format(c='abstract')} AS t FROM docs), b AS (SELECT unnest({_BI.format(t='t')}) AS bigram FROM w) SELECT bigram, count(*) AS n FROM b GROUP BY 1")(lambda s, d: docs(s, d).select(F.explode(tx.ngrams(tx.words(F.col("abstract")), 2)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n")))
+register("STR5", f"WITH {DOCS}, w AS (SELECT id, {_WORDS.format(c='abstract')} AS t FROM docs), b AS (SELECT unnest({_BI.format(t='t')}) AS bigram FROM w) SELECT bigram, count(*) AS n FROM b GROUP BY 1")(lambda s, d: docs(s, d).select(F.explode(tx.ngrams(tx.words(F.col("abstract")), 2)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n")))
 #: Letters beyond ASCII are masked where word bounds matter: engines differ in what bounds they make.
 _ASCII = DOCS.replace("text AS abstract", "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS abstract")
 _ascii = lambda s, d: docs(s, d).withColumn("abstract", F.regexp_replace("abstract", r"[^\x00-\x7F]", "_"))
@@ -51,7 +50,7 @@ register("STR30", "SELECT p_partkey, p_name LIKE 's%' AS s, p_name LIKE '%ring'
 register("STR31", "SELECT o_orderkey, CAST(o_orderkey * 12345 AS BIGINT) AS n FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", tx.leading_count(F.concat(F.format_number(F.col("o_orderkey") * 12345, 0), F.lit(" species"))).alias("n")))
 register("STR32", "SELECT c_custkey, regexp_replace(regexp_extract(c_name, '^([^, ]+)', 1), '[^A-Za-z0-9]', '', 'g') || '_' || (2000 + c_custkey % 20) || '.pdf' AS file FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", tx.safe_file_name(F.col("c_name"), 2000 + F.col("c_custkey") % 20).alias("file")))
 register("STR33", "SELECT o_orderkey, CASE WHEN regexp_matches(lower(o_orderpriority), '^[12]') THEN 'Presence' WHEN regexp_matches(lower(o_orderpriority), '^5') THEN 'Absence' ELSE 'Other' END AS label FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", F.when(F.lower("o_orderpriority").rlike("^[12]"), "Presence").when(F.lower("o_orderpriority").rlike("^5"), "Absence").otherwise("Other").alias("label")))
-register("STR35", "SELECT c_custkey, printf('%.1f%%', c_acctbal / 100) AS share FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", F.concat(F.format_string("%.1f", F.round(F.col("c_acctbal") / 100, 1)), F.lit("%")).alias("share")))
+register("STR35", "SELECT c_custkey, printf('%.1f%%', c_acctbal / 100) AS share FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", F.concat(tx.fixed(F.col("c_acctbal") / 100, 1), F.lit("%")).alias("share")))
 register("STR39", "SELECT p_brand, p_brand || ' (n = ' || count(*) || ')' AS label FROM part GROUP BY 1")(lambda s, d: table(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).select("p_brand", F.format_string("%s (n = %d)", "p_brand", "n").alias("label")))
 register("MTH6", "SELECT p_partkey, levenshtein(p_name, p_type) AS distance, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS similarity FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("distance"), F.round(tx.similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity")))
 
@@ -61,8 +60,7 @@ register("TIM2", f"WITH {DOCS} SELECT year // 5 * 5 || '-' || (year // 5 * 5 + 4
 register("TIM3", f"WITH {DOCS} SELECT id, CASE WHEN year > 1980 THEN CAST(1980 + 5 * (ceil((year - 1980) / 5.0) - 1) AS BIGINT) || '-' || CAST(1984 + 5 * (ceil((year - 1980) / 5.0) - 1) AS BIGINT) END AS period FROM docs")(lambda s, d: docs(s, d).select("id", md.period_right_closed(F.col("year")).alias("period")))
 register("TIM4", "SELECT o_orderkey, substr(CAST(o_orderdate AS VARCHAR), 1, 4) AS year FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", F.substring(F.col("o_orderdate").cast("string"), 1, 4).alias("year")))
 register("TIM5", f"WITH {DOCS} SELECT source, max(year) - min(year) + 1 AS span FROM docs GROUP BY 1")(lambda s, d: docs(s, d).groupBy("source").agg((F.max("year") - F.min("year") + 1).alias("span")))
-register("MTH1", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 2) AS x FROM lineitem WHERE l_linenumber < 3 AND abs(l_extendedprice * l_discount * 100 - floor(l_extendedprice * l_discount * 100) - 0.5) > 0.001")(lambda s, d: table(s, d, "lineitem").where("l_linenumber < 3 and abs(l_extendedprice * l_discount * 100 - floor(l_extendedprice * l_discount * 100) - 0.5) > 0.001").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * F.col("l_discount"), 2).alias("x")))
-register("MTH1_whole", "SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(15, 2)) * CAST(l_discount AS DECIMAL(15, 2)), 2) AS DOUBLE) AS x FROM lineitem")(lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr("cast(round(cast(l_extendedprice as decimal(15, 2)) * cast(l_discount as decimal(15, 2)), 2) as double)").alias("x")))
+register("MTH1", "SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(15, 2)) * CAST(l_discount AS DECIMAL(15, 2)), 2) AS DOUBLE) AS x FROM lineitem")(lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr("cast(round(cast(l_extendedprice as decimal(15, 2)) * cast(l_discount as decimal(15, 2)), 2) as double)").alias("x")))
 register("MTH2", "SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS lo, CAST(ceil(c_acctbal) AS BIGINT) AS hi, round(sqrt(abs(c_acctbal)), 6) AS root, round(log10(abs(c_acctbal) + 1), 6) AS lg FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", F.floor("c_acctbal").alias("lo"), F.ceil("c_acctbal").alias("hi"), F.round(F.sqrt(F.abs("c_acctbal")), 6).alias("root"), F.round(F.log10(F.abs("c_acctbal") + 1), 6).alias("lg")))
 register("MTH3", f"WITH {CLASSES} SELECT id, greatest(conf, conf2) AS hi, least(conf, conf2) AS lo FROM classes")(lambda s, d: classes(s, d).select("id", F.greatest("conf", "conf2").alias("hi"), F.least("conf", "conf2").alias("lo")))
 register("MTH4", "SELECT d.doc_id, coalesce(quality, 0) AS quality FROM documents d LEFT JOIN labels USING (doc_id)")(lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0)).alias("quality")))
@@ -90,9 +88,8 @@ _weighted = lambda s, d: classes(s, d).select("id", md.ensemble_weighted(F.col("
 register("ML12", f"WITH {CLASSES}, e AS (SELECT id, round(0.6::DOUBLE * conf + 0.4::DOUBLE * conf2, 9) AS p, round(0.8::DOUBLE * (1 - conf2) + 0.2::DOUBLE * (1 - conf), 9) AS a FROM classes) SELECT id, CASE WHEN p > a THEN 'Presence' ELSE 'Absence' END AS label FROM e")(lambda s, d: _weighted(s, d).select("id", "e.label"))
 register("ML13", f"WITH {CLASSES} SELECT id, CASE WHEN round(0.8::DOUBLE * (1 - conf2) + 0.2::DOUBLE * (1 - conf), 6) > 0.55 THEN 'Absence' ELSE 'Presence' END AS label FROM classes")(lambda s, d: _weighted(s, d).select("id", md.ensemble_threshold(F.col("e.absence")).alias("label")))
 register("ML14", f"WITH {CLASSES} SELECT id, t AS threshold, CASE WHEN conf2 > t THEN 'Absence' ELSE label END AS label FROM classes CROSS JOIN (SELECT unnest([0.5::DOUBLE, 0.6::DOUBLE, 0.7::DOUBLE, 0.8::DOUBLE]) AS t)")(lambda s, d: classes(s, d).withColumn("threshold", F.explode(F.array(*map(F.lit, (0.5, 0.6, 0.7, 0.8))))).select("id", "threshold", F.when(F.col("conf2") > F.col("threshold"), "Absence").otherwise(F.col("label")).alias("label")))
-register("ML16", f"WITH {CLASSES} SELECT id, CASE WHEN conf >= 0.8 THEN 'Relevant' WHEN conf <= 0.2 THEN 'Irrelevant' ELSE 'Uncertain' END AS strict FROM classes WHERE abs(conf - 0.2) > 0.001")(lambda s, d: classes(s, d).where("abs(conf - 0.2) > 0.001").select("id", md.threshold_label(F.col("conf"), 0.8, "Relevant", "Irrelevant").alias("strict")))
 _LEVELS = {"relevance": ("conf", "Relevant", "Irrelevant", {"loose": "0.5", "medium": "0.6", "strict": "0.8"}), "pa": ("conf2", "Presence", "Absence", {"loose": "0.5", "medium": "0.6", "strict": "0.8", "super_strict": "0.9"})}
-register("ML16_whole", f"WITH {CLASSES} SELECT id, " + ", ".join(f"CASE WHEN CAST({c} AS DECIMAL(4, 2)) >= {t} THEN '{yes}' WHEN 1 - CAST({c} AS DECIMAL(4, 2)) >= {t} THEN '{no}' ELSE 'Uncertain' END AS {k}_{level}" for k, (c, yes, no, ts) in _LEVELS.items() for level, t in ts.items()) + " FROM classes")(lambda s, d: classes(s, d).select("id", *[md.threshold_label(F.col(c).cast("decimal(4,2)"), Decimal(t), yes, no).alias(f"{k}_{level}") for k, (c, yes, no, ts) in _LEVELS.items() for level, t in ts.items()]))
+register("ML16", f"WITH {CLASSES} SELECT id, " + ", ".join(f"CASE WHEN CAST({c} AS DECIMAL(4, 2)) >= {t} THEN '{yes}' WHEN 1 - CAST({c} AS DECIMAL(4, 2)) >= {t} THEN '{no}' ELSE 'Uncertain' END AS {k}_{level}" for k, (c, yes, no, ts) in _LEVELS.items() for level, t in ts.items()) + " FROM classes")(lambda s, d: classes(s, d).select("id", *[md.threshold_label(F.col(c).cast("decimal(4,2)"), Decimal(t), yes, no).alias(f"{k}_{level}") for k, (c, yes, no, ts) in _LEVELS.items() for level, t in ts.items()]))
 register("ML19", f"WITH {CLASSES} SELECT t AS cut, count(*) FILTER (conf >= t AND label = 'Presence') AS tp, count(*) FILTER (conf >= t AND label = 'Absence') AS fp FROM classes CROSS JOIN (SELECT unnest(range(0, 11)) / 10 AS t) GROUP BY 1")(lambda s, d: classes(s, d).withColumn("cut", F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: i / F.lit(10.0)))).groupBy("cut").agg(F.sum(((F.col("conf") >= F.col("cut")) & (F.col("label") == "Presence")).cast("long")).alias("tp"), F.sum(((F.col("conf") >= F.col("cut")) & (F.col("label") == "Absence")).cast("long")).alias("fp")))
 register("ML23", "SELECT quality, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percentage, round(avg(n_chars), 4) AS mean_length FROM labels JOIN documents USING (doc_id) GROUP BY 1")(lambda s, d: (lambda j: tb.counted_with_share(j, "quality").join(j.groupBy("quality").agg(F.round(F.avg("n_chars"), 4).alias("mean_length")), "quality"))(table(s, d, "labels").join(table(s, d, "documents"), "doc_id")))
 register("AN17", f"WITH {CLASSES} SELECT CASE WHEN conf IS NULL THEN 'Unknown' WHEN conf >= 0.9 THEN 'Very High' WHEN conf >= 0.8 THEN 'High' WHEN conf >= 0.7 THEN 'Medium' WHEN conf >= 0.6 THEN 'Low' ELSE 'Very Low' END AS band, count(*) AS n FROM classes GROUP BY 1")(lambda s, d: classes(s, d).groupBy(md.confidence_band(F.col("conf")).alias("band")).agg(F.count("*").alias("n")))

@@ -126,11 +126,11 @@ def test_bigrams_by_corpus_count(spark):
 def test_halves_and_ties(spark, tmp_path):
     lines = [(1, 1, 0.50, 0.01), (1, 7, 12.50, 0.05), (2, 3, 100.10, 0.05), (2, 4, 3.33, 0.10)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
-    got = {(r.l_orderkey, r.l_linenumber): r.x for r in catalogue.queries()["MTH1_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.l_orderkey, r.l_linenumber): r.x for r in catalogue.queries()["MTH1"](spark, str(tmp_path)).collect()}
     assert got == {(1, 1): 0.01, (1, 7): 0.63, (2, 3): 5.01, (2, 4): 0.33}
     labels = [(i, 0, 1) for i in range(101)]  # both confidences take each of 0.00 to 1.00
     spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    rows = {r.id: r for r in catalogue.queries()["ML16_whole"](spark, str(tmp_path)).collect()}
+    rows = {r.id: r for r in catalogue.queries()["ML16"](spark, str(tmp_path)).collect()}
     assert len(rows) == 101
     for i, r in rows.items():
         for p, yes, no, kind in ((i * 37 % 101, "Relevant", "Irrelevant", "relevance"), (i * 53 % 101, "Presence", "Absence", "pa")):
@@ -165,3 +165,33 @@ def test_many_to_one_is_checked(spark):
     left, right = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
     with pytest.raises(Exception, match="more than once"):
         tb.left_many_to_one(left, right, ["k"]).collect()
+
+
+def test_context_of_a_long_text(spark):
+    import time
+
+    text = " ".join(f"w{i % 977}" for i in range(20_000)) + " of the end"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "of the"), (4, "")], "id long, t string")
+    began = time.time()
+    got = {r.id: r.c for r in df.select("id", tx.context_words(F.col("t"), "of the").alias("c")).collect()}
+    assert got[1].endswith("of the end") and len(got[1].split()) == 18
+    assert (got[2], got[3], got[4]) == (None, "of the", None)
+    assert df.select(F.explode(tx.ngrams(tx.words(F.col("t")), 2))).count() == 20_002 + 1
+    assert time.time() - began < 20
+
+
+def test_fixed_places_are_those_of_the_binary_value(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [0.25, 0.35, 0.05, 0.15, 1.005, 2.675, 0.5, 1.5, 2.5, -0.25, -0.35, 99.95, 1e6 + 0.05, 0.0, *(rng.randrange(-200_000, 200_000) / 100 for _ in range(3_000)), *(rng.randrange(10**7) / 1_000 + 0.0005 for _ in range(1_000))]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in df.select("v", *[tx.fixed(F.col("v"), k).alias(f"f{k}") for k in (0, 1, 2, 3)]).collect():
+        assert [r.f0, r.f1, r.f2, r.f3] == [f"{r.v:.{k}f}" for k in (0, 1, 2, 3)], r.v
+
+
+def test_first_by_digest(spark):
+    rows = [(3, "a", None), (1, "a", 5), (2, None, 1), (4, None, 0), (5, "", 2)]
+    df = spark.createDataFrame(rows, "id long, t string, x int")
+    assert sorted(tuple(r) for r in tb.first_by(df, ["t"], ["id"], [tb.digest("t")]).collect()) == [(1, "a", 5), (2, None, 1), (5, "", 2)]
+    assert sorted(r.id for r in tb.without_duplicated(df, ["t"]).collect()) == [5]
