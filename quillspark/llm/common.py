@@ -21,8 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediates within the shared one."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediates of this application, once its results are written: results are
+    lazy and read what their operators stored."""
+    discard(spark, run_dir(spark))
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -41,6 +52,35 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Keys with more than one in so many of all rows are joined by broadcast; there are fewer of them.
+HEAVY = 20_000
+
+
+def split_join(rows: DataFrame, facts: DataFrame, key: str, total: int, heavy: int = HEAVY) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row a key and says in ``n`` how many of the
+    ``total`` rows the key has.
+
+    Fewer than ``heavy`` keys can have more than ``total / heavy`` rows, whatever the data: these
+    are broadcast, so that their rows stay where they are. All others are shuffled, and no key
+    brings more than ``total / heavy`` rows into a task. Both sides are read twice.
+    """
+    most = max(total // heavy, 1)
+    many, few = facts.where(F.col("n") > most), facts.where(F.col("n") <= most)
+    here = rows.join(F.broadcast(many), key)
+    return here.unionByName(rows.join(F.broadcast(many.select(key)), key, "left_anti").join(few, key))
+
+
 def lean(run):
     """Wrap the function of a ``mapInArrow``: what a worker has freed goes back to the system
     when a task ends, as idle workers stay beside the executor's own memory."""

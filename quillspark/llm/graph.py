@@ -5,29 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, split_join, stored
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """The smallest neighbour of each node, and the number of its edges."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of an edge; the component is its smallest node.
 
-    Each step only groups by a node and joins its smallest neighbour back, so a node with very
-    many neighbours is pre-aggregated and its join can be split; nothing is collected.
+    A step groups by a node, which is pre-aggregated, and joins its smallest neighbour back to its
+    edges. Nodes with a large share of all edges (few, whatever the graph) are joined by broadcast,
+    so their edges are not brought together; nothing is collected.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     now, path = stored(pairs, "edges")
-    mark = None
+    total, mark = now.count(), None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        least = _least(both).withColumn("m", F.least("u", "m"))
+        large = split_join(both.where("v > u"), least, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large, p1 = stored(large, "edges")
+        least, p2 = stored(_least(large), "edges")
+        small = split_join(large, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", F.col("m").alias("v"))).distinct()
         after, to = stored(small, "edges")
         got = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(spark, path)
-        now, path = after, to
+        discard(spark, path, p1, p2)
+        now, path, total = after, to, got[0]
         if got == mark:
             break
         mark = got

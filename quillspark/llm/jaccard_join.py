@@ -3,17 +3,26 @@
 1. Each text becomes its set of distinct word shingles (64-bit hashes). Texts with the same set
    are one record, named by its smallest doc_id.
 2. Two linked records of n shingles must share at least K(n) of their prefixes, the
-   floor((1-t)n) + K(n) smallest hashes. Only prefixes are shuffled; a record that has not K
-   prefix shingles in common with *any* others is linked with nothing and drops out. Of the
-   common ones each record keeps all but its K-1 most frequent, so at least one stays shared.
-3. Records that share a kept shingle form clusters (connected components); all links lie within
-   clusters. Clusters too large for one task are searched as pairs of blocks, after all records
-   that are linked to the cluster's smallest record are settled with it.
-4. Within a block pair, DivideSkip: the inverted lists of a record's shingles are split into the
-   longest and the rest; the rest are heap-merged (by counting where they are many), and records
-   that occur there often enough are probed in the long lists by binary search. Those that reach
-   the overlap are links. Pairs already connected are not searched again, which changes no
-   component.
+   floor((1-t)n) + K(n) smallest hashes. Only prefixes are shuffled, as inverted lists; a record
+   that has not K prefix shingles in common with *any* others is linked with nothing and drops out.
+3. Lists are short (up to ``LIST`` records) or long. With L of its lists long, a record shares at
+   least K - L shingles of short lists with whatever it is linked to, so merging the short lists
+   alone, with that threshold, gives all candidates of records with L < K: the DivideSkip rule
+   over the whole corpus. Long lists are never paired.
+4. Records with L >= K lie in large families of near copies, or consist of passages that many
+   others have. Their whole sets are looked at, with their shingles from the rarest to the most
+   frequent among such records: linked ones share one of the first floor((1-t)n) + 1. A text with
+   enough shingles of its own shares none and drops out; the others meet in their family.
+5. Candidates form clusters. Within a cluster DivideSkip decides on the whole sets: the inverted
+   lists of a record's shingles are split into the longest and the rest; the rest are merged, and
+   the records that occur there often enough are probed in the long lists by binary search. Those
+   that reach the overlap are links, and only links make components. Clusters too large for one
+   task are searched as pairs of blocks, after all records that are linked to the cluster's most
+   central one are settled with it. Pairs already connected are not searched again, which changes
+   no component.
+
+Keys that many rows share (a frequent shingle, a family, a set of many copies) are joined by
+``split_join``, so none of them gathers in one task.
 
 Defined cases: null and empty texts and texts without words have an empty set and are linked
 with nothing; rows that share a doc_id count as one record for linking, each row gets its own
@@ -24,19 +33,26 @@ an empty result; columns beside the key and the text are not read.
 from __future__ import annotations
 
 import hashlib
-import heapq
-from itertools import groupby
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lean, shingle_hashes, stored, table
+from .common import discard, lean, shingle_hashes, split_join, stored, table
 from .graph import components
 
 #: Records and shingles of a block at most, roughly.
 BLOCK, BLOCK_SHINGLES = 2_000, 1_500_000
+#: Records in a short list at most: each brings no more than half as many pairs an entry.
+LIST = 32
+#: Clusters that are joined with their centre's set by broadcast, at most.
+FAMILIES = 200
+#: How much dearer merging an entry is than probing for one, in DivideSkip's choice of the long lists.
+MERGE = 0.0085
+#: Searches from single records before the records outside of the largest group are searched.
+CENTRES = 8
 #: Bits of the map that keeps most texts out of the second reading; 8 MB whatever the input.
 MAP_BITS = 1 << 26
 
@@ -98,78 +114,74 @@ def _linked(common: np.ndarray | int, n: np.ndarray | int, m: int, num: int, den
     return den * common >= num * (n + m - common)
 
 
-#: Short lists of more entries in all than this are merged by counting instead of by a heap, and
-#: a binary probe of all long lists costs as much as counting so many of their entries.
-HEAP, PROBE = 4_096, 4_000
-
-
-def divide_skip(sets: list[np.ndarray], sides: list[int], num: int, den: int) -> list[tuple[int, int]]:
+def divide_skip(sets: list[np.ndarray], sides: list[int], num: int, den: int, tally: Counter | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that connect all that is linked; sets are sorted. ``sides``: 0 and 1 when only
-    pairs across the sides count, 2 for records that pair with all."""
+    pairs across the sides count, 2 for records that pair with all. ``tally`` counts the shingles
+    of links found by merging and by probing."""
     size, side = len(sets), np.array(sides)
     n = np.array([len(s) for s in sets])
+    first = np.cumsum(n) - n
     group = np.arange(size)
     out: list[tuple[int, int]] = []
 
-    def join(i: int, j: int) -> None:
-        a, b = sorted((group[i], group[j]))
-        if a != b:
-            group[group == b] = a
-            out.append((i, j))
-
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(size), n)
-    # near copies of one text: a few centres connect most of a large group at one pass each
-    for _ in range(8 if size > 8 else 0):
-        alone = np.flatnonzero(np.bincount(group, minlength=size)[group] == 1)
-        if not len(alone):
-            break
-        c = int(alone[0])
-        common = np.bincount(owner[np.isin(flat, sets[c])], minlength=size)
-        for j in np.flatnonzero(_linked(common, n, n[c], num, den)):
-            if j != c:
-                join(c, int(j))
-    largest = int(np.bincount(group).argmax())
-    queries = np.flatnonzero(group != largest)
-    if not len(queries):
-        return out
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]  # inverted lists: the owners of equal items, ascending
-    for q in queries.tolist():
-        lo, hi = np.searchsorted(flat, sets[q], "left"), np.searchsorted(flat, sets[q], "right")
-        lengths = hi - lo
+    # inverted lists: the owners of equal items, ascending, one after the other
+    items, of = np.unique(np.concatenate(sets), return_inverse=True)
+    place = of * size + np.repeat(np.arange(size), n)
+    place.sort()
+    owner = place % size
+    ends = np.searchsorted(place, np.arange(1, len(items) + 1) * size)
+    starts = np.append(0, ends[:-1])
+
+    def search(q: int) -> None:
+        lists = of[first[q] : first[q] + n[q]]
+        lengths = ends[lists] - starts[lists]
+        lists, lengths = lists[lengths > 1], lengths[lengths > 1]  # lists of one hold q alone
         t = -(-num * int(n[q]) // den)  # the least overlap with any record that is linked to q
-        by_length = np.argsort(-lengths, kind="stable")
-        n_long = max(0, min(t - 1, int(t / (0.0085 * np.log2(max(int(lengths.max()), 2)) + 1))))
-        lists = lambda ks: [owner[lo[k] : hi[k]] for k in ks.tolist() if lengths[k] > 1]  # noqa: E731, B023  (lists of one hold q alone)
-        long_, short = by_length[:n_long], by_length[n_long:]
-        some = lists(short)
-        if sum(map(len, some)) <= HEAP:
-            met = [(j, sum(1 for _ in same)) for j, same in groupby(heapq.merge(*(x.tolist() for x in some)))]
-            ids, counts = (np.array(x, np.int64) for x in zip(*met)) if met else (np.empty(0, np.int64),) * 2
-        else:
-            counts = np.bincount(np.concatenate(some), minlength=size)
-            ids = np.arange(size)
-        keep = (counts >= t - n_long) & (ids != q) & (group[ids] != group[q]) & ((side[ids] != side[q]) | (side[q] == 2))
+        if len(lists) < t:
+            return
+        lists = lists[np.argsort(-lengths, kind="stable")]
+        n_long = max(0, min(t - 1, int(t / (MERGE * np.log2(int(lengths.max())) + 1))))
+        long_, short = lists[:n_long], lists[n_long:]
+        # a natural merge of the sorted short lists, and how often each record comes
+        ids, counts = np.unique(np.sort(np.concatenate([owner[starts[k] : ends[k]] for k in short.tolist()]), kind="stable"), return_counts=True)
+        keep = (counts >= t - n_long) & (group[ids] != group[q]) & ((side[ids] != side[q]) | (side[q] == 2))
+        ids, counts = ids[keep], counts[keep]
+        keep = _linked(counts + n_long, n[ids], n[q], num, den)  # those that the long lists can still bring there
         ids, counts = ids[keep], counts[keep]
-        if len(ids) * PROBE > lengths[long_].sum():
-            more = lists(long_)
-            counts = counts + (np.bincount(np.concatenate(more), minlength=size)[ids] if more else 0)
-            for j in ids[_linked(counts, n[ids], n[q], num, den)].tolist():
-                join(q, j)
-            continue
-        rest = sets[q][np.sort(long_)]
-        for j, count in zip(ids.tolist(), counts.tolist()):
-            if group[j] != group[q] and _linked(count + len(rest), n[j], n[q], num, den):
-                at = np.minimum(np.searchsorted(sets[j], rest), n[j] - 1)
-                if _linked(count + int((sets[j][at] == rest).sum()), n[j], n[q], num, den):
-                    join(q, j)
+        if not len(ids):
+            return
+        # binary search for each of these records in each of the long lists
+        wanted = (long_[:, None] * size + ids[None, :]).ravel()
+        at = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+        probed = (place[at] == wanted).reshape(len(long_), len(ids)).sum(axis=0)
+        for j, merged, more in zip(ids.tolist(), counts.tolist(), probed.tolist()):
+            if _linked(merged + more, n[j], n[q], num, den) and group[j] != group[q]:
+                a, b = sorted((group[q], group[j]))
+                group[group == b] = a
+                out.append((q, j))
+                if tally is not None:
+                    tally["merged"] += merged
+                    tally["probed"] += more
+
+    # near copies of one text: a few searches connect most of a large group
+    tried = np.zeros(size, bool)
+    for _ in range(min(CENTRES, size)):
+        alone = np.flatnonzero((np.bincount(group, minlength=size)[group] == 1) & ~tried)
+        if not len(alone):
+            break
+        tried[alone[0]] = True
+        search(int(alone[0]))
+    # a link from a record of the largest group leads to one that is searched itself
+    anchor = int(np.flatnonzero(group == np.bincount(group).argmax())[0])
+    for q in range(size):
+        if not tried[q] and group[q] != group[anchor]:
+            search(q)
     return out
 
 
 def _search(blocks: DataFrame, num: int, den: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("n", "ascending"), ("rep", "ascending")])
+        t = t.sort_by([("size", "ascending"), ("rep", "ascending")])
         reps = t.column("rep").to_pylist()
         sets = [x.values.to_numpy().view(np.uint64) for x in t.column("items")]
         links = divide_skip(sets, t.column("side").to_pylist(), num, den)
@@ -178,61 +190,93 @@ def _search(blocks: DataFrame, num: int, den: int) -> DataFrame:
     return blocks.groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row; records link when
-    ``den * intersection >= num * union``."""
-    spark = docs.sparkSession
-    rows, _ = stored(_sets(docs, words, num, den), "sets")
-    reps = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps, _ = stored(reps, "reps")
+def _candidates(lists: DataFrame) -> DataFrame:
+    """(a, b) of records that share enough shingles of short lists; ``lists`` has the record's
+    threshold ``need``, its number ``far`` of long lists and the shingles ``near`` of short ones."""
+    each = lists.select("rep", "need", "far", F.explode("near").alias("item"))
+    side = lambda x: each.select("item", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "need", "far")])
+    met = side("a").join(side("b"), "item").where("rep_a < rep_b").groupBy("rep_a", "rep_b", "need_a", "need_b", "far_a", "far_b").agg(F.count("*").alias("c"))
+    return met.where("c >= greatest(need_a, need_b) - least(far_a, far_b)").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+
+def _families(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[str]]:
+    """(a, b) that connect the records of (rep, items) which share one of their rarest shingles,
+    and the folders this reads."""
+    entries, p1 = stored(sets.select("rep", F.size("items").alias("size"), F.explode("items").alias("item")), "entries")
+    often, p2 = stored(entries.groupBy("item").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    found = split_join(entries, often, "item", entries.count()).groupBy("rep", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("found"))
+    # the shingles that are in this record alone come first in the order
+    first = f"size - cast(ceil({num} * size / {den}) as int) + 1 - (size - size(found))"
+    rare, p3 = stored(found.select("rep", F.explode(F.expr(f"slice(found, 1, greatest(0, {first}))")).alias("f")).select("rep", "f.item"), "rare")
+    least, p4 = stored(rare.groupBy("item").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
+    return split_join(rare, least, "item", rare.count()).select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a <> b").distinct(), [p1, p2, p3, p4]
 
+
+def links(docs: DataFrame, words: int, num: int, den: int, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """Verified links (a, b) between the records' smallest doc_ids that connect all linked ones."""
+    spark = docs.sparkSession
     # prefixes of one row of each set; a doc_id with several rows brings those of each
-    one = rows.where("n > 0").join(reps.where("rep is not null"), "set_key").where("doc_id = rep").select("rep", "need", "prefix", "set_key").dropDuplicates(["set_key"])
-    items, p1 = stored(one.select("rep", "need", F.explode("prefix").alias("item")), "items")
-    often, p2 = stored(items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    common = items.join(often, "item")
-    kept = common.groupBy("rep", "need").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("found")).where("size(found) >= need")
-    kept = kept.select("rep", F.explode(F.expr("slice(found, 1, size(found) - int(need) + 1)")).alias("f")).select("rep", "f.item")
-    kept, p3 = stored(kept, "kept")
+    named = reps.where("rep is not null").select(F.col("rep").alias("doc_id"), "set_key")
+    one = rows.where("n > 0").join(named, ["doc_id", "set_key"]).select(F.col("doc_id").alias("rep"), "need", "prefix", "set_key").dropDuplicates(["rep", "set_key"])
+    items, p1 = stored(one.select("rep", "need", F.size("prefix").alias("size"), F.explode("prefix").alias("item")), "items")
+    often, p2 = stored(items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    common = split_join(items, often, "item", items.count())
+    long_ = F.sum((F.col("n") > LIST).cast("int"))
+    lists = common.groupBy("rep", "need", "size").agg(long_.alias("far"), F.collect_list(F.when(F.col("n") <= LIST, F.col("item"))).alias("near")).where("far + size(near) >= need")
+    lists, p3 = stored(lists, "lists")
     discard(spark, p1, p2)
 
-    least = kept.groupBy("item").agg(F.min("rep").alias("least"), F.count("*").alias("c")).where("c > 1")
-    clusters = components(kept.join(least, "item").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    clusters, p4 = stored(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
-    discard(spark, p3)
-
-    sets = _full_sets(docs, words, clusters).join(clusters, "rep").withColumn("n", F.size("items").cast("long")).where("n > 0").dropDuplicates(["rep", "n", "items"])
-    sets, p5 = stored(sets, "members")
-    size = sets.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    size = size.withColumn("parts", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")).where("size > 1")
-    sized = sets.join(size.select("cluster", "parts"), "cluster")
-    small = sized.where("parts = 1").select("cluster", F.lit(0).alias("x"), F.lit(0).alias("y"), "rep", "n", "items", F.lit(2).alias("side"))
-
-    # large clusters: who is linked to the smallest record is settled, the others meet all
-    centre = sized.where("parts > 1 and rep = cluster").groupBy("cluster").agg(F.max_by("items", "n").alias("centre"))
-    same = F.size(F.array_intersect("items", "centre"))
-    large = sized.where("parts > 1").join(centre, "cluster").withColumn("settled", den * same >= num * (F.size("items") + F.size("centre") - same)).drop("centre")
-    large, p6 = stored(large, "large")
-    open_ = large.where("not settled").groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("queries"))
-    large = large.join(open_, "cluster")
-    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("settled"), F.col("parts")).otherwise(F.col("queries"))).cast("int")
-    large = large.withColumn("own", mine)
+    pairs, p4 = stored(_candidates(lists), "candidates")
+    hot, p5 = stored(lists.where("far >= need").select("rep").distinct(), "frequent")
+    whole, p6 = stored(_full_sets(docs, words, hot).join(hot, "rep", "left_semi").where("size(items) > 0").dropDuplicates(["rep", "items"]), "frequent-sets")
+    family, gone = _families(whole, num, den)
+    clusters = components(pairs.union(family)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    central = lists.groupBy("rep").agg(F.max(F.col("far") / F.col("size")).alias("central"))
+    clusters, p7 = stored(clusters.join(central, "rep"), "clusters")
+    discard(spark, p3, p4, p5, p6, *gone)
+
+    sets = _full_sets(docs, words, clusters).join(clusters, "rep").withColumn("size", F.size("items").cast("long")).where("size > 0").dropDuplicates(["rep", "size", "items"])
+    sets, p8 = stored(sets, "members")
+    total = sets.count()
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.max_by("rep", F.struct("central", -F.col("rep"))).alias("centre")).where("n > 1").withColumn("parts", parts)
+    sizes, p9 = stored(sizes.select("cluster", "n", "parts", "centre"), "sizes")
+    member = ["cluster", "rep", "size", "items"]
+    small = sets.join(sizes.where("parts = 1").select("cluster"), "cluster", "left_semi").select("cluster", F.lit(0).alias("x"), F.lit(0).alias("y"), *member[1:], F.lit(2).alias("side"))
+
+    # large clusters: who is linked to the centre is settled, the others meet all
+    wide = sizes.where("parts > 1")
+    centre, p10 = stored(sets.join(wide.select(F.col("cluster").alias("_c"), F.col("centre").alias("_r"), "n", "parts"), (F.col("cluster") == F.col("_c")) & (F.col("rep") == F.col("_r"))).groupBy("cluster", "n", "parts").agg(F.max_by("items", "size").alias("middle"), F.max("rep").alias("centre")), "centres")
+    same = F.size(F.array_intersect("items", "middle"))
+    linked = den * same >= num * (F.size("items") + F.size("middle") - same)
+    large, p11 = stored(split_join(sets.select(*member), centre, "cluster", total, FAMILIES).select(*member, "parts", "centre", linked.alias("settled")), "large")
+    star = large.where("settled and rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+    queries = F.ceil(F.greatest(F.sum((~F.col("settled")).cast("int")) / BLOCK, F.sum(F.when(F.col("settled"), 0).otherwise(F.col("size"))) / BLOCK_SHINGLES)).cast("int")
+    asked, p12 = stored(large.groupBy("cluster").agg(F.count("*").alias("n"), queries.alias("queries")).where("queries > 0"), "queries")
+    large = split_join(large, asked, "cluster", total, FAMILIES)
+    large = large.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("settled"), F.col("parts")).otherwise(F.col("queries"))).cast("int"))
     # queries i meet queries j at (i, j) for i <= j, and settled rows k at (i, -1 - k)
-    asked = large.where("not settled").select(
-        "cluster", "rep", "n", "items", "own",
-        F.explode(F.concat(F.transform(F.sequence(F.lit(0), F.col("queries") - 1), lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y"))), F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: F.struct(F.col("own").alias("x"), (-k).alias("y"))))).alias("at"),
-    )
-    asked = asked.select("cluster", "at.x", "at.y", "rep", "n", "items", F.when(F.expr("at.x = at.y"), 2).when(F.expr("at.y < 0 or own = at.x"), 0).otherwise(1).alias("side"))
-    given = large.where("settled").select("cluster", F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("x"), (-1 - F.col("own")).alias("y"), "rep", "n", "items", F.lit(1).alias("side"))
-    big = asked.unionByName(given)
-    star = spark.read.parquet(p6).where("settled").select(F.col("cluster").alias("a"), F.col("rep").alias("b"))
-    links, p7 = stored(_search(small, num, den).union(_search(big, num, den)).union(star), "links")
-    found, _ = stored(components(links), "components")
-    discard(spark, p4, p5, p6, p7)
-
-    named = reps.join(found, reps.rep == found.node, "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    full = rows.where("n > 0").select("doc_id", "n", "set_key").join(named, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    meet = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    each = F.transform(F.sequence(F.lit(0), F.col("queries") - 1), lambda j: meet(F.least("own", j), F.greatest("own", j)))
+    rest = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: meet(F.col("own"), -k))
+    open_ = large.where("not settled").withColumn("at", F.explode(F.concat(each, rest)))
+    open_ = open_.select("cluster", "at.x", "at.y", *member[1:], F.when(F.expr("at.x = at.y"), 2).when(F.expr("at.y < 0 or own = at.x"), 0).otherwise(1).alias("side"))
+    given = large.where("settled").select("cluster", F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("x"), (-1 - F.col("own")).alias("y"), *member[1:], F.lit(1).alias("side"))
+    found, _ = stored(_search(small, num, den).union(_search(open_.unionByName(given), num, den)).union(star), "links")
+    discard(spark, p7, p8, p9, p10, p11, p12)
+    return found
+
+
+def join(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row; records link when
+    ``den * intersection >= num * union``."""
+    rows, _ = stored(_sets(docs, words, num, den), "sets")
+    some = rows.where("n > 0")
+    reps, _ = stored(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "reps")
+    found, _ = stored(components(links(docs, words, num, den, reps, rows)), "components")
+    named = reps.join(found, reps.rep == found.node, "left").select("set_key", "n", F.coalesce("component", "rep").alias("component_id"))
+    full = split_join(some.select("doc_id", F.col("n").alias("n_shingles"), "set_key"), named, "set_key", some.count())
+    return full.select("doc_id", "n_shingles", "component_id").union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

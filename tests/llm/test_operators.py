@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -194,6 +195,7 @@ def brute_components(texts, words, num, den):
 @pytest.mark.parametrize(("words", "num"), [(4, 85), (5, 80)])
 def test_join_is_exact(spark, words, num, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 6)  # also large clusters, in blocks
+    monkeypatch.setattr(jaccard_join, "LIST", 5)  # and families
     rng = np.random.default_rng(words)
     base = [[f"w{x}" for x in rng.integers(0, 5_000, rng.integers(1, 120))] for _ in range(12)]
     common = [f"c{x}" for x in range(40)]
@@ -207,6 +209,31 @@ def test_join_is_exact(spark, words, num, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts, words, num, 100)
 
 
+def test_merging_and_probing_find_links():
+    rng = np.random.default_rng(12)
+    base = [np.unique(rng.integers(0, 2**40, 150)) for _ in range(8)]
+    sets = []
+    for i in range(160):
+        mine = rng.choice(base[i % 8], 130, replace=False)
+        sets.append(np.unique(np.concatenate([mine, rng.integers(0, 2**40, int(rng.integers(0, 12)))])).astype(np.uint64))
+    tally = Counter()
+    found = jaccard_join.divide_skip(sets, [2] * len(sets), 70, 100, tally)
+    assert tally["merged"] > 0 and tally["probed"] > 0
+    same = lambda a, b: len(np.intersect1d(a, b))
+    linked = lambda i, j: 100 * (c := same(sets[i], sets[j])) >= 70 * (len(sets[i]) + len(sets[j]) - c)
+    assert all(linked(i, j) for i, j in found)
+    group = list(range(len(sets)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, j in found:
+        group[max(top(i), top(j))] = min(top(i), top(j))
+    assert not any(linked(i, j) and top(i) != top(j) for i in range(len(sets)) for j in range(i))
+
+
 def test_join_awkward(spark, awkward, empty):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard_join.join(awkward.where("doc_id is null or doc_id <> 6"), 4, 85, 100).collect())
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 5), (-1, 1, None), (-1, 0, None), (7, 3, 7)])
