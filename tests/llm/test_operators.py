@@ -360,13 +360,58 @@ def test_surrogates(spark, awkward, empty):
     assert privacy.pseudonymised(empty, "k").count() == 0
 
 
-def test_collisions_are_resolved(spark):
-    rows = [("ssn", f"{i:03d}", f"{i:03d}") for i in range(300)]  # a domain of 1,000 values
-    entities = spark.createDataFrame(rows, "kind string, norm string, raw string")
-    chosen = privacy.attempts(entities, "k")
-    fakes = privacy._drawn(entities.join(chosen, ["kind", "norm"]), "k").collect()
-    assert len({r.fake for r in fakes}) == 300
-    assert not {r.fake for r in fakes} & {r.norm for r in fakes}
+def test_formats_are_permuted(spark):
+    """On a whole domain, surrogates are all of it, and none stays as it is."""
+    texts = [f"{i:03d}" for i in range(1000)] + [f"{a}{i}" for a in "abcdefghijklmnopqrstuvwxyz" for i in range(10)] + list("0123456789")
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.p for r in df.select("t", F.expr(privacy.of_text("t", "k", "'x'")).alias("p")).collect()}
+    assert sorted(got.values()) == sorted(texts) and not any(a == b for a, b in got.items())
+    other = {r.t: r.p for r in df.select("t", F.expr(privacy.of_text("t", "another", "'x'")).alias("p")).collect()}
+    assert sum(got[t] == other[t] for t in texts) < 60
+
+
+def test_names_are_kept_apart(spark, monkeypatch):
+    monkeypatch.setattr(privacy, "SYLLABLES", 1)  # 676 names at the first attempt
+    rows = [("surname", "", f"x{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(600)] + [("given", "f", "anna"), ("given", "", "anna"), ("given", "m", "kim"), ("given", "f", "kim"), ("given", "", "kim")]
+    made = privacy.names(spark.createDataFrame(rows, "kind string, gender string, norm string"), "k").collect()
+    of = {(r.kind, r.gender, r.norm): r.made for r in made}
+    assert len(of) == len(rows) and of["given", "f", "anna"] == of["given", "", "anna"]
+    assert len({of["given", g, "kim"] for g in ("f", "m", "")}) == 3
+    surnames = {m for (k, *_), m in of.items() if k == "surname"}
+    assert len(surnames) == 600 and not surnames & {n for *_, n in rows}
+
+
+def test_spellings_share_a_surrogate(spark):
+    def luhn(t):
+        return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(re.sub(r"\D", "", t))))) % 10
+
+    pairs = [
+        ("+49 30 1234567", "+49301234567"), ("(555) 555-1234", "+1 555.555.1234"), ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"),
+        ("4111-1111-1111-1111", "4111111111111111"), ("Jo.Doe@Mail.example.org", "jo.doe@mail.example.org"), ("123-45-6789", "123-45-6789"), ("10.0.0.255", "10.0.0.255"),
+    ]
+    stay = ["1700000000000", "999.999.1.2", "4111 1111 1111 1112", "DE88 3704 0044 0532 0130 00"]
+    rows = [(i, f"a {x} b") for i, x in enumerate([v for p in pairs for v in p] + stay)]
+    out = [r.text[2:-2] for r in sorted(privacy.pseudonymised(spark.createDataFrame(rows, "id long, text string"), "k").collect(), key=lambda r: r.id)]
+    plain = lambda t: re.sub(r"[^0-9a-z]", "", t.lower())
+    for k, (a, b) in enumerate(pairs):
+        x, y = out[2 * k], out[2 * k + 1]
+        assert plain(x).endswith(plain(y)) or plain(y).endswith(plain(x)), (a, x, y)
+        assert plain(x) != plain(a)
+        assert a == "10.0.0.255" or re.sub(r"[0-9A-Za-z]", "", x) == re.sub(r"[0-9A-Za-z]", "", a)
+    assert out[0].startswith("+49") and out[1].startswith("+49") and out[3].startswith("+1 ")
+    assert luhn(out[6]) == luhn(out[7]) == 0 and out[6][0] == "4"
+    number = "".join(str(int(c, 36)) for c in out[5][4:] + out[5][:4])
+    assert out[5].startswith("DE") and int(number) % 97 == 1
+    assert out[8].endswith(".org") and all(int(o) < 256 for o in out[12].split("."))
+    assert out[14:] == stay
+
+
+def test_further_mentions_and_titles(spark):
+    rows = [(1, "Mrs Anna Smith left. Smith said so, and Anna too; SMITH, smithy."), (2, "Dr Anna Smith and Prof. Smith"), (3, "Anna Smith has no title here")]
+    out = {r.id: r.text for r in privacy.pseudonymised(spark.createDataFrame(rows, "id long, text string"), "k").collect()}
+    m = re.fullmatch(r"Mrs (\w+) (\w+) left\. (\w+) said so, and (\w+) too; (\w+), smithy\.", out[1])
+    assert m and m[2] == m[3] and m[1] == m[4] and m[5] == m[2].upper() and m[2] != "Smith"
+    assert out[2] == f"Dr {m[1]} {m[2]} and Prof. {m[2]}" and out[3] == rows[2][1]
 
 
 # --- language ---------------------------------------------------------------------------------
