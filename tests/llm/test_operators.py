@@ -341,6 +341,39 @@ def test_each_encoding_is_discovered(spark):
             assert sum(i in hits for i in mine) >= share * len(mine), (name, n, sum(i in hits for i in mine))
     assert sum(i >= len(keys) for i in hits) <= 0.01 * len(hits), [rows[i] for i in hits if i >= len(keys)][:5]
 
+def test_long_runs_and_many_matches(spark):
+    import time
+
+    rng = np.random.default_rng(13)
+    run = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 1_000_000))
+    many = " ".join(f"token={'%012x' % i}" for i in range(3_000))
+    df = spark.createDataFrame([(1, f"data {run} end"), (2, many)], "doc_id long, text string")
+    secrets.scan(df.where("doc_id < 0")).count()
+    began = time.time()
+    got = {r.doc_id: r.secrets for r in secrets.scan(df).collect()}
+    assert time.time() - began < 30
+    assert [(s.start, s.kind, s.stop) for s in got[1]] == [(5, "random", 1_000_005)]
+    assert [(s.start, s.rank, s.kind, s.stop) for s in got[2] if s.rank < 3] == base_spans(many)
+
+
+def test_copies_of_a_string_are_one_test(spark):
+    """Repeating one candidate must not lower the cutoff for the others."""
+    rng = np.random.default_rng(14)
+    rows = [(int(20 + i % 60), int(c), int(i)) for i, c in enumerate(rng.integers(0, 90, 400))]
+    schema = "n int, cell int, h long"
+    assert secrets.cutoffs(spark.createDataFrame(rows, schema)) == secrets.cutoffs(spark.createDataFrame(rows + [rows[0]] * 500 + [max(rows, key=lambda r: r[1])] * 500, schema))
+
+
+def test_query_of_secrets(spark, texts):
+    """The whole table against Python's expressions: counts, places, and the digest."""
+    for r in secrets.query(spark, SF).collect():
+        want = base_spans(texts[r.doc_id] or "")
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for _, _, k, _ in want) for kind in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in want).encode()).hexdigest()
+        shown = [x.split(":") for x in r.spans.split(",") if x]
+        assert [x for x in shown if x[0] != "random"] == [[k, str(a), str(b)] for a, _, k, b in want]
+        assert all(int(a) < int(b) <= len(texts[r.doc_id]) for _, a, b in shown)
+
 
 # --- privacy ----------------------------------------------------------------------------------
 def test_surrogates(spark, awkward, empty):
