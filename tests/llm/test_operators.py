@@ -160,13 +160,56 @@ def test_certified_rules_reject_junk(spark):
         labels.append((i, 0 if junk else 1))
     seen = quality.features(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     chosen = quality.select(seen, spark.createDataFrame(labels, "doc_id long, quality int"))
-    assert chosen["en"]["bound"] <= quality.ALPHA
+    assert chosen["en"]["certified"] and chosen["en"]["bound"] <= quality.ALPHA
     kept = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int"))
     got = {r.doc_id: r.kept for r in kept.collect()}
     assert not any(got[i] for i in range(0, 6_000, 5))
     assert sum(not got[i] for i in range(6_000) if i % 5) <= 0.01 * 4_800
 
 
+def test_copies_are_one_trial(spark):
+    """A thousand copies of one good text certify nothing, and lie on one side of the split."""
+    rng = np.random.default_rng(15)
+    text = " ".join(f"word{x}" for x in rng.integers(0, 10**6, 60))
+    rows = [(i, text + (f" end{i}" if i % 2 else ""), "en") for i in range(2_000)]
+    seen = quality.features(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    labels = spark.createDataFrame([(i, 1) for i in range(2_000)], "doc_id long, quality int")
+    assert quality.trials(seen, labels).count() <= 20
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels)
+    assert {(r.certified, r.kept, r.policy) for r in got.collect()} == {(False, True, None)}
+
+
+def test_the_bound_holds_with_copies(spark):
+    """Strata of good rows with a known false rejection share: the certified cutoffs stay below it."""
+    rng = np.random.default_rng(16)
+    rows, labels = [], []
+    for i in range(9_000):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 30)]
+        if rng.random() < 0.05:  # good rows that look like junk
+            words[:12] = ["***" + w for w in words[:12]]
+        rows += [(i, " ".join(words), "aa" if i % 3 else "bb")] + ([(10**6 + i, " ".join(words), "aa")] if i % 5 == 0 else [])
+        labels += [(i, 1), (10**6 + i, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    for stratum in ("aa", "bb"):
+        mine = [r for r in got if r.stratum == stratum]
+        assert mine[0].certified and mine[0].bound <= quality.ALPHA
+        assert sum(not r.kept for r in mine) <= quality.ALPHA * len(mine)
+
+
+def test_query_of_quality(spark, docs, texts, empty):
+    """kept, recomputed from the stated certificates."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    cells = {r.doc_id: r for r in quality.features(docs).collect()}
+    rules = quality.select(quality.features(docs), labels)
+    for r in quality.query(spark, SF).collect():
+        x, rule = cells[r.doc_id], rules.get(r.stratum)
+        hit = rule is not None and any(x[s] >= c for s, c in zip(quality.SIGNALS, rule["cutoffs"]))
+        assert r.kept == (not r.base_failed and not hit)
+        assert r.certified == bool(rule and rule["certified"]) and r.stratum in (x.stratum, quality.REST)
+    assert quality.select(quality.features(empty), labels) == {}
+
+
 # --- Jaccard join -----------------------------------------------------------------------------
 def brute_components(texts, words, num, den):
     sets = {}
