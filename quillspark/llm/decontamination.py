@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import fresh, lean, table
 
 GRAM = 3
 #: Items with fewer words leak only as whole copies; with fewer than ``GRAM``, they are no test items.
@@ -209,8 +209,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, with all their columns; rows without a doc_id stay."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    leaked = fresh(docs, "leaked")[0]
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(leaked), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

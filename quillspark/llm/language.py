@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, sampled, table
+from .common import discard, lean, sampled, stored, table
 
 SAMPLE = 20_000
 CELLS = 1 << 15
-#: Languages at most; rarer ones aren't learned. CELLS * LANGUAGES bounds what is broadcast.
+#: Languages at most, as CELLS * LANGUAGES bounds what is broadcast; more are an error.
 LANGUAGES = 200
 ROUNDS = 12
 #: A language costs so many halves of the logarithm of the number of trigrams.
@@ -55,7 +55,7 @@ def cells(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, n[at]
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray] | None:
+def train(docs: DataFrame, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray] | None:
     """The languages in order, and the likelihood of each cell in each of them."""
     some = docs.where("lang is not null and doc_id is not null and text is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", "lang", "text")
     some = sampled(some, "doc_id", SAMPLE)
@@ -66,7 +66,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray] | None:
             for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at, n = cells(t)
                 by.setdefault(lang, np.zeros(CELLS, np.int64))[at] += n
-                if len(by) > LANGUAGES:
+                if len(by) > languages:
                     yield from out(by)
                     by = {}
         yield from out(by)
@@ -77,9 +77,12 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray] | None:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "cell", "n"])
 
     sums = some.select("lang", "text").mapInArrow(lean(count), "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    top = sums.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
-    got = sums.join(F.broadcast(top), "lang").select("lang", "cell", "n").toArrow()  # at most CELLS * LANGUAGES rows
-    names = sorted(set(got.column("lang").to_pylist()))
+    sums, path = stored(sums, "cells")
+    names = sorted(r.lang for r in sums.select("lang").distinct().limit(languages + 1).collect())
+    if len(names) > languages:
+        raise ValueError(f"there are more than {languages} languages; raise the argument, or map the codes")
+    got = sums.toArrow()  # at most CELLS rows a language
+    discard(docs.sparkSession, path)
     if not names:
         return None
     model = np.full((CELLS, len(names)), SMOOTH)
@@ -106,7 +109,9 @@ def mixture(p: np.ndarray, n: np.ndarray) -> tuple[list[int], list[float]]:
     first = int(alone.argmax())
     best, value = ([first], [1.0]), alone[first] / OVERLAP - cost
     if most / OVERLAP - 2 * cost > value:
-        for k in range(2, min(p.shape[1], 6) + 1):
+        for k in range(2, p.shape[1] + 1):
+            if most / OVERLAP - k * cost <= value:  # no larger set can be better
+                break
             chosen = order[:k]
             share, like = (full[chosen] / full[chosen].sum(), most) if k == p.shape[1] else _em(p[:, chosen], n, ROUNDS)
             if like / OVERLAP - k * cost > value:

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, stored, table
+from .common import fresh, lean, stored, table
 from .tokens import encoder
 
 CAPACITY = 1024
 END = 2
-#: Pieces ranked together by one task, roughly.
-BUCKET = 500_000
+#: Pieces are ranked in buckets of one in so many of all, and no fewer than these; a bucket has one length.
+BUCKETS, BUCKET = 4_096, 256
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -103,6 +103,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
     ``found`` is read three times and should be stored. A length that a third of all rows share
     is ranked in many buckets; the rank goes on over the buckets by their counts.
     """
+    spark = found.sparkSession
+    bucket, rank, before, n_, share, size = fresh(found, "bucket", "rank", "before", "n", "share", "size")
     rows_of = {r.length: r["count"] for r in found.groupBy("length").count().collect()}  # at most capacity rows
     segments, sequences = [], 0
     done: dict[int, int] = {}
@@ -114,26 +116,27 @@ def pack(found: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
             at += n * length
         sequences += times
     seg = np.array(sorted(segments), np.int64).reshape(-1, 5)
-    buckets = max(1, sum(rows_of.values()) // BUCKET)
-    placed = found.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    before = placed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = before.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order)) - 1)
-    ranked = ranked.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before", "_bucket")
-    names = [c for c in ranked.columns if c != "_rank"]
+    most = max(BUCKET, sum(rows_of.values()) // BUCKETS)
+    shares = spark.createDataFrame([(x, -(-n // most)) for x, n in sorted(rows_of.items())], f"{size} long, {share} long")
+    placed = found.join(F.broadcast(shares), F.col("length") == F.col(size)).withColumn(bucket, F.pmod(F.xxhash64(*order), F.col(share))).drop(size, share)
+    earlier = placed.groupBy("length", bucket).agg(F.count("*").alias(n_))  # at most capacity + BUCKETS rows
+    earlier = earlier.select("length", bucket, (F.sum(n_).over(Window.partitionBy("length").orderBy(bucket)) - F.col(n_)).alias(before))
+    ranked = placed.withColumn(rank, F.row_number().over(Window.partitionBy("length", bucket).orderBy(*order)) - 1)
+    ranked = ranked.join(F.broadcast(earlier), ["length", bucket]).withColumn(rank, F.col(rank) + F.col(before)).select(*found.columns, rank)
+    names = found.columns
     wide = 1 << 40  # more than the pieces of one length
 
     def run(batches):
         keys = seg[:, 0] * wide + seg[:, 1]
         for b in batches:
-            length, rank = (b.column(c).to_numpy() for c in ("length", "_rank"))
-            at = np.searchsorted(keys, length * wide + rank, side="right") - 1
+            length, at_rank = (b.column(c).to_numpy() for c in ("length", rank))
+            at = np.searchsorted(keys, length * wide + at_rank, side="right") - 1
             n, first, offset = seg[at, 2], seg[at, 3], seg[at, 4]
-            k = rank - seg[at, 1]
+            k = at_rank - seg[at, 1]
             out = [b.column(c) for c in names] + [pa.array(first + k // n), pa.array(offset + k % n * length)]
             yield pa.RecordBatch.from_arrays(out, [*names, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
     return ranked.mapInArrow(lean(run), kinds + ", sequence_id long, offset long")
 
 

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard_join": jaccard_join.SQL}
+    return {"op6_jaccard_join": jaccard_join.SQL, "op9_sharding": sharding.SQL}

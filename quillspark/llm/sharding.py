@@ -8,7 +8,7 @@ hash: one lookup, and few keys move when a shard comes or goes.
 The table has a fixed size (65,537 slots, under 1 MB as rows) whatever the data, so it is
 broadcast. Defined cases: a null key has the hash of its null mark and so one fixed shard; rows
 that share a key share a shard; an empty table gives an empty result; all columns are kept and a
-``shard`` column in the input is replaced.
+``shard`` column in the input is replaced (also where it is the key).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 SLOTS = 65_537
 SHARDS = 64
@@ -60,17 +60,36 @@ def slot(key: str, slots: int = SLOTS) -> F.Column:
 def assign(df: DataFrame, key: str, shards: Mapping[str, int], slots: int = SLOTS) -> DataFrame:
     """Add ``shard``; a narrow operation apart from the broadcast of the table."""
     spark = df.sparkSession
-    names = lookup_table(shards, slots)
-    rows = spark.createDataFrame(list(enumerate(names)), "_slot long, shard string")
-    return df.drop("shard").withColumn("_slot", slot(key, slots)).join(F.broadcast(rows), "_slot", "left").drop("_slot")
+    plain = df if key == "shard" else df.drop("shard")
+    at, name = fresh(df, "slot", "name")
+    rows = spark.createDataFrame(list(enumerate(lookup_table(shards, slots))), f"{at} long, {name} string")
+    found = plain.join(F.broadcast(rows), slot(key, slots) == F.col(at), "left")
+    return found.select(*[c for c in plain.columns if c != "shard"], F.col(name).alias("shard"))
 
 
-def write(df: DataFrame, key: str, shards: Mapping[str, int], path: str, slots: int = SLOTS, spread: int = 8) -> None:
-    """Write one folder per shard; a shard's rows are dealt to ``spread`` tasks by a second hash."""
+#: Rows of a file, roughly.
+FILE_ROWS = 1_000_000
+
+
+def write(df: DataFrame, key: str, shards: Mapping[str, int], path: str, slots: int = SLOTS, rows: int = FILE_ROWS) -> None:
+    """Write one folder per shard; a shard's rows are dealt to tasks by a second hash, so that each
+    writes about ``rows`` of them."""
     placed = assign(df, key, shards, slots)
-    placed.repartition(len(shards) * spread, "shard", F.pmod(F.xxhash64(*df.columns[:1], key), F.lit(spread))).write.partitionBy("shard").parquet(path)
+    spread = max(1, -(-placed.count() // (rows * len(shards))))
+    dealt = F.pmod(F.xxhash64(*[c for c in placed.columns if c != "shard"]), F.lit(spread))
+    placed.repartition(len(shards) * spread, "shard", dealt).write.partitionBy("shard").parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     shards = {f"shard-{i:03d}": 1 for i in range(SHARDS)}
     return assign(table(spark, sf_dir, "documents"), "doc_id", shards).select("doc_id", "n_chars", "shard")
+
+
+def sql(shards: Mapping[str, int], slots: int = SLOTS) -> str:
+    """The query as SQL: the table comes from ``lookup_table``, the slot from the engine's own MD5."""
+    names = ", ".join(f"'{n}'" for n in lookup_table(shards, slots))
+    return f"""WITH t AS (SELECT unnest(range({slots})) AS slot, unnest([{names}]) AS shard)
+SELECT doc_id, n_chars, shard FROM documents JOIN t ON slot = CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '␀')), 1, 15) AS BIGINT) % {slots}"""
+
+
+SQL = sql({f"shard-{i:03d}": 1 for i in range(SHARDS)})

@@ -14,6 +14,7 @@ empty table gives parts without sequences; other columns of the input are not re
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 
@@ -30,10 +31,21 @@ SEQUENCE = 2048
 BATCH = 64
 
 
+#: Bytes of text of a part, roughly.
+PART_BYTES = 256 << 20
+#: Batches that a reader of a file that isn't mapped holds.
+HELD = 4
+#: Schemes of Hadoop's file systems that Arrow calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _fs(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+    scheme, mark, rest = uri.partition("://")
+    if not mark:
+        return fs.FileSystem.from_uri("file://" + uri.removeprefix("file:"))
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 class _Writer:
@@ -70,32 +82,52 @@ class _Writer:
 
 
 class TokenFile:
-    """Random access to one part: ``sequence(i)``, ``mask(i)`` and ``ids(start, n)``."""
+    """Random access to one part: ``sequence(i)``, ``mask(i)`` and ``ids(start, n)``.
+
+    All batches but the last take the same number of bytes, so the place of each follows from
+    the first one. A local file is mapped; of any other only the batches in use are read.
+    """
 
     def __init__(self, uri: str):
         fs, path = _fs(uri)
-        source = pa.memory_map(path) if fs.type_name == "local" else fs.open_input_file(path)
-        reader = pa.ipc.open_stream(source)
-        self.length = reader.schema.field("ids").type.list_size
-        batches = list(reader)
-        self.rows = batches[0].num_rows if batches else 1
-        self._ids = [b.column("ids").flatten().to_numpy() for b in batches]
-        self._mask = [b.column("mask").flatten() for b in batches]
+        self._source = pa.memory_map(path) if fs.type_name == "local" else fs.open_input_file(path)
+        reader = pa.ipc.open_stream(self._source)
+        self.schema, self._first = reader.schema, self._source.tell()
+        self.length = self.schema.field("ids").type.list_size
+        first = next(iter(reader), None)
+        self._step = self._source.tell() - self._first
+        self.rows = first.num_rows if first else 1
+        self._held = {0: self._columns(first)} if first else {}
+
+    def close(self) -> None:
+        self._held = {}
+        self._source.close()
+
+    def _columns(self, batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+        return batch.column("ids").flatten().to_numpy(), batch.column("mask").flatten()
+
+    def _batch(self, b: int) -> tuple[np.ndarray, pa.Array]:
+        if b not in self._held:
+            if len(self._held) >= HELD:
+                del self._held[next(iter(self._held))]
+            self._source.seek(self._first + b * self._step)
+            self._held[b] = self._columns(pa.ipc.read_record_batch(pa.ipc.read_message(self._source), self.schema))
+        return self._held[b]
 
     def sequence(self, i: int) -> np.ndarray:
         b, r = divmod(i, self.rows)
-        return self._ids[b][r * self.length : (r + 1) * self.length]
+        return self._batch(b)[0][r * self.length : (r + 1) * self.length]
 
     def mask(self, i: int) -> pa.Array:
         b, r = divmod(i, self.rows)
-        return self._mask[b].slice(r * self.length, self.length)
+        return self._batch(b)[1].slice(r * self.length, self.length)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """A view where the range lies in one batch, else a copy of its parts."""
         size, got = self.rows * self.length, []
         while n > 0:
             b, at = divmod(start, size)
-            got.append(self._ids[b][at : at + n])
+            got.append(self._batch(b)[0][at : at + n])
             start, n = start + len(got[-1]), n - len(got[-1])
         return got[0] if len(got) == 1 else np.concatenate(got) if got else np.empty(0, np.uint32)
 
@@ -104,12 +136,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, sequence: int = SEQUENCE
     """Write the documents in ascending order of ``key``; gives (file, index file, ids) of each
     part in order, which is one entry a partition.
 
-    The order is made by ranges of the key; a task writes one part under a name of its own
-    attempt, and only names of finished tasks are returned, so lost or repeated tasks do no harm.
+    The order is made by ranges of the key (of key and text, where rows share a key), as many as
+    the bytes of the texts ask for, and no fewer than there are cores. A task writes one part under
+    a name of its own attempt, and only names of finished tasks are returned and listed in
+    ``parts.json``, so lost or repeated tasks do no harm.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    read = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    ordered = read.repartitionByRange(parts, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -138,14 +174,25 @@ def write(docs: DataFrame, folder: str, tokenizer: str, sequence: int = SEQUENCE
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name + ".arrows"], "doc_file": [name + ".docs.arrows"], "n": [at]})
 
     done = ordered.mapInArrow(lean(run), "part long, file string, doc_file string, n long").collect()
-    return [(r.file, r.doc_file, r.n) for r in sorted(done)]
+    out = [(r.file, r.doc_file, r.n) for r in sorted(done)]
+    fs, path = _fs(f"{folder}/parts.json")
+    with fs.open_output_stream(path) as sink:
+        sink.write(json.dumps(out).encode())
+    return out
+
+
+def listed(folder: str) -> list[tuple[str, str, int]]:
+    """The parts of a folder as ``write`` returned them."""
+    fs, path = _fs(f"{folder}/parts.json")
+    with fs.open_input_file(path) as source:
+        return [tuple(x) for x in json.loads(source.read())]
 
 
 def read_digests(spark, parts: list[tuple[str, str, int]]) -> DataFrame:
     """One row per document, from the files: doc_id, start (ids of all documents before it),
     n_tokens and the CRC-32 of its ids as little-endian unsigned 32-bit integers."""
     base = np.cumsum([0, *(n for _, _, n in parts)]).tolist()
-    todo = spark.createDataFrame([(f, i, b) for (f, i, _), b in zip(parts, base)], "file string, index string, base long").repartition(max(1, len(parts)), "file")
+    todo = spark.createDataFrame([(f, i, b) for (f, i, _), b in zip(parts, base)], "file string, index string, base long").repartitionByRange(max(1, len(parts)), "base", "file")
 
     def run(batches):
         for batch in batches:
@@ -157,6 +204,7 @@ def read_digests(spark, parts: list[tuple[str, str, int]]) -> DataFrame:
                         ids, starts, ns = rows.columns
                         crc = [zlib.crc32(tokens.ids(s, n).astype("<u4").tobytes()) for s, n in zip(starts.to_pylist(), ns.to_pylist())]
                         yield pa.RecordBatch.from_arrays([ids, pa.array(starts.to_numpy() + first), ns, pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                tokens.close()
 
     return todo.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -12,7 +12,7 @@ words; every document is scored, over its whole text. Grades come from ``labels`
 
 Defined cases: null and empty texts score as texts without words; labels with a null or unknown
 doc_id or a null ``toxic`` are not used; several labels of a row count with their highest grade;
-without labels of two grades every document gets the severity 0; rows sharing a doc_id are scored each for itself; other columns are not read.
+without labels of two grades every document gets the severity 0; rows sharing a doc_id are scored each for itself; other columns are kept and not read.
 """
 
 from __future__ import annotations
@@ -20,14 +20,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, sampled, table
+from .common import discard, fresh, lean, sampled, stored, table
 
+#: Labelled rows the classifier is fitted on, and its features, at most, roughly.
 SAMPLE = 30_000
 FEATURES = 512
 LEAST_DF = 5
@@ -99,8 +101,15 @@ def train(docs: DataFrame, graded: DataFrame) -> dict | None:
     """The model as {words, weights, cuts}, from (doc_id, grade); None without two grades."""
     some = sampled(graded, "doc_id", SAMPLE)  # bounded, so it may be broadcast
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
-    # copies of one text with one grade count once
-    joined = joined.dropDuplicates(["text", "grade"]).select("text", "grade")
+    # copies of one text with one grade count once; stored, as it is read three times
+    joined, path = stored(joined.dropDuplicates(["text", "grade"]).select("text", "grade"), "graded")
+    try:
+        return _trained(joined)
+    finally:
+        discard(docs.sparkSession, path)
+
+
+def _trained(joined: DataFrame) -> dict | None:
 
     def counts(batches):
         df: dict[int, Counter] = {}
@@ -148,11 +157,22 @@ def train(docs: DataFrame, graded: DataFrame) -> dict | None:
     return {"words": words, "weights": w.tolist(), "cuts": cuts.tolist(), "grades": present.tolist()}
 
 
+RESULTS = ("expected_severity", "p_toxic", "toxic")
+
+
 def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """Add expected_severity, p_toxic and toxic to all rows."""
+    """Add expected_severity, p_toxic and toxic to all rows; columns of these names are replaced.
+
+    The severity is that of the grades the model was fitted on; by ``_grades``, the highest stands
+    for toxic rows of low quality, as the labels know no other degree."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS and c != text])
+    return _scored(docs, model, text, RESULTS)
+
+
+def _scored(docs: DataFrame, model: dict | None, text: str, results: Sequence[str]) -> DataFrame:
     names = docs.columns
     if model is None:
-        return docs.withColumns({"expected_severity": F.lit(0.0), "p_toxic": F.lit(0.0), "toxic": F.lit(False)})
+        return docs.withColumns(dict(zip(results, (F.lit(0.0), F.lit(0.0), F.lit(False)))))
     index, weights = {w: i for i, w in enumerate(model["words"])}, model["weights"]
     cuts, steps = np.array(model["cuts"]), np.diff(model["grades"])
     at = names.index(text)
@@ -162,10 +182,11 @@ def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
         for b in batches:
             s = [sum(weights[i] * math.log1p(n) for i, n in sorted(known.count(t).items())) for t in b.column(at).to_pylist()]
             p = 1 / (1 + np.exp(-(np.array(s, float).reshape(-1, 1) - cuts)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p @ steps), pa.array(p[:, 0]), pa.array(p[:, 0] >= TOXIC)], [*names, "expected_severity", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p @ steps), pa.array(p[:, 0]), pa.array(p[:, 0] >= TOXIC)], [*names, *results])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(lean(run), kinds + ", expected_severity double, p_toxic double, toxic boolean")
+    severity, p_toxic, toxic = results
+    return docs.mapInArrow(lean(run), f"{kinds}, {severity} double, {p_toxic} double, {toxic} boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -176,8 +197,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model, fitted on those of them that have labels, doesn't reject."""
-    names = docs.columns
-    plain = docs.drop(*[c for c in names if c in ("expected_severity", "p_toxic", "toxic")])
-    if plain.columns != names:
-        raise ValueError("the columns expected_severity, p_toxic and toxic are made here")
-    return score(docs, train(docs, _grades(labels))).where("not toxic").select(*names)
+    results = fresh(docs, *RESULTS)
+    out = _scored(docs, train(docs, _grades(labels)), "text", results)
+    return out.where(~F.col(results[-1])).select(*docs.columns)
