@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontamination, jaccard_join, packing, secrets, toxicity
-from quillspark.llm.common import small_batches, stored, table
+from quillspark.llm.common import discard, fresh, small_batches, stored, table
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,9 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rows whose doc_id names their group stay, and rows without a doc_id."""
     small_batches(spark)
     named = jaccard_join.join(docs, 5, 80, 100)
-    dropped = named.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_copy"), "left_anti")
+    copy = fresh(docs, "copy")[0]
+    dropped = named.where("doc_id <> component_id").select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col(copy), "left_anti")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs, _ = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
