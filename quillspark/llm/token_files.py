@@ -176,6 +176,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, sequence: int = SEQUENCE
     done = ordered.mapInArrow(lean(run), "part long, file string, doc_file string, n long").collect()
     out = [(r.file, r.doc_file, r.n) for r in sorted(done)]
     fs, path = _fs(f"{folder}/parts.json")
+    fs.create_dir(_fs(folder)[1])  # an empty table has no task that made it
     with fs.open_output_stream(path) as sink:
         sink.write(json.dumps(out).encode())
     return out
