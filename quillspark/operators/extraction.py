@@ -163,7 +163,7 @@ def places(docs: DataFrame, text: str, countries: dict[str, str], rules: list[Pl
         "countries_detected": F.array_join("_c", "; "), "global_north_countries": F.array_join(F.array_intersect("_c", top), "; "),
         "global_south_countries": F.array_join(F.array_except("_c", top), "; "), "continents_detected": F.array_join("_k", "; "),
         "regions_detected": F.array_join("_r", "; "), "has_coordinates": F.coalesce(has_coordinates(c), F.lit(False)),
-        "geographic_summary": F.array_join(F.array_distinct(F.concat("_c", "_k", "_r")), "; "),
+        "geographic_summary": geographic_summary(F.col("_c"), F.col("_k"), F.col("_r")),
     }).drop("_c", "_k", "_r")
 
 
@@ -200,6 +200,11 @@ def has_coordinates(c: Column) -> Column:
     return F.coalesce(F.exists(hits, lambda hit: possible(numbers(hit))), F.lit(False))
 
 
+def geographic_summary(countries: Column, continents: Column, regions: Column) -> Column:
+    """All places found, each once, in the order countries, continents, regions."""
+    return F.array_join(F.array_distinct(F.concat(countries, continents, regions)), "; ")
+
+
 def standard_country(c: Column, canonical: list[str], synonyms: dict[str, str]) -> Column:
     """A country's canonical name: the title-cased name if it is one, else by synonym, else the
     title-cased input."""
@@ -290,3 +295,48 @@ def bigram_counts(docs: DataFrame, key: str, text: str, stop: list[str], least:
     counts = docs.select(key, F.explode(F.filter(tx.ngrams(tx.words(F.col(text)), 2, "_"), plain)).alias("bigram")).groupBy(key, "bigram").agg(F.count("*").alias("n"))
     often = counts.groupBy("bigram").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
     return docs.select(key).distinct().join(counts.join(often, "bigram", "left_semi"), key, "left").select(key, "bigram", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# --- second pass, groups, join-back -------------------------------------------------------------
+def second_pass(docs: DataFrame, text: str, found: str, canonical: list[str], synonyms: dict[str, str], rules: list[PlaceRule] = ()) -> DataFrame:
+    """Where the array ``found`` is empty, it becomes the canonical names of the text's capitalised
+    phrases that are countries or synonyms, each once in the order of the text. A name with a rule
+    against the text's other words is left out."""
+    phrases = F.regexp_extract_all(F.col(text), F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1))
+    to = {n.lower(): n for n in canonical} | {s.lower(): c for s, c in synonyms.items() if c in canonical}
+    table = F.create_map(*[F.lit(x) for kv in to.items() for x in kv])
+    names = F.transform(phrases, lambda p: F.element_at(table, F.lower(F.regexp_replace(p, r"\s+", " "))))
+    low = F.lower(text)
+    against = [F.when(low.rlike(r.not_with), F.lit(r.name)) for r in rules if r.not_with]
+    kept = F.filter(names, lambda n: n.isNotNull())
+    if against:
+        kept = F.array_except(kept, F.filter(F.array(*against), lambda x: x.isNotNull()))
+    return docs.withColumn(found, F.when(F.size(found) == 0, F.coalesce(F.array_distinct(kept), F.array().cast("array<string>"))).otherwise(F.col(found)))
+
+
+def plural_groups(words: list[str], special: dict[str, str] | None = None, exempt: tuple[str, ...] = ()) -> dict[str, str]:
+    """The singular of each listed word that is another listed word with an s; and the special ones."""
+    known = set(words)
+    return {w: w[:-1] for w in words if w.endswith("s") and w not in exempt and w[:-1] in known} | (special or {})
+
+
+def grouped(word: Column, groups: dict[str, str]) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv]) if groups else None
+    return F.coalesce(F.element_at(table, word), word) if groups else word
+
+
+def joined_back(taxa_found: DataFrame, classes: DataFrame, documents: DataFrame, key: str, kingdom: str = "Fungi") -> DataFrame:
+    """Matches with the class of their name and the assessment of their document; the class's columns
+    are null where the match isn't of the kingdom."""
+    out = taxa_found.join(classes, "resolved_name", "left").join(documents, key, "left")
+    mine = [c for c in classes.columns if c != "resolved_name"]
+    return out.withColumns({c: F.when(F.col("kingdom") == kingdom, F.col(c)) for c in mine})
+
+
+def everything(docs: DataFrame, key: str, text: str, *detectors) -> DataFrame:
+    """All detectors over the documents at once: each is a function of a frame that adds columns, so
+    one pass over the texts does for all of them."""
+    out = docs
+    for d in detectors:
+        out = d(out)
+    return out.drop(text)

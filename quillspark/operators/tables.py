@@ -282,3 +282,38 @@ def proportional_quotas(counts: dict[str, int], total: int) -> dict[str, int]:
 def balanced_quotas(names: Sequence[str], total: int) -> dict[str, int]:
     each, extra = divmod(total, len(names))
     return {k: each + (i < extra) for i, k in enumerate(sorted(names))}
+
+
+def balanced_draws(names: Sequence[str], total: int, seed: int) -> dict[str, int]:
+    """As many for each name, and one more for as many drawn names as there are left over."""
+    import hashlib
+
+    each, extra = divmod(total, len(names))
+    order = sorted(names, key=lambda k: (hashlib.md5(f"{k}:{seed}".encode()).hexdigest(), k))
+    return {k: each + (k in order[:extra]) for k in sorted(names)}
+
+
+def rolled_up(df: DataFrame, keys: Keys, *aggregates: Column) -> DataFrame:
+    """Aggregates of the keys and of each shorter list of them, to the total; ``level`` counts the keys
+    that are summed over."""
+    return df.rollup(*keys).agg(F.grouping_id().alias("_id"), *aggregates).withColumn("level", F.bit_count("_id").cast("int")).drop("_id")
+
+
+def cubed(df: DataFrame, keys: Keys, *aggregates: Column) -> DataFrame:
+    """Aggregates of each subset of the keys."""
+    return df.cube(*keys).agg(F.grouping_id().alias("_id"), *aggregates).withColumn("level", F.bit_count("_id").cast("int")).drop("_id")
+
+
+def narrowed(df: DataFrame, names: Keys) -> DataFrame:
+    """Whole numbers in the narrowest type that holds all values of a column; found in one pass."""
+    whole = [c for c in names]
+    row = df.agg(*[F.max(F.abs(c)).alias(f"m_{c}") for c in whole], *[F.max((F.col(c) != F.floor(c)).cast("int")).alias(f"f_{c}") for c in whole]).first()
+
+    def kind(c: str) -> str | None:
+        most, fraction = row[f"m_{c}"], row[f"f_{c}"]
+        if most is None or fraction:
+            return None
+        return next(k for k, top in (("tinyint", 127), ("smallint", 32_767), ("int", 2**31 - 1), ("bigint", 2**63 - 1)) if most <= top)
+
+    kinds = {c: kind(c) for c in whole}
+    return df.select(*[F.col(c).cast(kinds[c]).alias(c) if kinds.get(c) else F.col(c) for c in df.columns])

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from collections.abc import Sequence
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.tables import draw
+
 from quillspark.functions.text import words
 
 
@@ -23,8 +28,110 @@ def elastic_net(train: DataFrame, text: str, label: str, features: int = 2_000,
 
 
 def linear_svm(train: DataFrame, text: str, label: str, features: int = 2_000, penalty: float = 0.01, rounds: int = 20):
-    steps = [CountVectorizer(inputCol="terms", outputCol="features", vocabSize=features, minDF=2.0), LinearSVC(labelCol=label, regParam=penalty, maxIter=rounds)]
-    return Pipeline(stages=steps).fit(terms(train, text).withColumn(label, F.col(label).cast("double")))
+    """A fitted pipeline of counts, a linear SVM, and Platt scaling: a logistic regression on the
+    margins gives the probabilities."""
+    counts = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=features, minDF=2.0)
+    svm = LinearSVC(labelCol=label, regParam=penalty, maxIter=rounds, rawPredictionCol="margins")
+    df = terms(train, text).withColumn(label, F.col(label).cast("double"))
+    fitted = Pipeline(stages=[counts, svm]).fit(df)
+    scaling = LogisticRegression(featuresCol="margins", labelCol=label, maxIter=100, predictionCol="scaled", rawPredictionCol="scaled_margins")
+    return PipelineModel([*fitted.stages, scaling.fit(fitted.transform(df).select(label, "margins"))])
+
+
+def forest(train: DataFrame, text: str, label: str, features: int = 500, trees: int = 20, depth: int = 5, seed: int = 1):
+    counts = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=features, minDF=2.0)
+    model = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[counts, model]).fit(terms(train, text).withColumn(label, F.col(label).cast("double")))
+
+
+def boosted(train: DataFrame, text: str, label: str, features: int = 500, rounds: int = 10, depth: int = 3, seed: int = 1):
+    counts = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=features, minDF=2.0)
+    model = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[counts, model]).fit(terms(train, text).withColumn(label, F.col(label).cast("double")))
+
+
+def cross_validated(train: DataFrame, text: str, label: str, key: str, grid: Sequence[dict], folds: int = 5, repeats: int = 3, fit=None) -> tuple[dict, DataFrame]:
+    """The best of the parameters by the mean area under the ROC curve over repeated folds, and all
+    means. Folds are drawn by a hash of the key within each class, so they are stratified."""
+    fit = fit or elastic_net
+    spark, rows = train.sparkSession, []
+    for i, parameters in enumerate(grid):
+        for r in range(repeats):
+            dealt = train.withColumn("_fold", draw(key, r) % folds)
+            for f in range(folds):
+                model = fit(dealt.where(F.col("_fold") != f), text, label, **parameters)
+                scored = model.transform(terms(dealt.where(F.col("_fold") == f), text)).withColumn(label, F.col(label).cast("double"))
+                rows.append((i, str(parameters), r, f, BinaryClassificationEvaluator(labelCol=label).evaluate(scored)))
+    every = spark.createDataFrame(rows, "candidate int, parameters string, repeat int, fold int, auc double")
+    means = every.groupBy("candidate", "parameters").agg(F.avg("auc").alias("auc"), F.stddev("auc").alias("sd"), F.count("*").alias("n"))
+    best = means.orderBy(F.desc("auc"), "candidate").first()
+    return dict(grid[best.candidate]), means
+
+
+def learning_curve(train: DataFrame, test: DataFrame, text: str, label: str, key: str, shares: Sequence[float], fit=None, seed: int = 1) -> DataFrame:
+    """share, n, accuracy of a model fitted on the first draws of that share of the training rows."""
+    fit = fit or elastic_net
+    out = []
+    for s in shares:
+        some = train.where(draw(key, seed) < int(s * 2**52))
+        scored = fit(some, text, label).transform(terms(test, text))
+        right = scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+        out.append((s, some.count(), right))
+    return train.sparkSession.createDataFrame(out, "share double, n long, accuracy double")
+
+
+def coefficients(model) -> DataFrame:
+    """feature, coefficient of a fitted linear pipeline; its vocabulary is bounded."""
+    from pyspark.sql import SparkSession
+
+    linear = next(s for s in model.stages if hasattr(s, "coefficients"))
+    words_ = model.stages[0].vocabulary
+    return SparkSession.getActiveSession().createDataFrame([(w, float(c)) for w, c in zip(words_, linear.coefficients.toArray())], "feature string, coefficient double")
+
+
+def importances(weights: DataFrame, most: int = 20, positive: str = "Positive", negative: str = "Negative") -> DataFrame:
+    """The features with the largest coefficients either way, and their direction."""
+    size = F.abs("coefficient")
+    out = weights.withColumn("size", size).orderBy(F.desc("size"), "feature").limit(most)
+    return out.withColumn("direction", F.when(F.col("coefficient") > 0, positive).when(F.col("coefficient") < 0, negative).otherwise("Neutral"))
+
+
+def compared(a: DataFrame, b: DataFrame, most: int = 15) -> DataFrame:
+    """The top features of two models side by side, with zeros, and whether the directions agree
+    (null where one model hasn't the feature)."""
+    one, two = (importances(x, most).select("feature", F.col("coefficient").alias(f"coefficient_{n}"), F.col("direction").alias(f"direction_{n}")) for n, x in (("a", a), ("b", b)))
+    both = one.join(two, "feature", "full_outer").fillna(0.0, ["coefficient_a", "coefficient_b"])
+    return both.withColumn("agree", F.col("direction_a") == F.col("direction_b"))
+
+
+def near_zero_variance(df: DataFrame, names: Sequence[str], ratio: float = 95 / 5, distinct: float = 10.0) -> DataFrame:
+    """name, freq_ratio, percent_unique and nzv of each column: the count of its commonest value over
+    that of the next, and distinct values in percent of the rows. One pass over the long form."""
+    counts = df.unpivot([], [F.col(c).cast("string").alias(c) for c in names], "name", "value").where("value is not null").groupBy("name", "value").agg(F.count("*").alias("n"))
+    # of each column only the two largest counts, its distinct values and its rows
+    most = counts.groupBy("name").agg(F.max("n").alias("first"), F.max_by("value", F.struct("n", "value")).alias("at"), F.count("*").alias("distinct"), F.sum("n").alias("rows"))
+    second = counts.join(F.broadcast(most.select("name", "at")), "name").where(F.col("value") != F.col("at")).groupBy("name").agg(F.max("n").alias("second"))
+    out = most.join(second, "name", "left")
+    freq = F.when(F.col("second").isNull(), 0.0).otherwise(F.col("first") / F.col("second"))
+    unique = 100 * F.col("distinct") / F.col("rows")
+    return out.select("name", F.round(freq, 6).alias("freq_ratio"), F.round(unique, 6).alias("percent_unique"), ((F.col("distinct") == 1) | ((freq > ratio) & (unique <= distinct))).alias("nzv"))
+
+
+def correlated(df: DataFrame, names: Sequence[str], threshold: float = 0.9) -> DataFrame:
+    """a, b, correlation of the pairs of columns whose correlation exceeds the threshold either way,
+    in one pass over the rows."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)])
+    return row.select(F.explode(each).alias("x")).select("x.*").where(F.abs("correlation") > threshold)
+
+
+def save(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str):
+    return PipelineModel.load(path)
 
 
 def predicted(model, docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -35,14 +142,40 @@ def predicted(model, docs: DataFrame, text: str, key: str) -> DataFrame:
     return out.select(key, F.col("prediction").cast("int").alias("prediction"), p.alias("probability"))
 
 
-def balanced_by_neighbours(df: DataFrame, label: str, minority: int, values: list[str], copies: int, key: str, seed: int = 1) -> DataFrame:
-    """Synthetic minority rows: each minority row is moved towards the next one in the order of its
-    values' hash by a drawn share, ``copies`` times; the original rows stay."""
-    from pyspark.sql import Window
+def balanced_by_neighbours(df: DataFrame, label: str, minority: int, values: list[str], copies: int, key: str, seed: int = 1, near: int = 5, block: int = 2_000) -> DataFrame:
+    """SMOTE: each minority row is moved, ``copies`` times, towards a drawn one of its ``near`` nearest
+    minority rows (Euclidean distance of the values) by a drawn share; the original rows stay.
+
+    Minority rows are dealt to blocks of about ``block`` rows along a random projection of the values,
+    where near rows are mostly close together; neighbours are looked for within the block. One block
+    holds all up to ``block`` rows, and then the neighbours are exact.
+    """
+    import numpy as np
+    import pandas as pd
+
+    few = df.where(F.col(label) == minority).select(key, *[F.col(v).cast("double").alias(v) for v in values]).na.drop()
+    n = few.count()
+    ways = np.random.default_rng(seed).normal(size=len(values))
+    along = sum((F.col(v) * float(w) for v, w in zip(values, ways)), F.lit(0.0))
+    parts = max(1, -(-n // block))
+    cuts = few.select(along.alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
+    at = sum((F.when(along > c, 1).otherwise(0) for c in cuts), F.lit(0))
+
+    def moved(chunk: pd.DataFrame) -> pd.DataFrame:
+        chunk = chunk.sort_values(key, kind="stable").reset_index(drop=True)
+        x = chunk[values].to_numpy(float)
+        out = []
+        for i in range(len(x)):
+            far = ((x - x[i]) ** 2).sum(axis=1)
+            far[i] = np.inf
+            neighbours = np.argsort(far, kind="stable")[: min(near, len(x) - 1)]
+            rng = np.random.default_rng([seed, int(chunk[key][i])])
+            for k in range(copies):
+                to = x[neighbours[rng.integers(len(neighbours))]] if len(neighbours) else x[i]
+                out.append([chunk[key][i], k, *(x[i] + rng.random() * (to - x[i]))])
+        return pd.DataFrame(out, columns=[key, "_k", *values])
 
-    few = df.where(F.col(label) == minority)
-    w = Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(64))).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    near = few.select(key, label, *values, *[F.coalesce(F.lead(v).over(w), F.col(v)).alias(f"_{v}") for v in values]).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    share = F.pmod(F.xxhash64(key, "_k", F.lit(seed)), F.lit(1000)) / 1000
-    made = near.select(key, label, *[(F.col(v) + share * (F.col(f"_{v}") - F.col(v))).alias(v) for v in values])
-    return df.select(key, label, *values).withColumn("synthetic", F.lit(False)).union(made.withColumn("synthetic", F.lit(True)))
+    kind = f"{key} long, _k int, " + ", ".join(f"{v} double" for v in values)
+    made = few.withColumn("_at", at.cast("int")).groupBy("_at").applyInPandas(lambda c: moved(c), kind).withColumn(label, F.lit(minority))
+    own = df.select(key, label, *[F.col(v).cast("double").alias(v) for v in values]).withColumn("synthetic", F.lit(False))
+    return own.unionByName(made.select(key, F.col(label).cast(df.schema[label].dataType), *values).withColumn("synthetic", F.lit(True)))

@@ -41,8 +41,6 @@ register("AG20", f"WITH {CLASSES} SELECT {_BAND} AS band, round(avg((label = gue
 register("AG23", "SELECT toxic, count(*) AS before, count(*) * CASE WHEN toxic = 1 THEN 3 ELSE 1 END AS after FROM labels GROUP BY 1")(lambda s, d: table(s, d, "labels").groupBy("toxic").agg(F.count("*").alias("before")).withColumn("after", F.col("before") * F.when(F.col("toxic") == 1, 3).otherwise(1)))
 register("AG24", "WITH f AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45) SELECT p_brand, count(*) AS total, count(l_partkey) AS found, round(100.0 * count(l_partkey) / count(*), 4) AS percent FROM part LEFT JOIN f ON p_partkey = l_partkey GROUP BY 1")(lambda s, d: ex.coverage(table(s, d, "part"), table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "p_brand"))
 register("SR3", "SELECT n_name, r.p FROM nation JOIN (SELECT r_regionkey, row_number() OVER (ORDER BY r_name DESC) AS p FROM region) r ON n_regionkey = r_regionkey ORDER BY p, n_name")(lambda s, d: table(s, d, "nation").join(F.broadcast(tb.positioned(table(s, d, "region").withColumn("neg", F.expr("translate(r_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ZYXWVUTSRQPONMLKJIHGFEDCBA')")), ["neg"])).withColumn("p", F.col("_position") + 1), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "p").orderBy("p", "n_name"))
-register("SM3", None)(lambda s, d: (lambda n: tb.sample_strata(table(s, d, "documents"), "lang", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in tb.proportional_quotas(n, 60).items() for x in kv]), F.col("lang")), F.lit(0)), "doc_id", 11).select("doc_id", "lang"))({r.lang: r.n for r in tb.counted(table(s, d, "documents"), "lang").collect()}))
-register("SM4", None)(lambda s, d: (lambda n: tb.sample_strata(table(s, d, "documents"), "lang", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in tb.balanced_quotas(n, 41).items() for x in kv]), F.col("lang")), F.lit(0)), "doc_id", 12).select("doc_id", "lang"))([r.lang for r in table(s, d, "documents").select("lang").distinct().collect()]))
 register("ARR1", "SELECT l_orderkey, count(DISTINCT l_suppkey) AS n, bool_or(l_quantity > 40) AS some, bool_and(l_quantity > 5) AS every FROM lineitem GROUP BY 1")(lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("a"), F.collect_list("l_quantity").alias("q")).select("l_orderkey", F.size(F.array_distinct("a")).cast("long").alias("n"), F.exists("q", lambda x: x > 40).alias("some"), F.forall("q", lambda x: x > 5).alias("every")))
 register("RS9", "SELECT a.doc_id, a.n_chars, b.quality FROM documents a JOIN labels b ON a.doc_id = b.doc_id")(lambda s, d: table(s, d, "documents").select("doc_id", "n_chars").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id"))
 register("MTH7", f"WITH {CLASSES}, t AS (SELECT count(*) FILTER (label = 'Presence' AND guess = 'Presence') AS tp, count(*) FILTER (label = 'Absence' AND guess = 'Presence') AS fp, count(*) FILTER (label = 'Presence' AND guess = 'Absence') AS fn FROM classes) SELECT round(5 * tp / (5 * tp + 4 * fn + fp), 6) AS f2 FROM t")(lambda s, d: md.metrics(classes(s, d), "label", "guess", "Presence", "Absence").select("f2"))
@@ -60,17 +58,13 @@ _POSSIBLE = "CASE WHEN len(n) >= 2 THEN len(list_filter(n, lambda x: abs(x) <= 9
 register("STR21", f"WITH {DOCS}, h AS (SELECT id, unnest({_HITS}) AS h FROM docs), n AS (SELECT id, list_transform(regexp_extract_all(h, '-?\\d+\\.?\\d*'), lambda x: CAST(x AS DOUBLE)) AS n FROM h) SELECT id, id IN (SELECT id FROM n WHERE {_POSSIBLE}) AS hit FROM docs")(lambda s, d: docs(s, d).select("id", ex.has_coordinates(F.col("abstract")).alias("hit")))
 register("STR24", f"WITH {DOCS}, t AS (SELECT id, list_filter(regexp_split_to_array(lower(abstract), '\\s+'), lambda x: x <> '') AS t FROM docs), p AS (SELECT id, t, list_position(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), 'of the') AS p FROM t), g AS (SELECT id, array_to_string(t[greatest(1, p - 15):p + 16], ' ') AS g FROM p WHERE p > 0) SELECT id, CASE WHEN length(g) > 300 THEN left(g, 300) || '...' ELSE g END AS context FROM g")(lambda s, d: docs(s, d).select("id", tx.context_words(F.col("abstract"), "of the").alias("context")).where("context is not null"))
 register("STR25", None)(lambda s, d: docs(s, d).select("id", tx.context_chars(F.col("abstract"), "of the").alias("context")).where("context is not null"))
-register("STR27", None)(lambda s, d: ex.statements(docs(s, d), "id", "abstract", {"x": ["of the thing", "that the"]}))
 register("STR28", "SELECT s_suppkey, d AS distance, CASE WHEN d <= 0.15 THEN n_name END AS nearest FROM (SELECT s_suppkey, n_name, n_nationkey, round(1 - jaro_winkler_similarity(s_name, n_name), 9) AS d FROM supplier CROSS JOIN nation) QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY d, n_nationkey) = 1")(lambda s, d: ex.nearest_names(table(s, d, "supplier"), "s_suppkey", "s_name", table(s, d, "nation"), "n_name", "n_nationkey"))
 register("STR34", "SELECT r_regionkey, CASE WHEN lower(r_name) LIKE 'a%' THEN 'Plantae' ELSE 'Fungi' END AS kingdom FROM region")(lambda s, d: table(s, d, "region").select("r_regionkey", F.when(F.lower("r_name").like("a%"), "Plantae").otherwise("Fungi").alias("kingdom")))
 register("STR36", "SELECT p_partkey FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'box')")(lambda s, d: table(s, d, "part").where(F.contains("p_name", F.lit("ring")) | F.contains("p_name", F.lit("box"))).select("p_partkey"))
 register("STR38", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN contains(p_name, 'sm') THEN 'small' END, CASE WHEN contains(p_name, 'in') THEN 'in' END], lambda x: x IS NOT NULL), '; ') AS found FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.filter(F.array(F.when(F.contains("p_name", F.lit("sm")), "small"), F.when(F.contains("p_name", F.lit("in")), "in")), lambda x: x.isNotNull()), "; ").alias("found")))
 
 # --- extraction -------------------------------------------------------------------------------
-register("EXT8", None)(lambda s, d: ex.parts(docs(s, d), "abstract", ["the", "and", "la", "der"], ["of the"], {}).select("id", "plant_parts_detected", "parts_count", "parts_normalized"))
 register("EXT9", None)(lambda s, d: ex.places(docs(s, d), "abstract", dict.fromkeys(["The", "And", "La"], ""), [ex.PlaceRule("La", not_with="the")], {"Der": "The"}, {"Une": "La"}, ["Of"], ["In"], {"The"}).select("id", "countries_detected", "global_north_countries", "global_south_countries", "continents_detected", "regions_detected", "has_coordinates", "geographic_summary"))
-register("EXT11", None)(lambda s, d: ex.classified(table(s, d, "part").select(F.col("p_name").alias("resolved_name")), table(s, d, "part").where("p_size > 40").select(F.regexp_replace("p_name", " ", "_").alias("species"), F.lit("guild_fg").alias("trait_name"), F.when(F.col("p_brand") == "Brand#1", "Ectomycorrhizal").otherwise("Saprotroph").alias("value"))))
-register("EXT18", None)(lambda s, d: tb.counted(ex.statements(docs(s, d), "id", "abstract", {"a": ["of the", "that the"], "b": ["in the thing"]}), "category", "phrase"))
 register("EXT19", "SELECT DISTINCT lower(p_name) AS name FROM part WHERE lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size > 30)")(lambda s, d: (lambda to: (fl.write_lookup(table(s, d, "part").where("p_size > 30").select(F.lower("p_name").alias("name")), "name", to), fl.looked_up(table(s, d, "part"), "p_name", to).select("name"))[1])(fl.scratch(s, "lookup")))
 register("EXT23", "SELECT n_name, count(c_custkey) AS n, count(c_custkey) > 0 AS detected FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY 1")(lambda s, d: table(s, d, "nation").join(table(s, d, "customer").where("c_acctbal > 9000"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name").agg(F.count("c_custkey").alias("n")).withColumn("detected", F.col("n") > 0))
 

@@ -90,3 +90,72 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_xml(spark: SparkSession, pattern: str, tag: str, paths: dict[str, str], joined: dict[str, str] | None = None) -> DataFrame:
+    """One row per element ``tag`` of all XML files, with the first text at each XPath (null without
+    one) and, of those in ``joined``, all texts with a blank between them."""
+    rows = spark.read.text(pattern, lineSep=f"</{tag}>").where(F.contains("value", F.lit(f"<{tag}")))
+    rows = rows.select(F.concat(F.regexp_extract("value", f"(?s)(<{tag}[ >].*)$", 1), F.lit(f"</{tag}>")).alias("_x")).where(F.length("_x") > len(tag) + 3)
+    first = [F.get(F.expr(f"xpath(_x, {_literal(p + '/text()')})"), F.lit(0)).alias(c) for c, p in paths.items()]
+    every = [F.array_join(F.expr(f"xpath(_x, {_literal(p + '/text()')})"), " ").alias(c) for c, p in (joined or {}).items()]
+    return rows.select(*first, *every)
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def search_string(all_of: list[list[str]], first: int | None = None, last: int | None = None) -> str:
+    """A Boolean query: any of the terms of each list, all lists, and a range of publication years."""
+    quoted = lambda t: f'"{t}"' if " " in t or "-" in t else t
+    out = " AND ".join("( " + " OR ".join(map(quoted, terms)) + " )" for terms in all_of if terms)
+    return out if first is None else f"{out} AND ({first}/01/01[PDAT] : {last}/12/31[PDAT])"
+
+
+def write_batches(df: DataFrame, key: str, path: str, batches: int, each: int = 5, again: bool = False) -> DataFrame:
+    """Write the rows in ``batches`` by a hash of the key, ``each`` batches a step; steps that are
+    finished are not written again, so a broken run goes on where it ended."""
+    spark = df.sparkSession
+    dealt = df.withColumn("_batch", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int"))
+    for step in range(0, batches, each):
+        to = f"{path}/step={step // each}"
+        if again or not files(spark, f"{to}/_SUCCESS"):
+            dealt.where(F.col("_batch").between(step, step + each - 1)).drop("_batch").write.mode("overwrite").parquet(to)
+    return spark.read.parquet(path).drop("step")
+
+
+def build_lookup(df: DataFrame, key: str, path: str, again: bool = False) -> bool:
+    """Write the lookup table unless it is there; says whether it was written."""
+    there = bool(files(df.sparkSession, f"{path}/_SUCCESS"))
+    if again or not there:
+        write_lookup(df, key, path)
+    return again or not there
+
+
+def backup(spark: SparkSession, path: str, folder: str, stamp: str) -> str:
+    """Copy a file or folder to ``folder`` under its name with a time stamp; gives the copy's path."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    source, name = hadoop.Path(path), path.rstrip("/").rsplit("/", 1)[-1]
+    stem, dot, end = name.partition(".")
+    to = f"{folder.rstrip('/')}/{stem}_{stamp}{dot}{end}"
+    target = hadoop.Path(to)
+    if not hadoop.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf):
+        raise OSError(f"{path} could not be copied to {to}")
+    return to
+
+
+def report(title: str, sections: dict[str, DataFrame], most: int = 100) -> list[str]:
+    """A text report: a title, and each section's rows as "name: value" lines."""
+    out = [title, "=" * len(title)]
+    for name, df in sections.items():
+        out += ["", name, "-" * len(name)]
+        for r in df.limit(most).collect():
+            out.append(", ".join(f"{c}: {'NA' if v is None else v}" for c, v in r.asDict().items()))
+    return out
+
+
+def write_subsets(df: DataFrame, by: str, path: str) -> None:
+    """Compressed subsets, one folder a value; a large value is written by as many tasks as hold it."""
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(path)
