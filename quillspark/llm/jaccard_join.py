@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,10 @@ def _required(n: int, num: int, den: int) -> tuple[int, int]:
     return min(n, loss + k(n)), k(-(-num * n // den))
 
 
+def _key(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
 def _sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n, set_key, need, prefix of each row; the text itself is left behind."""
 
@@ -74,7 +79,7 @@ def _sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 s = shingle_hashes((t or b"").lower().split(), words)
                 p, need = _required(len(s), num, den)
                 ns.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                keys.append(_key(s))
                 needs.append(need)
                 prefixes.append(s[:p].view(np.int64))
             sizes = np.cumsum([0, *map(len, prefixes)])
@@ -89,7 +94,7 @@ def _bit(column: str) -> F.Column:
 
 
 def _full_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """doc_id and whole set of each row whose doc_id is (or, rarely, only seems) wanted."""
+    """doc_id, whole set and set_key of each row whose doc_id is (or, rarely, only seems) wanted."""
     spark = docs.sparkSession
     rows = wanted.select(F.floor(_bit("rep") / 32).alias("w"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(rep), {MAP_BITS}) % 32))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
     bits = np.zeros(MAP_BITS // 32, np.uint32)
@@ -105,63 +110,82 @@ def _full_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
                 continue
             b = b.take(pa.array(here))
             sets = [shingle_hashes((t or b"").lower().split(), words).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(map(_key, sets), pa.binary())], ["rep", "items", "set_key"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _bit("doc_id").alias("bit")).mapInArrow(lean(run), "rep long, items array<long>")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _bit("doc_id").alias("bit")).mapInArrow(lean(run), "rep long, items array<long>, set_key binary")
 
 
 def _linked(common: np.ndarray | int, n: np.ndarray | int, m: int, num: int, den: int):
     return den * common >= num * (n + m - common)
 
 
-def divide_skip(sets: list[np.ndarray], sides: list[int], num: int, den: int, tally: Counter | None = None) -> list[tuple[int, int]]:
-    """Links (i, j) that connect all that is linked; sets are sorted. ``sides``: 0 and 1 when only
-    pairs across the sides count, 2 for records that pair with all. ``tally`` counts the shingles
-    of links found by merging and by probing."""
-    size, side = len(sets), np.array(sides)
-    n = np.array([len(s) for s in sets])
-    first = np.cumsum(n) - n
-    group = np.arange(size)
-    out: list[tuple[int, int]] = []
-
-    # inverted lists: the owners of equal items, ascending, one after the other
-    items, of = np.unique(np.concatenate(sets), return_inverse=True)
-    place = of * size + np.repeat(np.arange(size), n)
-    place.sort()
-    owner = place % size
-    ends = np.searchsorted(place, np.arange(1, len(items) + 1) * size)
-    starts = np.append(0, ends[:-1])
-
-    def search(q: int) -> None:
-        lists = of[first[q] : first[q] + n[q]]
-        lengths = ends[lists] - starts[lists]
+class _Index:
+    """Inverted lists of sorted sets, searched by DivideSkip."""
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        self.num, self.den, self.size = num, den, len(sets)
+        self.n = np.array([len(s) for s in sets])
+        self.first = np.cumsum(self.n) - self.n
+        # the owners of equal items, ascending, one list after the other
+        items, self.of = np.unique(np.concatenate(sets), return_inverse=True)
+        self.place = self.of * self.size + np.repeat(np.arange(self.size), self.n)
+        self.place.sort()
+        self.owner = self.place % self.size
+        self.ends = np.searchsorted(self.place, np.arange(1, len(items) + 1) * self.size)
+        self.starts = np.append(0, self.ends[:-1])
+
+    def links(self, q: int, wanted: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The records linked to ``q`` among those that ``wanted`` marks, and how many shingles
+        they share with it in the short and in the long lists."""
+        size, n, num, den = self.size, self.n, self.num, self.den
+        lists = self.of[self.first[q] : self.first[q] + n[q]]
+        lengths = self.ends[lists] - self.starts[lists]
         lists, lengths = lists[lengths > 1], lengths[lengths > 1]  # lists of one hold q alone
         t = -(-num * int(n[q]) // den)  # the least overlap with any record that is linked to q
+        none = np.empty(0, np.int64)
         if len(lists) < t:
-            return
+            return none, none, none
         lists = lists[np.argsort(-lengths, kind="stable")]
         n_long = max(0, min(t - 1, int(t / (MERGE * np.log2(int(lengths.max())) + 1))))
         long_, short = lists[:n_long], lists[n_long:]
         # a natural merge of the sorted short lists, and how often each record comes
-        ids, counts = np.unique(np.sort(np.concatenate([owner[starts[k] : ends[k]] for k in short.tolist()]), kind="stable"), return_counts=True)
-        keep = (counts >= t - n_long) & (group[ids] != group[q]) & ((side[ids] != side[q]) | (side[q] == 2))
+        ids, counts = np.unique(np.sort(np.concatenate([self.owner[self.starts[k] : self.ends[k]] for k in short.tolist()]), kind="stable"), return_counts=True)
+        keep = (counts >= t - n_long) & wanted(ids)
         ids, counts = ids[keep], counts[keep]
         keep = _linked(counts + n_long, n[ids], n[q], num, den)  # those that the long lists can still bring there
         ids, counts = ids[keep], counts[keep]
         if not len(ids):
-            return
+            return none, none, none
         # binary search for each of these records in each of the long lists
-        wanted = (long_[:, None] * size + ids[None, :]).ravel()
-        at = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
-        probed = (place[at] == wanted).reshape(len(long_), len(ids)).sum(axis=0)
-        for j, merged, more in zip(ids.tolist(), counts.tolist(), probed.tolist()):
-            if _linked(merged + more, n[j], n[q], num, den) and group[j] != group[q]:
+        probes = (long_[:, None] * size + ids[None, :]).ravel()
+        at = np.minimum(np.searchsorted(self.place, probes), len(self.place) - 1)
+        probed = (self.place[at] == probes).reshape(len(long_), len(ids)).sum(axis=0)
+        keep = _linked(counts + probed, n[ids], n[q], num, den)
+        return ids[keep], counts[keep], probed[keep]
+
+
+def _across(side: np.ndarray, q: int, ids: np.ndarray) -> np.ndarray:
+    return (side[ids] != side[q]) | (side[q] == 2)
+
+
+def divide_skip(sets: list[np.ndarray], sides: list[int], num: int, den: int, tally: Counter | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that connect all that is linked; sets are sorted. ``sides``: 0 and 1 when only
+    pairs across the sides count, 2 for records that pair with all. ``tally`` counts the shingles
+    of links found by merging and by probing."""
+    index, side = _Index(sets, num, den), np.array(sides)
+    size = index.size
+    group = np.arange(size)
+    out: list[tuple[int, int]] = []
+
+    def search(q: int) -> None:
+        for j, merged, probed in zip(*(x.tolist() for x in index.links(q, lambda ids: (group[ids] != group[q]) & _across(side, q, ids)))):
+            if group[j] != group[q]:
                 a, b = sorted((group[q], group[j]))
                 group[group == b] = a
                 out.append((q, j))
                 if tally is not None:
                     tally["merged"] += merged
-                    tally["probed"] += more
+                    tally["probed"] += probed
 
     # near copies of one text: a few searches connect most of a large group
     tried = np.zeros(size, bool)
@@ -179,6 +203,18 @@ def divide_skip(sets: list[np.ndarray], sides: list[int], num: int, den: int, ta
     return out
 
 
+def linked_copies(sets: list[np.ndarray], sides: list[int], copies: list[int], num: int, den: int) -> np.ndarray:
+    """For each record, the sum of ``copies`` over all records linked to it; each is searched once,
+    from the one end of a pair, and no pairs are kept. ``sides`` as in ``divide_skip``."""
+    index, side, weight = _Index(sets, num, den), np.array(sides), np.array(copies, np.int64)
+    out = np.zeros(index.size, np.int64)
+    for q in range(index.size):
+        ids, _, _ = index.links(q, lambda ids: (ids > q) & _across(side, q, ids))
+        out[q] += weight[ids].sum()
+        out[ids] += weight[q]
+    return out
+
+
 def _search(blocks: DataFrame, num: int, den: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("size", "ascending"), ("rep", "ascending")])
@@ -212,8 +248,8 @@ def _families(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[str]
     return split_join(rare, least, "item", rare.count()).select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a <> b").distinct(), [p1, p2, p3, p4]
 
 
-def links(docs: DataFrame, words: int, num: int, den: int, reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """Verified links (a, b) between the records' smallest doc_ids that connect all linked ones."""
+def _clusters(docs: DataFrame, words: int, num: int, den: int, reps: DataFrame, rows: DataFrame) -> tuple[DataFrame, str]:
+    """(rep, cluster, central): linked records are in one cluster; and the folder this reads."""
     spark = docs.sparkSession
     # prefixes of one row of each set; a doc_id with several rows brings those of each
     named = reps.where("rep is not null").select(F.col("rep").alias("doc_id"), "set_key")
@@ -228,14 +264,19 @@ def links(docs: DataFrame, words: int, num: int, den: int, reps: DataFrame, rows
 
     pairs, p4 = stored(_candidates(lists), "candidates")
     hot, p5 = stored(lists.where("far >= need").select("rep").distinct(), "frequent")
-    whole, p6 = stored(_full_sets(docs, words, hot).join(hot, "rep", "left_semi").where("size(items) > 0").dropDuplicates(["rep", "items"]), "frequent-sets")
+    whole, p6 = stored(_full_sets(docs, words, hot).drop("set_key").join(hot, "rep", "left_semi").where("size(items) > 0").dropDuplicates(["rep", "items"]), "frequent-sets")
     family, gone = _families(whole, num, den)
     clusters = components(pairs.union(family)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     central = lists.groupBy("rep").agg(F.max(F.col("far") / F.col("size")).alias("central"))
     clusters, p7 = stored(clusters.join(central, "rep"), "clusters")
     discard(spark, p3, p4, p5, p6, *gone)
+    return clusters, p7
+
 
-    sets = _full_sets(docs, words, clusters).join(clusters, "rep").withColumn("size", F.size("items").cast("long")).where("size > 0").dropDuplicates(["rep", "size", "items"])
+def links(docs: DataFrame, words: int, num: int, den: int, clusters: DataFrame) -> DataFrame:
+    """Verified links (a, b) between the records' smallest doc_ids that connect all linked ones."""
+    spark = docs.sparkSession
+    sets = _full_sets(docs, words, clusters).drop("set_key").join(clusters, "rep").withColumn("size", F.size("items").cast("long")).where("size > 0").dropDuplicates(["rep", "size", "items"])
     sets, p8 = stored(sets, "members")
     total = sets.count()
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
@@ -263,20 +304,59 @@ def links(docs: DataFrame, words: int, num: int, den: int, reps: DataFrame, rows
     open_ = open_.select("cluster", "at.x", "at.y", *member[1:], F.when(F.expr("at.x = at.y"), 2).when(F.expr("at.y < 0 or own = at.x"), 0).otherwise(1).alias("side"))
     given = large.where("settled").select("cluster", F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("x"), (-1 - F.col("own")).alias("y"), *member[1:], F.lit(1).alias("side"))
     found, _ = stored(_search(small, num, den).union(_search(open_.unionByName(given), num, den)).union(star), "links")
-    discard(spark, p7, p8, p9, p10, p11, p12)
+    discard(spark, p8, p9, p10, p11, p12)
+    return found
+
+
+def link_counts(docs: DataFrame, words: int, num: int, den: int, clusters: DataFrame, reps: DataFrame) -> DataFrame:
+    """(set_key, others): how many rows have other sets that are linked to this one.
+
+    All pairs of a cluster are searched, as pairs of its blocks: its cost grows with the square of
+    a cluster's distinct sets. A block gives one row a record, whatever the number of its links.
+    """
+    spark = docs.sparkSession
+    copies = reps.where("rep is not null").select("rep", "set_key", F.col("n").alias("copies"))
+    sets = _full_sets(docs, words, clusters).join(clusters.select("rep", "cluster"), "rep").join(copies, ["rep", "set_key"]).withColumn("size", F.size("items").cast("long")).where("size > 0").dropDuplicates(["set_key"])
+    sets, p1 = stored(sets.select("cluster", "set_key", "size", "items", "copies"), "counted")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where("n > 1")
+    sizes, p2 = stored(sizes.select("cluster", "n", parts.alias("parts")), "counted-sizes")
+    dealt = split_join(sets, sizes, "cluster", sets.count(), FAMILIES).withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y")))
+    side = F.expr("case when at.x = at.y then 2 when own = at.x then 0 else 1 end")
+    blocks = dealt.withColumn("at", F.explode(meet)).select("cluster", "at.x", "at.y", "set_key", "size", "items", "copies", side.alias("side"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("size", "ascending"), ("set_key", "ascending")])
+        whole = [x.values.to_numpy().view(np.uint64) for x in t.column("items")]
+        others = linked_copies(whole, t.column("side").to_pylist(), t.column("copies").to_pylist(), num, den)
+        return pa.table({"set_key": t.column("set_key"), "others": pa.array(others)})
+
+    found = blocks.groupBy("cluster", "x", "y").applyInArrow(run, "set_key binary, others long").groupBy("set_key").agg(F.sum("others").alias("others"))
+    found, _ = stored(found, "link-counts")
+    discard(spark, p1, p2)
     return found
 
 
-def join(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def join(docs: DataFrame, words: int, num: int, den: int, counted: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of each row; records link when
-    ``den * intersection >= num * union``."""
+    ``den * intersection >= num * union``. With ``counted`` also n_links, the number of other rows
+    linked to it: copies of its set and rows of all sets linked to that. A set that only rows
+    without a doc_id have counts its copies alone."""
     rows, _ = stored(_sets(docs, words, num, den), "sets")
     some = rows.where("n > 0")
     reps, _ = stored(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "reps")
-    found, _ = stored(components(links(docs, words, num, den, reps, rows)), "components")
+    clusters, path = _clusters(docs, words, num, den, reps, rows)
+    found, _ = stored(components(links(docs, words, num, den, clusters)), "components")
     named = reps.join(found, reps.rep == found.node, "left").select("set_key", "n", F.coalesce("component", "rep").alias("component_id"))
+    out, zero = ["doc_id", "n_shingles", "component_id"], []
+    if counted:
+        each = link_counts(docs, words, num, den, clusters, reps)
+        named = named.join(each, "set_key", "left").withColumn("n_links", F.col("n") - 1 + F.coalesce("others", F.lit(0)))
+        out, zero = [*out, "n_links"], [F.lit(0).cast("long")]
+    discard(docs.sparkSession, path)
     full = split_join(some.select("doc_id", F.col("n").alias("n_shingles"), "set_key"), named, "set_key", some.count())
-    return full.select("doc_id", "n_shingles", "component_id").union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return full.select(*out).union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), *zero))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -252,6 +252,29 @@ def test_join_is_exact(spark, words, num, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts, words, num, 100)
 
 
+@pytest.mark.parametrize("block", [6, 2_000])
+def test_join_counts_all_links(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "LIST", 5)
+    rng = np.random.default_rng(block)
+    base = [[f"w{x}" for x in rng.integers(0, 5_000, 90)] for _ in range(6)]
+    texts = {}
+    for i in range(120):
+        b = list(base[i % 6])
+        for _ in range(int(rng.integers(0, 4))):
+            b[int(rng.integers(len(b)))] = f"z{rng.integers(30)}"
+        texts[i] = " ".join(b)
+    texts |= {200: "", 201: None, 202: "alone", 203: texts[0], 204: texts[0]}
+    got = jaccard_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4, 85, 100, counted=True).collect()
+    sets = {i: {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if (w := (t or "").split()) else set() for i, t in texts.items()}
+    linked = lambda a, b: a and b and 100 * len(a & b) >= 85 * len(a | b)
+    brute = {i: sum(bool(linked(sets[i], sets[j])) for j in sets if j != i) for i in sets}
+    assert {r.doc_id: r.n_links for r in got} == brute
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components({i: t or "" for i, t in texts.items()}, 4, 85, 100)
+    assert 0 < max(brute.values()) < 20 + 2  # groups are not complete: links differ from group sizes
+    assert any(0 < n < 19 for n in brute.values())
+
+
 def test_merging_and_probing_find_links():
     rng = np.random.default_rng(12)
     base = [np.unique(rng.integers(0, 2**40, 150)) for _ in range(8)]
@@ -281,6 +304,9 @@ def test_join_awkward(spark, awkward, empty):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard_join.join(awkward.where("doc_id is null or doc_id <> 6"), 4, 85, 100).collect())
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 5), (-1, 1, None), (-1, 0, None), (7, 3, 7)])
     assert jaccard_join.join(empty, 4, 85, 100).count() == 0
+    counted = jaccard_join.join(awkward, 4, 85, 100, counted=True).collect()
+    assert sorted((r.doc_id or -1, r.n_links) for r in counted) == sorted([(1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (5, 0), (-1, 0), (-1, 0), (6, 0), (7, 0)])
+    assert jaccard_join.join(empty, 4, 85, 100, counted=True).count() == 0
 
 
 def test_components(spark):
