@@ -360,7 +360,7 @@ def join(docs: DataFrame, words: int, num: int, den: int, counted: bool = False)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), 4, 85, 100)
+    return join(table(spark, sf_dir, "documents"), 4, 85, 100, counted=True)
 
 
 SQL = r"""
@@ -371,6 +371,7 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
-m AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM documents LEFT JOIN n USING (doc_id) JOIN m ON node = doc_id
+m AS (SELECT node, min(root) AS root FROM r GROUP BY 1),
+k AS (SELECT a AS doc_id, count(*) AS k FROM e GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, coalesce(k, 0) AS n_links FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) JOIN m ON node = doc_id
 """
