@@ -20,6 +20,8 @@
    task are searched as pairs of blocks, after all records that are linked to the cluster's most
    central one are settled with it. Pairs already connected are not searched again, which changes
    no component.
+6. Where links are counted, the same search runs over all pairs of a cluster, in pairs of blocks,
+   and each block gives a sum for a record.
 
 Keys that many rows share (a frequent shingle, a family, a set of many copies) are joined by
 ``split_join``, so none of them gathers in one task.
