@@ -201,3 +201,37 @@ def jaro_winkler_distance(a: Column, b: Column) -> Column:
         return pd.Series([None if p is None or q is None else round(1 - jaro_winkler(p, q), 9) for p, q in zip(x, y)], dtype="float64")
 
     return distance(a, b)
+
+
+#: What stands for a species, a variety or a subspecies.
+INDICATORS = r"\b(sp|spp|var|subsp)\."
+
+
+def labelled_by(c: Column, rules: dict[str, str], otherwise: str | None = None) -> Column:
+    """The label of the first pattern that is found in the lower-cased text; null gives ``otherwise``."""
+    low = F.lower(c)
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for pattern, label in rules.items():
+        out = out.when(low.rlike(pattern), label)
+    return out.otherwise(F.lit(otherwise).cast("string"))
+
+
+def contains_any(c: Column, names: list[str]) -> Column:
+    """Whether any of the names stands anywhere in the text, letter for letter."""
+    return sum((F.contains(c, F.lit(n)).cast("int") for n in names), F.lit(0)) > 0
+
+
+def categories_found(c: Column, stems: dict[str, list[str]]) -> Column:
+    """The categories with a stem that is contained in the text, in their order."""
+    low = F.lower(c)
+    return F.filter(F.array(*[F.when(contains_any(low, [s.lower() for s in ss]), k) for k, ss in stems.items()]), lambda x: x.isNotNull())
+
+
+def looked_up(c: Column, names: dict) -> Column:
+    """The value of a key in a dictionary of the user's; null for other keys."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), c)
+
+
+def with_count(c: Column, n: Column) -> Column:
+    """A label with its number: ``fern (n = 12)``."""
+    return F.format_string("%s (n = %d)", c, n)

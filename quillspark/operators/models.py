@@ -67,3 +67,27 @@ def period(year: Column, width: int = 5) -> Column:
 def period_label(year: Column, width: int = 5) -> Column:
     low = period(year, width)
     return F.concat(low.cast("string"), F.lit("-"), (low + width - 1).cast("string"))
+
+
+def weight_grid(df: DataFrame, a: str, b: str, truth: str, positive: str, weights: list[float], thresholds: list[float]) -> DataFrame:
+    """weight, threshold, presence_recall and absence_recall of each weighted mean of two probabilities.
+
+    All configurations are counted in one pass; rows without a probability or truth are left out."""
+    tries = [(w, t) for w in weights for t in thresholds]
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(truth).isNotNull())
+    yes = F.col(truth) == positive
+    sums = [F.count_if(yes).alias("yes"), F.count_if(~yes).alias("no")]
+    for i, (w, t) in enumerate(tries):
+        hit = F.round(w * F.col(a) + (1 - w) * F.col(b), 9) >= t
+        sums += [F.count_if(hit & yes).alias(f"p{i}"), F.count_if(~hit & ~yes).alias(f"a{i}")]
+    part = lambda c, of: F.round(F.col(c) / F.when(F.col(of) > 0, F.col(of)), 6)
+    rows = [F.struct(F.lit(w).alias("weight"), F.lit(t).alias("threshold"), part(f"p{i}", "yes").alias("presence_recall"), part(f"a{i}", "no").alias("absence_recall")) for i, (w, t) in enumerate(tries)]
+    return known.agg(*sums).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def cascade(steps: list[tuple[Column, float, Column]], otherwise: str = "Uncertain") -> Column:
+    """The label of the first step whose confidence reaches its threshold."""
+    out = F.when(steps[0][0] >= steps[0][1], steps[0][2])
+    for confidence, least, label in steps[1:]:
+        out = out.when(confidence >= least, label)
+    return out.otherwise(otherwise)

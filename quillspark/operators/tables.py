@@ -317,3 +317,22 @@ def narrowed(df: DataFrame, names: Keys) -> DataFrame:
 
     kinds = {c: kind(c) for c in whole}
     return df.select(*[F.col(c).cast(kinds[c]).alias(c) if kinds.get(c) else F.col(c) for c in df.columns])
+
+
+def first_names(df: DataFrame) -> DataFrame:
+    """Of columns that share a name, the first stays."""
+    first = {name: i for i, name in reversed(list(enumerate(df.columns)))}
+    unique = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return unique.select(*[F.col(f"_{i}").alias(name) for i, name in enumerate(df.columns) if first[name] == i])
+
+
+def column_sets(a: Keys, b: Keys) -> dict[str, list[str]]:
+    """Names that both lists have, that one alone has, and all, in the order they come."""
+    a, b = list(dict.fromkeys(a)), list(dict.fromkeys(b))
+    return {"shared": [c for c in a if c in b], "only_first": [c for c in a if c not in b], "only_second": [c for c in b if c not in a], "all": list(dict.fromkeys([*a, *b]))}
+
+
+def repeated(df: DataFrame, times: str, name: str) -> DataFrame:
+    """Each row as often as ``times`` says, numbered from 1; none for null or less than one."""
+    n = F.col(times).cast("long")
+    return df.withColumn(name, F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n))))

@@ -99,11 +99,15 @@ def _(s, d):
     return found.select("id", "a_methods", "b_methods", "parts")
 
 
-@register("EXT6", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'error' ELSE 'ok' END AS status, CASE WHEN NOT contains(p_name, 'ring') THEN length(p_name) END AS n FROM part")
+def _measured(row: dict) -> dict:
+    if "ring" in row["p_name"]:
+        raise ValueError(row["p_name"])
+    return {"n": len(row["p_name"])}
+
+
+@register("EXT6", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'error' ELSE 'ok' END AS status, CASE WHEN contains(p_name, 'ring') THEN 'ValueError: ' || p_name END AS message, CASE WHEN NOT contains(p_name, 'ring') THEN length(p_name) END AS n FROM part")
 def _(s, d):
-    # a row that can't be worked on has a status, and doesn't stop the others
-    bad = F.contains("p_name", F.lit("ring"))
-    return table(s, d, "part").select("p_partkey", F.when(bad, "error").otherwise("ok").alias("status"), F.when(~bad, F.length("p_name").cast("long")).alias("n"))
+    return wf.row_by_row(table(s, d, "part").select("p_partkey", "p_name"), "p_partkey", _measured, "n long")
 
 
 # --- oracles of fuzzy phrases, parts and classes -------------------------------------------------

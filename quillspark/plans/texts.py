@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.operators import analysis as an
 from quillspark.operators import extraction as ex
 from quillspark.operators import models as md
 from quillspark.operators import tables as tb
@@ -49,9 +50,9 @@ register("STR26", f"WITH {DOCS} SELECT id, regexp_matches(lower(abstract), '\\bo
 register("STR30", "SELECT p_partkey, p_name LIKE 's%' AS s, p_name LIKE '%ring' AS e, contains(p_name, 'a') AS c, lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded, replace(p_name, ' ', '') AS squished FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", F.startswith("p_name", F.lit("s")).alias("s"), F.endswith("p_name", F.lit("ring")).alias("e"), F.contains("p_name", F.lit("a")).alias("c"), F.lpad(F.col("p_size").cast("string"), 4, "0").alias("padded"), F.replace("p_name", F.lit(" "), F.lit("")).alias("squished")))
 register("STR31", "SELECT o_orderkey, CAST(o_orderkey * 12345 AS BIGINT) AS n FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", tx.leading_count(F.concat(F.format_number(F.col("o_orderkey") * 12345, 0), F.lit(" species"))).alias("n")))
 register("STR32", "SELECT c_custkey, regexp_replace(regexp_extract(c_name, '^([^, ]+)', 1), '[^A-Za-z0-9]', '', 'g') || '_' || (2000 + c_custkey % 20) || '.pdf' AS file FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", tx.safe_file_name(F.col("c_name"), 2000 + F.col("c_custkey") % 20).alias("file")))
-register("STR33", "SELECT o_orderkey, CASE WHEN regexp_matches(lower(o_orderpriority), '^[12]') THEN 'Presence' WHEN regexp_matches(lower(o_orderpriority), '^5') THEN 'Absence' ELSE 'Other' END AS label FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", F.when(F.lower("o_orderpriority").rlike("^[12]"), "Presence").when(F.lower("o_orderpriority").rlike("^5"), "Absence").otherwise("Other").alias("label")))
+register("STR33", "SELECT o_orderkey, CASE WHEN regexp_matches(lower(o_orderpriority), '^[12]') THEN 'Presence' WHEN regexp_matches(lower(o_orderpriority), '^5') THEN 'Absence' ELSE 'Other' END AS label FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", tx.labelled_by(F.col("o_orderpriority"), {"^[12]": "Presence", "^5": "Absence"}, "Other").alias("label")))
 register("STR35", "SELECT c_custkey, printf('%.1f%%', c_acctbal / 100) AS share FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", F.concat(tx.fixed(F.col("c_acctbal") / 100, 1), F.lit("%")).alias("share")))
-register("STR39", "SELECT p_brand, p_brand || ' (n = ' || count(*) || ')' AS label FROM part GROUP BY 1")(lambda s, d: table(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).select("p_brand", F.format_string("%s (n = %d)", "p_brand", "n").alias("label")))
+register("STR39", "SELECT p_brand, p_brand || ' (n = ' || count(*) || ')' AS label FROM part GROUP BY 1")(lambda s, d: table(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).select("p_brand", tx.with_count(F.col("p_brand"), F.col("n")).alias("label")))
 register("MTH6", "SELECT p_partkey, levenshtein(p_name, p_type) AS distance, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS similarity FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("distance"), F.round(tx.similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity")))
 
 # --- time and numbers -------------------------------------------------------------------------
@@ -68,7 +69,7 @@ _PA = "round(0.6::DOUBLE * conf + 0.4::DOUBLE * conf2, 6) AS presence, round(0.8
 register("MTH5", f"WITH {CLASSES} SELECT id, {_PA} FROM classes")(lambda s, d: classes(s, d).select("id", md.ensemble_weighted(F.col("conf"), 1 - F.col("conf"), F.col("conf2"), 1 - F.col("conf2")).alias("e")).select("id", "e.presence", "e.absence"))
 register("MTH9", "SELECT c_mktsegment, round(sqrt(count(*) / max(count(*)) OVER ()), 6) AS scale FROM customer GROUP BY 1")(lambda s, d: (lambda t: t.crossJoin(F.broadcast(t.agg(F.max("n").alias("m")))).select("c_mktsegment", F.round(F.sqrt(F.col("n") / F.col("m")), 6).alias("scale")))(tb.counted(table(s, d, "customer"), "c_mktsegment")))
 register("ARR2", "SELECT p_partkey, string_split(p_name, ' ')[1] AS head, array_to_string(string_split(p_name || ' ' || p_type, ' ')[2:3], ' ') AS tail FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", F.element_at(F.split("p_name", " "), 1).alias("head"), F.array_join(F.slice(F.split(F.concat_ws(" ", "p_name", "p_type"), " "), 2, 2), " ").alias("tail")))
-register("MAP1", "SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 END AS code FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", F.element_at(F.create_map(F.lit("AUTOMOBILE"), F.lit(1), F.lit("BUILDING"), F.lit(2)), F.col("c_mktsegment")).alias("code")))
+register("MAP1", "SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 END AS code FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", tx.looked_up(F.col("c_mktsegment"), {"AUTOMOBILE": 1, "BUILDING": 2}).alias("code")))
 
 # --- models -----------------------------------------------------------------------------------
 _STOP = ["the", "of", "and", "de", "la"]
@@ -136,7 +137,7 @@ register("JN17", f"WITH {_TAX}, asked AS (SELECT DISTINCT upper(substr(p_name, 1
 # --- analyses ---------------------------------------------------------------------------------
 register("AN1", f"WITH {DOCS}, y AS (SELECT year, count(*) AS n FROM docs GROUP BY 1) SELECT year, n, round((n - lag(n) OVER (ORDER BY year)) / lag(n) OVER (ORDER BY year) * 100, 4) AS growth, CAST(sum(n) OVER (ORDER BY year) AS BIGINT) AS cumulative FROM y")(lambda s, d: tb.growth(tb.completed(tb.counted(docs(s, d), "year"), "year", ["n"]), "n", "year"))
 register("AN2", f"WITH {DOCS} SELECT year // 5 * 5 AS period, count(*) AS n, round(100 * avg(regexp_matches(lower(abstract), 'the|heit')::INT), 4) AS molecular_pct FROM docs GROUP BY 1")(lambda s, d: ex.methods(docs(s, d), "abstract", _CATS).groupBy(md.period(F.col("year")).alias("period")).agg(F.count("*").alias("n"), F.round(100 * F.avg(F.col("molecular_methods").cast("int")), 4).alias("molecular_pct")))
-register("AN3", f"WITH {DOCS} SELECT id, CAST((lang = 'en')::INT + (source = 'src0')::INT + (n_chars > 1000)::INT + (year > 2000)::INT AS BIGINT) AS completeness FROM docs")(lambda s, d: docs(s, d).select("id", F.expr("cast(int(lang = 'en') + int(source = 'src0') + int(n_chars > 1000) + int(year > 2000) as bigint)").alias("completeness")))
+register("AN3", f"WITH {DOCS} SELECT id, CAST((lang = 'en')::INT + (source = 'src0')::INT + (n_chars > 1000)::INT + (year > 2000)::INT AS BIGINT) AS completeness FROM docs")(lambda s, d: docs(s, d).select("id", an.completeness(F.col("lang") == "en", F.col("source") == "src0", F.col("n_chars") > 1000, F.col("year") > 2000).alias("completeness")))
 register("AN4", "WITH k AS (SELECT DISTINCT p_brand, p_name FROM part), f AS (SELECT DISTINCT p_name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_quantity > 49) SELECT p_brand, count(*) AS total, count(f.p_name) AS found, round(100.0 * count(f.p_name) / count(*), 4) AS percent FROM k LEFT JOIN f ON k.p_name = f.p_name GROUP BY 1")(lambda s, d: ex.coverage(table(s, d, "part"), table(s, d, "part").join(table(s, d, "lineitem").where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey")), "p_name", "p_brand"))
 register("AN5", "SELECT count(DISTINCT p_name) AS n_names, count(DISTINCT p_brand) AS n_brands, count(DISTINCT p_type) AS n_types FROM part")(lambda s, d: table(s, d, "part").agg(F.countDistinct("p_name").alias("n_names"), F.countDistinct("p_brand").alias("n_brands"), F.countDistinct("p_type").alias("n_types")))
 register("AN6", "SELECT p_brand, n_name, count(DISTINCT p_partkey) AS n FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2")(lambda s, d: table(s, d, "lineitem").select("l_partkey", "l_suppkey").join(table(s, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(table(s, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(table(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("p_brand", "n_name").agg(F.countDistinct("p_partkey").alias("n")))
@@ -144,8 +145,8 @@ register("AN7", "SELECT DISTINCT p_name FROM part WHERE p_name NOT IN (SELECT p_
 register("AN8", "WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS rn FROM c) SELECT p_brand, string_agg(p_type || ' (' || n || ')', ', ' ORDER BY rn) AS top FROM r WHERE rn <= 5 GROUP BY 1")(lambda s, d: tb.counted(table(s, d, "part"), "p_brand", "p_type").withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), "p_type"))).where("rn <= 5").groupBy("p_brand").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", F.format_string("%s (%d)", "p_type", "n").alias("x")))), lambda x: x["x"]), ", ").alias("top")))
 register("AN10", f"WITH {DOCS}, f AS (SELECT id, {_FLAG} FROM docs) SELECT CASE WHEN molecular_methods AND culture_methods THEN 'Both' WHEN molecular_methods THEN 'Molecular only' WHEN culture_methods THEN 'Culture only' ELSE 'Neither' END AS combination, count(*) AS n FROM f GROUP BY 1")(lambda s, d: ex.methods(docs(s, d), "abstract", _CATS).groupBy(F.expr("case when molecular_methods and culture_methods then 'Both' when molecular_methods then 'Molecular only' when culture_methods then 'Culture only' else 'Neither' end").alias("combination")).agg(F.count("*").alias("n")))
 register("AN16", f"WITH {CLASSES} SELECT guess, CASE WHEN conf >= 0.8 THEN 'high' WHEN conf >= 0.6 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM classes GROUP BY 1, 2")(lambda s, d: classes(s, d).groupBy("guess", F.when(F.col("conf") >= 0.8, "high").when(F.col("conf") >= 0.6, "medium").otherwise("low").alias("band")).agg(F.count("*").alias("n")))
-register("AN18", "SELECT 'identified' AS step, count(*) AS n FROM documents UNION ALL SELECT 'distinct', count(DISTINCT text) FROM documents UNION ALL SELECT 'labelled', count(*) FROM labels")(lambda s, d: table(s, d, "documents").agg(F.count("*").alias("identified"), F.countDistinct("text").alias("distinct")).crossJoin(F.broadcast(table(s, d, "labels").agg(F.count("*").alias("labelled")))).unpivot([], ["identified", "distinct", "labelled"], "step", "n"))
-register("AN20", f"WITH {DOCS}, {CLASSES} SELECT label, source, count(*) AS n, min(year) AS first_year, max(year) AS last_year FROM classes JOIN docs ON classes.id = docs.id GROUP BY 1, 2")(lambda s, d: classes(s, d).join(docs(s, d), "id").groupBy("label", "source").agg(F.count("*").alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year")))
+register("AN18", "WITH n AS (SELECT 0 AS position, 'identified' AS step, count(*) AS n FROM documents UNION ALL SELECT 1, 'distinct', count(DISTINCT text) FROM documents UNION ALL SELECT 2, 'labelled', count(*) FROM labels WHERE doc_id IN (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL GROUP BY text) UNION ALL SELECT 3, 'kept', count(*) FROM labels WHERE toxic = 0 AND doc_id IN (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL GROUP BY text)) SELECT *, lag(n) OVER (ORDER BY position) - n AS removed FROM n")(lambda s, d: (lambda x, l: (lambda u: an.flow([("identified", x), ("distinct", u), ("labelled", l.join(u, "doc_id", "left_semi")), ("kept", l.where("toxic = 0").join(u, "doc_id", "left_semi"))]))(tb.first_by_text(x.where("text is not null"), "text", ["doc_id"])))(table(s, d, "documents"), table(s, d, "labels")))
+register("AN20", f"WITH {DOCS}, {CLASSES}, j AS (SELECT label, source, year, n_chars, lang FROM classes JOIN docs ON classes.id = docs.id), b AS (SELECT label, count(*) AS n, min(year) AS y0, max(year) AS y1, min(n_chars) AS c0, avg(n_chars) AS c, max(n_chars) AS c1 FROM j GROUP BY 1) SELECT section, label, name, round(value::DOUBLE, 6) AS value FROM (SELECT label, unnest(['labels', 'years', 'years', 'lengths', 'lengths', 'lengths']) AS section, unnest(['n', 'first', 'last', 'shortest', 'mean', 'longest']) AS name, unnest([n, y0, y1, c0, c, c1]) AS value FROM b UNION ALL SELECT label, 'origins', source, count(*) FROM j GROUP BY 1, 3 UNION ALL SELECT NULL, 'top', lang, n FROM (SELECT lang, count(*) AS n FROM j WHERE lang <> '' GROUP BY 1 ORDER BY n DESC, lang LIMIT 3))")(lambda s, d: an.training_profile(classes(s, d).join(docs(s, d), "id"), "label", "source", "year", "n_chars", "lang", 3))
 register("AN22", "WITH g AS (SELECT * FROM (SELECT DISTINCT lang FROM documents) CROSS JOIN (SELECT unnest([0, 1]) AS toxic)), c AS (SELECT lang, toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2) SELECT g.lang, g.toxic, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.lang = c.lang AND g.toxic = c.toxic")(lambda s, d: (lambda j: j.select("lang").distinct().withColumn("toxic", F.explode(F.array(F.lit(0), F.lit(1)))).join(tb.counted(j.join(table(s, d, "labels"), "doc_id"), "lang", "toxic"), ["lang", "toxic"], "left").fillna(0, ["n"]))(table(s, d, "documents")))
 
 # --- sources and sinks ------------------------------------------------------------------------

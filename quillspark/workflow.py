@@ -119,3 +119,33 @@ def in_chunks(df: DataFrame, process: Callable, schema: str) -> DataFrame:
     """A function of a chunk of rows (a pandas frame) applied to all chunks; chunks are batches of the
     partitions, so nothing is collected."""
     return df.mapInPandas(lambda chunks: (process(c) for c in chunks), schema)
+
+
+def row_by_row(df: DataFrame, key: str, process: Callable[[dict], dict], schema: str) -> DataFrame:
+    """The key and what ``process`` makes of each row (a dict of its columns; ``schema`` names the new
+    ones), with status and message.
+
+    A row that raises has the status "error", the error as message and null in the new columns, and
+    doesn't stop the others. Rows go to Python in Arrow batches; for work that column expressions
+    can't express."""
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = T.StructType([df.schema[key], *T.StructType.fromDDL(schema).fields, T.StructField("status", T.StringType()), T.StructField("message", T.StringType())])
+    arrow = to_arrow_schema(kind)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for row in b.to_pylist():
+                try:
+                    one = {key: row[key], **process(row), "status": "ok"}
+                    pa.RecordBatch.from_pylist([one], schema=arrow)  # a value of another type is this row's error too
+                except Exception as e:  # noqa: BLE001  (a row may fail in any way; its message says how)
+                    one = {key: row[key], "status": "error", "message": f"{type(e).__name__}: {e}"[:500]}
+                rows.append(one)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return df.mapInArrow(run, kind)
