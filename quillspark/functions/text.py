@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII punctuation, as a character class.
 PUNCT = r"""[!-/:-@\[-`{-~]"""
+#: What is neither white space nor punctuation: a normalised text without it is empty.
+WRITTEN = r"""[^\s!-/:-@\[-`{-~]"""
 _META = set(r"\.^$|?*+()[]{}")
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
@@ -259,11 +259,12 @@ def coverage(known: DataFrame, found: DataFrame, name: str, by: str) -> DataFram
 
 
 def tf_idf(terms: DataFrame, doc: str, term: str, n: str) -> DataFrame:
-    """tf = n / all of the document, idf = ln(documents / documents with the term)."""
-    total = terms.groupBy(doc).agg(F.sum(n).alias("_all"))
-    df = terms.groupBy(term).agg(F.countDistinct(doc).alias("_df"))
+    """tf = n / all of the document, idf = ln(documents / documents with the term). ``terms`` has one
+    row of a document and term, as ``term_counts`` gives them."""
+    df = terms.groupBy(term).agg(F.count(doc).alias("_df"))
     docs = terms.agg(F.countDistinct(doc).alias("_docs"))
-    out = terms.join(total, doc).join(df, term).crossJoin(F.broadcast(docs))
+    # a document's terms are few, those of a frequent term's documents are not: only the first are summed in a window
+    out = terms.where(F.col(doc).isNotNull()).withColumn("_all", F.sum(n).over(Window.partitionBy(doc))).join(df, term).crossJoin(F.broadcast(docs))
     tf, idf = F.col(n) / F.col("_all"), F.log(F.col("_docs") / F.col("_df"))
     return out.select(doc, term, tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("tf_idf"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from quillspark.functions.text import normalize_text, snake_case
+from quillspark.functions.text import WRITTEN, normalize_text, snake_case
 
 Keys = Sequence[str]
 
@@ -121,6 +121,13 @@ def containing(docs: DataFrame, text: str, terms: DataFrame, term: str) -> DataF
     return pairs.where(F.expr(f"contains(_t, concat(' ', {term}, ' '))")).drop("_t", "_w")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table as it was read, dealt out to all cores by a key if it came in fewer partitions than
+    there are cores; larger ones are not shuffled. Its rows are the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- duplicates -------------------------------------------------------------------------------
 def digest(*keys: str) -> Column:
     """128 bits that stand for the values of the keys; nulls are told from empty values. Long
@@ -129,20 +136,22 @@ def digest(*keys: str) -> Column:
     return F.md5(F.concat_ws("\x1f", *told).cast("binary"))
 
 
-def first_by(df: DataFrame, keys: Keys, order: Sequence[str | Column], group: Sequence[str | Column] = ()) -> DataFrame:
+def first_by(df: DataFrame, keys: Keys, order: Sequence[str | Column], group: Sequence[str | Column] = (), columns: Keys | None = None) -> DataFrame:
     """The first row of each key in the order; null keys are one group. ``group`` may give other
-    expressions that tell the keys apart.
+    expressions that tell the keys apart. Where only some ``columns`` of the rows are wanted, and the
+    order is one of columns, the others (long texts) are not carried along.
 
     Where the order is one of columns, the first row is an aggregate, so that a key with very many
     rows is reduced before the shuffle; else the rows of a key are numbered.
     """
     by = list(group or keys)
     if all(isinstance(o, str) for o in order) and not any(isinstance(f.dataType, (MapType, VariantType)) for f in df.schema):
-        rest = [c for c in df.columns if c not in order]
+        columns = list(columns or df.columns)
+        rest = [c for c in columns if c not in order]
         least = df.groupBy(*[(F.col(k) if isinstance(k, str) else k).alias(f"_key{i}") for i, k in enumerate(by)]).agg(F.min(F.struct(*order, *rest)).alias("_first"))
-        return least.select(*[F.col("_first").getField(c).alias(c) for c in df.columns])
+        return least.select(*[F.col("_first").getField(c).alias(c) for c in columns])
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*(columns or df.columns))
 
 
 def first_by_keyed(df: DataFrame, key: str, order: Sequence[str | Column], group: Column | None = None) -> DataFrame:
@@ -151,11 +160,12 @@ def first_by_keyed(df: DataFrame, key: str, order: Sequence[str | Column], group
     return first_by(df.where(~missing), [key], order, [group] if group is not None else ()).unionByName(df.where(missing))
 
 
-def first_by_text(df: DataFrame, text: str, order: Sequence[str | Column]) -> DataFrame:
-    """The first row of each normalised text, told apart by digests; rows without text stay."""
-    norm = normalize_text(F.col(text))
-    keyed = df.withColumn("_norm", F.when(F.coalesce(norm, F.lit("")) != "", F.md5(norm.cast("binary"))))
-    return first_by_keyed(keyed, "_norm", order).drop("_norm")
+def first_by_text(df: DataFrame, text: str, order: Sequence[str | Column], columns: Keys | None = None) -> DataFrame:
+    """The first row of each normalised text, told apart by digests; rows without text stay, that is
+    those whose text has nothing but white space and punctuation. Each text is normalised once."""
+    has = F.coalesce(F.col(text).rlike(WRITTEN), F.lit(False))
+    first = first_by(df.where(has), [text], order, [F.md5(normalize_text(F.col(text)).cast("binary"))], columns)
+    return first.unionByName(df.where(~has).select(*(columns or df.columns)))
 
 
 def without_duplicated(df: DataFrame, keys: Keys) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators.tables import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +47,8 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") * 37 % 101 / F.lit(100.0)).alias("conf"),
         (F.col("doc_id") * 53 % 101 / F.lit(100.0)).alias("conf2"),
     )
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``docs`` for work on whole texts, over all cores also where the table is one small file."""
+    return spread(docs(spark, sf_dir).select("id", "abstract"), "id")

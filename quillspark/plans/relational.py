@@ -10,7 +10,7 @@ from quillspark.functions import text as tx
 from quillspark.operators import models as md
 from quillspark.operators import tables as tb
 
-from .registry import CLASSES, DOCS, classes, docs, register, table
+from .registry import CLASSES, DOCS, classes, docs, register, table, texts
 
 # --- projections ------------------------------------------------------------------------------
 register("PRJ1", "SELECT o_orderkey, o_totalprice, o_custkey FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey"))
@@ -77,7 +77,7 @@ _RANK = "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END"
 _DOI = "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END"
 register("DED1", f"WITH t AS (SELECT o_orderkey, CAST({_DOI} AS VARCHAR) AS doi, {_RANK} AS rk FROM orders) SELECT o_orderkey, doi FROM t WHERE doi IS NULL UNION ALL SELECT o_orderkey, doi FROM (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY rk, o_orderkey) AS rn FROM t WHERE doi IS NOT NULL) WHERE rn = 1")(lambda s, d: tb.first_by_keyed(table(s, d, "orders").select("o_orderkey", F.expr(f"cast({_DOI} as string)").alias("doi"), F.expr(_RANK).alias("rk")), "doi", ["rk", "o_orderkey"]).select("o_orderkey", "doi"))
 _NORM = "trim(regexp_replace(regexp_replace(lower({c}), '\\s+', ' ', 'g'), '[!-/:-@\\[-`{{-~]', '', 'g'))"
-register("DED2", f"WITH {DOCS}, t AS (SELECT id, {_NORM.format(c='abstract')} AS norm FROM docs) SELECT min(id) AS id FROM t WHERE norm IS NOT NULL AND norm <> '' GROUP BY norm UNION ALL SELECT id FROM t WHERE norm IS NULL OR norm = ''")(lambda s, d: tb.first_by_text(docs(s, d), "abstract", ["id"]).select("id"))
+register("DED2", f"WITH {DOCS}, t AS (SELECT id, {_NORM.format(c='abstract')} AS norm FROM docs) SELECT min(id) AS id FROM t WHERE norm IS NOT NULL AND norm <> '' GROUP BY norm UNION ALL SELECT id FROM t WHERE norm IS NULL OR norm = ''")(lambda s, d: tb.first_by_text(texts(s, d), "abstract", ["id"], ["id"]))
 register("DED3", f"WITH t AS (SELECT o_orderkey, o_custkey, {_KIND} AS kind FROM orders), u AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM t) SELECT o_orderkey FROM u WHERE rn = 1 AND (kind = 'Article' OR kind IS NULL)")(lambda s, d: tb.first_by(table(s, d, "orders").withColumn("kind", F.expr(_KIND)), ["o_custkey"], ["o_orderkey"]).where(tb.in_or_null("kind", ["Article"])).select("o_orderkey"))
 register("DED4", f"WITH t AS (SELECT o_orderkey, {_DOI} AS title FROM orders) SELECT min(o_orderkey) AS o_orderkey FROM t GROUP BY title")(lambda s, d: tb.first_by(table(s, d, "orders").select("o_orderkey", F.expr(_DOI).alias("title")), ["title"], ["o_orderkey"]).select("o_orderkey"))
 register("DED5", "SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1")(lambda s, d: tb.first_by(table(s, d, "lineitem"), ["l_orderkey"], ["l_linenumber"]).select("l_orderkey", "l_linenumber"))

@@ -14,7 +14,7 @@ from quillspark.operators import models as md
 from quillspark.operators import tables as tb
 from quillspark.sources import files as fl
 
-from .registry import CLASSES, DOCS, classes, docs, register, table
+from .registry import CLASSES, DOCS, classes, docs, register, table, texts
 
 _WORDS = "regexp_extract_all(lower({c}), '([\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*)', 1)"
 _PRE = "lower(regexp_replace({c}, '[!-@\\[-`{{-~]', ' ', 'g'))"
@@ -74,7 +74,7 @@ register("MAP1", "SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 W
 # --- models -----------------------------------------------------------------------------------
 _STOP = ["the", "of", "and", "de", "la"]
 _TC = f"{DOCS}, w AS (SELECT id, unnest({_WORDS.format(c='abstract')}) AS word FROM docs), tc AS (SELECT id, word, count(*) AS n FROM w WHERE NOT regexp_matches(word, '\\d') AND word NOT IN ('the', 'of', 'and', 'de', 'la') GROUP BY 1, 2)"
-_terms = lambda s, d: ex.term_counts(docs(s, d), "id", "abstract", _STOP)
+_terms = lambda s, d: ex.term_counts(texts(s, d), "id", "abstract", _STOP)
 register("ML1", f"WITH {_TC}, v AS (SELECT word FROM tc GROUP BY 1 HAVING sum(n) >= 2 ORDER BY sum(n) DESC, word LIMIT 500) SELECT id, word, n FROM tc WHERE word IN (SELECT word FROM v)")(lambda s, d: (lambda t: t.join(F.broadcast(ex.vocabulary(t, "word", "n", 2, 500).select("word")), "word", "left_semi"))(_terms(s, d)))
 register("FLT9", f"WITH {DOCS}, w AS (SELECT id, {_WORDS.format(c='abstract')} AS t FROM docs), b AS (SELECT unnest(list_filter({_BI.format(t='t')}, lambda x: split_part(x, ' ', 1) NOT IN ('the', 'of', 'and', 'de', 'la') AND split_part(x, ' ', 2) NOT IN ('the', 'of', 'and', 'de', 'la'))) AS bigram FROM w) SELECT replace(bigram, ' ', '_') AS bigram, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 2")(lambda s, d: docs(s, d).select(F.explode(tx.ngrams(tx.words(F.col("abstract")), 2)).alias("b")).where(~F.split("b", " ")[0].isin(*_STOP) & ~F.split("b", " ")[1].isin(*_STOP)).groupBy(F.replace("b", F.lit(" "), F.lit("_")).alias("bigram")).agg(F.count("*").alias("n")).where("n >= 2"))
 register("SR6", f"WITH {_TC} SELECT word, CAST(sum(n) AS BIGINT) AS total FROM tc GROUP BY 1 HAVING sum(n) >= 5 ORDER BY total DESC, word LIMIT 100")(lambda s, d: ex.vocabulary(_terms(s, d), "word", "n", 5, 100))
@@ -124,7 +124,7 @@ _rx = lambda p: f"regexp_matches(lower(abstract), '{tx.phrase_pattern(p)}')"  #
 _sum = lambda c: " + ".join(f"{_rx(p)}::INT * {w}" for w, ps in c.values() for p in ps)
 _cat = lambda c: "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(map(_rx, ps))} THEN '{k}' END" for k, (_, ps) in c.items()) + "], lambda x: x IS NOT NULL)"
 _EV = f"WITH {DOCS}, e AS (SELECT id, CAST({_sum(_ABS)} AS BIGINT) AS absence_score, CAST({_sum(_MET)} AS BIGINT) AS method_score, {_cat(_ABS)} AS a, {_cat(_MET)} AS m FROM docs), v AS (SELECT id, absence_score, method_score, array_to_string(a, '; ') AS absence_categories, array_to_string(m, '; ') AS method_categories, CASE WHEN absence_score >= 8 AND method_score >= 4 AND len(a) >= 2 THEN 'Very High' WHEN absence_score >= 6 AND method_score >= 3 THEN 'High' WHEN absence_score >= 3 AND method_score >= 2 THEN 'Medium' WHEN absence_score >= 1 AND method_score >= 1 THEN 'Low' ELSE 'None' END AS confidence_level FROM e)"
-_evidence = lambda s, d: ex.evidence(docs(s, d), "abstract", _ABS, _MET).select("id", "absence_score", "method_score", "absence_categories", "method_categories", "confidence_level")
+_evidence = lambda s, d: ex.evidence(texts(s, d), "abstract", _ABS, _MET).select("id", "absence_score", "method_score", "absence_categories", "method_categories", "confidence_level")
 register("EXT15", f"{_EV} SELECT * FROM v")(_evidence)
 register("EXT16", f"{_EV}, {CLASSES} SELECT confidence_level, label, count(*) AS n FROM v JOIN classes USING (id) GROUP BY 1, 2")(lambda s, d: tb.counted(_evidence(s, d).join(classes(s, d), "id"), "confidence_level", "label"))
 register("EXT17", f"{_EV} SELECT year // 5 * 5 AS period, confidence_level, count(*) AS n FROM v JOIN docs USING (id) GROUP BY 1, 2")(lambda s, d: tb.counted(_evidence(s, d).join(docs(s, d).select("id", md.period(F.col("year")).alias("period")), "id"), "period", "confidence_level"))

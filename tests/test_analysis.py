@@ -109,3 +109,18 @@ def test_a_row_that_raises_stops_no_other(spark):
 def test_context_chars(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(tx.context_chars(F.col("t"), "of the")).first()[0] == want
+
+
+def test_first_by_text(spark):
+    df = spark.createDataFrame([(3, "A b."), (1, "a  B"), (2, None), (4, " - "), (5, ""), (6, " "), (7, "a b")], "id long, t string")
+    assert rows(tb.first_by_text(df, "t", ["id"], ["id"])) == [(1,), (2,), (4,), (5,), (6,)]
+    assert rows(tb.first_by_text(df, "t", ["id"]).where("id = 1")) == [(1, "a  B")]
+    assert rows(tb.first_by_text(df, "t", [F.desc("id")], ["id"])) == [(2,), (4,), (5,), (6,), (7,)]
+
+
+def test_spread_keeps_all_rows(spark):
+    df = spark.range(10).selectExpr("nullif(id, 3) as id").coalesce(1)
+    assert tb.spread(df, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert rows(tb.spread(df, "id")) == rows(df)
+    wide = df.repartition(64)
+    assert tb.spread(wide, "id") is wide
