@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, divergence, jaccard_join, language, packing, privacy, quality, secrets, sharding, token_files, toxicity
+from . import byte_bpe, conversation_repair, decontamination, divergence, jaccard_join, language, packing, privacy, quality, secrets, sharding, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": sharding.query,
         "op10_toxicity": toxicity.query,
         "op11_divergence": divergence.query,
+        "op12_conversation_repair": conversation_repair.query,
         "op13_byte_bpe": byte_bpe.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard_join": jaccard_join.SQL, "op9_sharding": sharding.SQL, "op11_divergence": divergence.SQL}
+    return {"op6_jaccard_join": jaccard_join.SQL, "op9_sharding": sharding.SQL, "op11_divergence": divergence.SQL, "op12_conversation_repair": conversation_repair.SQL}
