@@ -36,8 +36,11 @@ def tokens(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Words in lower case: runs of letters, digits and inner apostrophes."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*)"), F.lit(1))
+    """Words in lower case: runs of letters, digits and inner apostrophes.
+
+    Repeated groups are possessive here and below: they match the same, and Java then repeats them
+    in a loop, where a greedy one takes a frame of the stack for each repetition."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]++(?:'[\p{L}\p{N}]++)*+)"), F.lit(1))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

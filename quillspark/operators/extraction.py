@@ -168,7 +168,7 @@ def places(docs: DataFrame, text: str, countries: dict[str, str], rules: list[Pl
 
 
 _D, _P = r"-?\d{1,2}(?:\.\d+)?\s*,\s*-?\d{1,3}(?:\.\d+)?", r"\b\d{1,2}(?:\.\d+)?[°]?\s*[NS]\b.*?\b\d{1,3}(?:\.\d+)?[°]?\s*[EW]\b"
-#: The reference's patterns in its order, with its Unicode classes.
+#: The 19 forms of coordinates, in the order in which they are tried.
 COORDINATES = [
     _P,  # 45.5°N, 122.3°W
     rf"\b{_D}\b",  # 45.5, -122.3
@@ -224,6 +224,7 @@ def evidence(docs: DataFrame, text: str, absence: dict[str, tuple[int, list[str]
 
 
 def evidence_level(absence: Column, method: Column, categories: Column) -> Column:
+    """The level by its fixed least scores and number of categories."""
     return F.when((absence >= 8) & (method >= 4) & (categories >= 2), "Very High").when((absence >= 6) & (method >= 3), "High").when((absence >= 3) & (method >= 2), "Medium").when((absence >= 1) & (method >= 1), "Low").otherwise("None")
 
 
@@ -303,7 +304,7 @@ def second_pass(docs: DataFrame, text: str, found: str, canonical: list[str], sy
     """Where the array ``found`` is empty, it becomes the canonical names of the text's capitalised
     phrases that are countries or synonyms, each once in the order of the text. A name with a rule
     against the text's other words is left out."""
-    phrases = F.regexp_extract_all(F.col(text), F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1))
+    phrases = F.regexp_extract_all(F.col(text), F.lit(r"\b([A-Z][a-z]+\b(?:\s+[A-Z][a-z]+\b)*+)"), F.lit(1))
     to = {n.lower(): n for n in canonical} | {s.lower(): c for s, c in synonyms.items() if c in canonical}
     table = F.create_map(*[F.lit(x) for kv in to.items() for x in kv])
     names = F.transform(phrases, lambda p: F.element_at(table, F.lower(F.regexp_replace(p, r"\s+", " "))))

@@ -32,7 +32,7 @@ def threshold_label(p: Column, threshold: float | Decimal, yes: str, no: str) ->
 
 
 def confidence_band(c: Column) -> Column:
-    """Five bands and Unknown."""
+    """Five bands by their fixed least values, and Unknown."""
     return F.when(c.isNull(), "Unknown").when(c >= 0.9, "Very High").when(c >= 0.8, "High").when(c >= 0.7, "Medium").when(c >= 0.6, "Low").otherwise("Very Low")
 
 
