@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.operators import dictionary as dc
 from quillspark.operators.tables import first_by
 
 
@@ -47,14 +48,19 @@ def validated(names: DataFrame, name: str, found: Lookups) -> DataFrame:
 def taxa(docs: DataFrame, key: str, text: str, found: Lookups, max_tokens: int | None = None) -> DataFrame:
     """One row per document and match (species, genus, family), or one NO_MATCH row.
 
-    Documents are exploded to distinct tokens and bigrams and joined; bigrams only of texts of at
-    most ``max_tokens`` tokens where that is given.
+    The names of the taxonomy are found in one pass over the documents (``operators.dictionary``),
+    and only what they have is joined; names of two words only in texts of at most ``max_tokens``
+    tokens where that is given. Names of more than two words are not searched.
     """
-    t = tx.tokens(tx.preprocessed(F.coalesce(F.col(text), F.lit(""))))
-    grams = tx.ngrams(t, 2)
+    one = found.accepted.select("name").union(found.synonyms.select("name")).union(found.genus.select("name")).union(found.family.select("name"))
+    known = dc.dictionary(one.where(~F.contains("name", F.lit("  ")) & (F.size(F.split("name", " ")) <= 2)), "name")
+    low = docs.select(key, dc.spaced(F.col(text)).alias("_t"))
     if max_tokens:
-        grams = F.when(F.size(t) <= max_tokens, grams).otherwise(F.array().cast("array<string>"))
-    terms = docs.select(key, F.explode(F.array_distinct(F.concat(t, grams))).alias("term"))
+        low = low.withColumn("_long", F.size(F.split("_t", " ")) - 2 > max_tokens)
+    terms = dc.pairs(low, F.col("_t"), known, "term")
+    if max_tokens:
+        terms = terms.where(~F.col("_long") | ~F.contains("term", F.lit(" ")))
+    terms = terms.select(key, "term").distinct()
     species = validated(terms, "term", found).select(key, F.lit("species").alias("match_type"), "resolved_name", "kingdom", "phylum", "family", "genus", "status")
     genus = terms.join(found.genus, F.col("term") == F.col("name")).select(key, F.lit("genus").alias("match_type"), F.col("genus").alias("resolved_name"), "kingdom", "phylum", "family", "genus", F.lit("ACCEPTED").alias("status"))
     family = terms.join(found.family, F.col("term") == F.col("name")).select(key, F.lit("family").alias("match_type"), F.col("family").alias("resolved_name"), "kingdom", "phylum", "family", F.lit(None).cast("string").alias("genus"), F.lit("ACCEPTED").alias("status"))

@@ -112,13 +112,13 @@ def positioned(df: DataFrame, order: Keys, name: str = "_position") -> DataFrame
 def containing(docs: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
     """(document, term) pairs where the document has all words of the term next to each other.
 
-    Each term is keyed by its first word: documents are exploded to words and joined on it, and
-    only those pairs are compared, so nothing is crossed.
+    The terms are a dictionary of words in lower case, found in one pass over the documents.
     """
-    keyed = terms.select(F.lower(F.col(term)).alias(term)).distinct().withColumn("_w", F.element_at(F.split(F.col(term), " "), 1))
-    low = docs.withColumn("_t", F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" ")))
-    pairs = low.withColumn("_w", F.explode(F.array_distinct(F.split(F.trim("_t"), " ")))).join(keyed, "_w")
-    return pairs.where(F.expr(f"contains(_t, concat(' ', {term}, ' '))")).drop("_t", "_w")
+    from quillspark.operators import dictionary as dc
+
+    known = dc.dictionary(terms.select(F.lower(F.col(term)).alias(term)), term)
+    low = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    return dc.pairs(docs, low, known, term).drop("n")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
