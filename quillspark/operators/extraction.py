@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.operators import dictionary as dc
+from quillspark.operators import nearest as nr
 from quillspark.operators.tables import first_by
 
 
@@ -289,11 +290,10 @@ def term_counts(docs: DataFrame, key: str, text: str, stop: list[str]) -> DataFr
 
 def nearest_names(names: DataFrame, key: str, name: str, candidates: DataFrame, candidate: str, order: str, most: float = 0.15) -> DataFrame:
     """key, distance of the nearest candidate by Jaro-Winkler on whole names, and that candidate as
-    ``nearest`` if it is at most ``most`` away; the first in order of equal ones. Every name is
-    compared with every candidate, so these should be few."""
-    pairs = names.select(key, name).join(F.broadcast(candidates.select(candidate, order)), how="left")
-    first = pairs.withColumn("_d", tx.jaro_winkler_distance(F.col(name), F.col(candidate))).groupBy(key).agg(F.min(F.when(F.col("_d").isNotNull(), F.struct("_d", order, candidate))).alias("_x"))
-    return first.select(key, F.col("_x._d").alias("distance"), F.when(F.col("_x._d") <= most, F.col(f"_x.{candidate}")).alias("nearest"))
+    ``nearest`` if it is at most ``most`` away; the first in order of equal ones. Bounds spare most of the
+    comparisons (``operators.nearest``)."""
+    first = nr.nearest(names, key, name, candidates, candidate, order)
+    return first.select(key, "distance", F.when(F.col("distance") <= most, F.col("candidate")).alias("nearest"))
 
 
 def bigram_counts(docs: DataFrame, key: str, text: str, stop: list[str], least: int = 2) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as tx
 from quillspark.operators import bloom as bl
 from quillspark.operators import dictionary as dc
-from quillspark.operators import extraction as ex
-from quillspark.operators import tables as tb
+from quillspark.operators import fuzzy as fz
+from quillspark.operators import nearest as nr
 from quillspark.sources import files as fl
 
 from .registry import DOCS, register, table, texts
@@ -60,3 +60,47 @@ def words_by_domain(s, d):
     filters, of = bl.load(s, to)
     asked = texts(s, d).select(F.explode(F.array_distinct(tx.words(F.col("abstract")))).alias("name")).withColumn("domain", F.explode(F.array(*map(F.lit, domains))))
     return bl.validated(bl.probed(asked, "name", "domain", filters, of).distinct(), "name", "domain", filters, of, known).select("domain", "name", "uses")
+
+
+@register("JN16_whole", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON 1 - levenshtein(right(s_name, 9), right(c_name, 9)) / 9.0 >= 0.88")
+def similar_numbers(s, d):
+    """All pairs of a supplier and a customer whose numbers differ by one edit, whatever their nations."""
+    left = table(s, d, "supplier").select("s_suppkey", F.expr("right(s_name, 9)").alias("s"))
+    right = table(s, d, "customer").select("c_custkey", F.expr("right(c_name, 9)").alias("c"))
+    return fz.joined(left, "s", right, "c", similarity=0.88).select("s_suppkey", "c_custkey")
+
+
+@register("JN16_names", "WITH n AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS x FROM part WHERE p_name IS NOT NULL) SELECT a.x AS a, b.x AS b, levenshtein(a.x, b.x) AS distance FROM n a JOIN n b ON a.x < b.x AND levenshtein(a.x, b.x) <= 3")
+def similar_names(s, d):
+    """All pairs of different descriptions of parts within three edits."""
+    names = table(s, d, "part").where("p_name is not null").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("x"))
+    return fz.close(names, "x", names, "x", distance=3).where("a < b").select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
+_PHRASES = ["of the and", "in la que", "of thi and", "the in"]
+
+
+@register(
+    "STR27_whole",
+    f"""WITH {DOCS}, p AS (SELECT unnest({_PHRASES!r}) AS phrase), d AS (SELECT id, {_TOK.format(c="lower(abstract)")} AS t FROM docs),
+    w AS (SELECT id, unnest(range(1, len(t))) AS place, 2 AS words, t FROM d UNION ALL SELECT id, unnest(range(1, len(t) - 1)), 3, t FROM d), g AS (SELECT id, place, words, array_to_string(t[place:place + words - 1], ' ') AS found FROM w),
+    s AS (SELECT id, phrase, found, place, 1 - levenshtein(found, phrase) / greatest(length(found), length(phrase))::DOUBLE AS similarity FROM g JOIN p ON words = len(string_split(phrase, ' ')) WHERE abs(length(found) - length(phrase)) <= 3)
+    SELECT id, phrase, found, place, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY id, phrase ORDER BY place) = 1""",
+)
+def near_phrases(s, d):
+    """The first window of each document that is near one of several phrases."""
+    wanted = s.createDataFrame([(p,) for p in _PHRASES], "phrase string")
+    return fz.phrases_in(texts(s, d), "id", "abstract", wanted, "phrase", 0.8)
+
+
+@register(
+    "STR28_words",
+    f"""WITH c AS (SELECT DISTINCT unnest({_WORDS.format(c='text')}) AS word FROM conversations), n AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS name FROM part), a AS (SELECT DISTINCT name FROM n),
+    d AS (SELECT name, word, round(1 - jaro_winkler_similarity(name, word), 9) AS distance FROM a CROSS JOIN c QUALIFY row_number() OVER (PARTITION BY name ORDER BY distance, word) = 1)
+    SELECT p_partkey, distance, word AS nearest FROM n JOIN d USING (name)""",
+)
+def nearest_words(s, d):
+    """The word of all conversations that is nearest to the first word of each part's name."""
+    known = table(s, d, "conversations").select(F.explode(tx.words(F.col("text"))).alias("word")).distinct().withColumn("order", F.col("word"))
+    names = table(s, d, "part").select("p_partkey", F.split("p_name", " ")[0].alias("name"))
+    return nr.nearest(names, "p_partkey", "name", known, "word", "order").select("p_partkey", "distance", F.col("candidate").alias("nearest"))
