@@ -266,6 +266,45 @@ def coverage(known: DataFrame, found: DataFrame, name: str, by: str) -> DataFram
     return hit.groupBy(by).agg(F.count("*").alias("total"), F.count("_f").alias("found")).withColumn("percent", F.round(100 * F.col("found") / F.col("total"), 4))
 
 
+def covered_names(known: DataFrame, found: DataFrame, levels: list[str], group: str) -> DataFrame:
+    """(group, level, name, members, found): each distinct name of each level of the reference, how
+    many names of the first level it has, and whether it is found.
+
+    ``levels`` go from the lowest up, as columns of ``known``; ``found`` has the columns ``level`` and
+    ``name``. A name is found if it is so itself or a name of the first level below it is; one pass
+    over the reference, with names added up before they are shuffled.
+    """
+    hits = found.select("level", "name").where("name is not null").distinct()
+    lowest = hits.where(F.col("level") == levels[0]).select(F.col("name").alias(levels[0]), F.lit(True).alias("_hit"))
+    rows = known.select(group, *levels).distinct().join(lowest, levels[0], "left")
+    each = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(c).alias("level"), F.col(c).cast("string").alias("name")) for i, c in enumerate(levels)])
+    tall = rows.select(group, F.col(levels[0]).alias("_lowest"), "_hit", F.explode(each).alias("x")).select(group, "_lowest", "_hit", "x.*").where("name is not null")
+    names = tall.groupBy(group, "at", "level", "name").agg(F.countDistinct("_lowest").alias("members"), F.max(F.coalesce("_hit", F.lit(False))).alias("_below"))
+    direct = hits.withColumn("_direct", F.lit(True))
+    out = names.join(direct, ["level", "name"], "left")
+    return out.select(group, "at", "level", "name", "members", (F.col("_below") | F.coalesce("_direct", F.lit(False))).alias("found"))
+
+
+def coverage_levels(names: DataFrame, group: str) -> DataFrame:
+    """(group, level, total, found, percent) of ``covered_names``; the null group is that of all groups,
+    where a name counts once."""
+    whole = names.groupBy("at", "level", "name").agg(F.max("found").alias("found")).withColumn(group, F.lit(None).cast(names.schema[group].dataType))
+    every = names.where(F.col(group).isNotNull()).select(group, "at", "level", "name", "found").unionByName(whole)
+    out = every.groupBy(group, "at", "level").agg(F.count("*").alias("total"), F.sum(F.col("found").cast("long")).alias("found"))
+    return out.select(group, "level", "total", "found", F.round(100 * F.col("found") / F.col("total"), 4).alias("percent"))
+
+
+def missing_ranked(names: DataFrame, group: str, level: str, most: int = 5) -> DataFrame:
+    """(group, n_missing, members, top): the names of a level that are not found, how many names of the
+    first level they have, and the ``most`` largest as "name (members); ..."."""
+    lost = names.where((F.col("level") == level) & ~F.col("found"))
+    order = Window.partitionBy(group).orderBy(F.desc("members"), "name")
+    top = lost.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.format_string("%s (%d)", "name", "members").alias("x")))), lambda x: x["x"]), "; ")
+    totals = lost.groupBy(group).agg(F.count("*").alias("n_missing"), F.sum("members").alias("members"))
+    return totals.join(top.groupBy(F.col(group).alias("_g")).agg(text.alias("top")), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
 def tf_idf(terms: DataFrame, doc: str, term: str, n: str) -> DataFrame:
     """tf = n / all of the document, idf = ln(documents / documents with the term). ``terms`` has one
     row of a document and term, as ``term_counts`` gives them."""

@@ -7,6 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.tables import running
+
 #: The weights of the weighted ensemble and the threshold of the other.
 SVM_PRESENCE, GLM_ABSENCE, THRESHOLD = 0.6, 0.8, 0.55
 
@@ -91,3 +93,30 @@ def cascade(steps: list[tuple[Column, float, Column]], otherwise: str = "Uncerta
     for confidence, least, label in steps[1:]:
         out = out.when(confidence >= least, label)
     return out.otherwise(otherwise)
+
+
+# --- curves -----------------------------------------------------------------------------------
+def curve(df: DataFrame, score: str, label: str, positive) -> DataFrame:
+    """(score, positives, negatives, tp, fp, n_positive, n_negative, tpr, fpr, precision) at every score as a cut, which
+    counts all rows of at least that score as positive; rows without score or label are left out.
+
+    Rows are counted by score first; the scores are then dealt to ranges and summed up from the
+    highest, so that no task holds them all and ties are one point.
+    """
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    yes = (F.col(label) == positive).cast("long")
+    counts = known.groupBy(F.col(score).alias("score")).agg(F.sum(yes).alias("positives"), F.sum(1 - yes).alias("negatives"))
+    points = running(counts, [F.desc("score")], {"tp": "positives", "fp": "negatives"})
+    both = points.agg(F.sum("positives").alias("n_positive"), F.sum("negatives").alias("n_negative"))
+    out = points.crossJoin(F.broadcast(both))
+    rate = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole))
+    return out.withColumns({"tpr": rate("tp", "n_positive"), "fpr": rate("fp", "n_negative"), "precision": F.col("tp") / (F.col("tp") + F.col("fp"))})
+
+
+def areas(points: DataFrame) -> DataFrame:
+    """The area under the ROC curve (ties count half) and the average precision, from ``curve``; null
+    where a class has no row."""
+    roc = F.sum(F.col("negatives").cast("decimal(38,1)") * (2 * F.col("tp") - F.col("positives")))
+    pairs = F.max("n_positive").cast("double") * F.max("n_negative").cast("double")
+    steps = F.sum(F.col("positives") * F.col("precision"))
+    return points.agg(F.when(pairs > 0, roc.cast("double") / 2 / pairs).alias("roc_area"), F.when(F.max("n_positive") > 0, steps / F.max("n_positive")).alias("average_precision"), F.count("*").alias("cuts"))

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
@@ -93,22 +93,74 @@ def bind_columns(left: DataFrame, right: DataFrame, left_order: Keys, right_orde
     return positioned(left, left_order).join(positioned(right, right_order), "_position").drop("_position")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local
+    master takes one within the warehouse; on a cluster that may be a folder of one machine, so it raises."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    return top.rstrip("/")
+
+
+def _ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """The rows dealt to ranges of the order, and stored with the number of their range."""
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_folder(spark)}/ranges-{uuid.uuid4().hex}"
+    df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def positioned(df: DataFrame, order: Keys, name: str = "_position") -> DataFrame:
     """Consecutive numbers from 0 in the order. Rows are dealt to ranges of the order and stored,
     numbered within each range, and shifted by the sizes of the ranges before; there are only as
     many sizes as ranges, and no task holds all rows."""
-    spark = df.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    path = f"{top.rstrip('/')}/ranges-{uuid.uuid4().hex}"
-    df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    dealt = spark.read.parquet(path)
+    dealt = _ranged(df, order)
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return dealt.withColumn("_rank", rank).join(F.broadcast(before), "_range").withColumn(name, F.col("_rank") + F.col("_before")).drop("_rank", "_before", "_range")
 
 
+def running(df: DataFrame, order: Sequence[str | Column], totals: dict[str, str]) -> DataFrame:
+    """Running totals over the whole table in the order: each new column sums the named one up to its
+    row. As ``positioned``, by ranges and the totals of the ranges before; the order must be of
+    distinct rows, for rows that tie may come in any order."""
+    dealt = _ranged(df, order)
+    sums = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in totals.items()])
+    so_far = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_range", *[F.coalesce(F.sum(f"_s_{n}").over(so_far), F.lit(0)).alias(f"_b_{n}") for n in totals])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.withColumns({f"_w_{n}": F.sum(c).over(within) for n, c in totals.items()}).join(F.broadcast(before), "_range")
+    return out.select(*df.columns, *[(F.col(f"_w_{n}") + F.col(f"_b_{n}")).alias(n) for n in totals])
+
+
+def quantiles(df: DataFrame, name: str, shares: dict[str, float], keys: Keys = ()) -> DataFrame:
+    """Exact quantiles of each group with linear interpolation, as ``percentile`` gives them; nulls are
+    left out, and a group without values has no row. Values are counted, then numbered by ranges of
+    (group, value), so that no task holds a group's values."""
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    groups = [f"_k{i}" for i in range(len(keys))]
+    counts = df.where(F.col(name).isNotNull()).groupBy(*own, F.col(name).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running(counts, [*groups, "_v"], {"_upto": "_n"})
+    sizes = placed.groupBy(*groups).agg(F.min(F.col("_upto") - F.col("_n")).alias("_base"), F.sum("_n").alias("_all")).withColumnsRenamed({g: f"{g}_" for g in groups})
+    same = [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in groups]
+    facts = placed.join(sizes, same) if groups else placed.crossJoin(F.broadcast(sizes))
+    last, first = F.col("_upto") - F.col("_base") - 1, F.col("_upto") - F.col("_base") - F.col("_n")
+
+    def at(q: float) -> Column:
+        place = F.lit(float(q)) * (F.col("_all") - 1)
+        value = lambda index: F.max(F.when((index >= first) & (index <= last), F.col("_v").cast("double")))
+        low, high = value(F.floor(place)), value(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        return F.when(low == high, low).otherwise((1 - part) * low + part * high)
+
+    found = facts.groupBy(*groups).agg(*[at(q).alias(n) for n, q in shares.items()])
+    return found.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *shares)
+
+
 def containing(docs: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
     """(document, term) pairs where the document has all words of the term next to each other.
 
@@ -201,8 +253,17 @@ def missing_profile(df: DataFrame, names: Keys) -> DataFrame:
 
 def summary(df: DataFrame, name: str) -> DataFrame:
     c = F.col(name)
-    q = lambda p: F.expr(f"percentile({name}, {p})")
-    return df.agg(F.min(c).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), F.round(F.avg(c), 6).alias("mean"), q(0.75).alias("q3"), F.max(c).alias("max"), F.sum(c.isNull().cast("long")).alias("n_missing"))
+    row = df.agg(F.min(c).alias("min"), F.round(F.avg(c), 6).alias("mean"), F.max(c).alias("max"), F.sum(c.isNull().cast("long")).alias("n_missing"))
+    found = row.join(F.broadcast(quantiles(df, name, {"q1": 0.25, "median": 0.5, "q3": 0.75})), how="left")
+    return found.select("min", "q1", "median", "mean", "q3", "max", "n_missing")
+
+
+def described(df: DataFrame, name: str, key: str) -> DataFrame:
+    """mean, median, sd, least and most of a column for each value of a key."""
+    c = F.col(name)
+    rows = df.groupBy(key).agg(F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev_samp(c), 4).alias("sd"), F.min(c).alias("least"), F.max(c).alias("most"))
+    median = quantiles(df, name, {"median": 0.5}, [key]).withColumnRenamed(key, "_key")
+    return rows.join(median, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "mean", "median", "sd", "least", "most")
 
 
 def contingency(df: DataFrame, a: str, b: str, values: Sequence) -> DataFrame:

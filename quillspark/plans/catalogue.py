@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dictionaries, further, more, relational, services, texts  # noqa: F401  (they register their queries)
+from . import dictionaries, further, more, relational, services, texts, whole  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL, Query
 
 

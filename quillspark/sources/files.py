@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators.tables import bind_rows, positioned, present
+from quillspark.operators.tables import bind_rows, positioned, present, shared_folder
 
 
 def files(spark: SparkSession, pattern: str) -> list[str]:
@@ -88,8 +88,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     import uuid
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_xml(spark: SparkSession, pattern: str, tag: str, paths: dict[str, str], joined: dict[str, str] | None = None) -> DataFrame:
