@@ -12,9 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.tables import draw
-
 from quillspark.functions.text import words
+from quillspark.operators.neighbours import nearest_rows
+from quillspark.operators.tables import draw
 
 
 def terms(docs: DataFrame, text: str) -> DataFrame:
@@ -142,40 +142,28 @@ def predicted(model, docs: DataFrame, text: str, key: str) -> DataFrame:
     return out.select(key, F.col("prediction").cast("int").alias("prediction"), p.alias("probability"))
 
 
-def balanced_by_neighbours(df: DataFrame, label: str, minority: int, values: list[str], copies: int, key: str, seed: int = 1, near: int = 5, block: int = 2_000) -> DataFrame:
+def balanced_by_neighbours(df: DataFrame, label: str, minority: int, values: list[str], copies: int, key: str, seed: int = 1, near: int = 5) -> DataFrame:
     """SMOTE: each minority row is moved, ``copies`` times, towards a drawn one of its ``near`` nearest
-    minority rows (Euclidean distance of the values) by a drawn share; the original rows stay.
-
-    Minority rows are dealt to blocks of about ``block`` rows along a random projection of the values,
-    where near rows are mostly close together; neighbours are looked for within the block. One block
-    holds all up to ``block`` rows, and then the neighbours are exact.
+    minority rows (Euclidean distance of the values, exact at every size) by a drawn share; the
+    original rows stay. Draws depend on the row's key alone.
     """
     import numpy as np
     import pandas as pd
 
-    few = df.where(F.col(label) == minority).select(key, *[F.col(v).cast("double").alias(v) for v in values]).na.drop()
-    n = few.count()
-    ways = np.random.default_rng(seed).normal(size=len(values))
-    along = sum((F.col(v) * float(w) for v, w in zip(values, ways)), F.lit(0.0))
-    parts = max(1, -(-n // block))
-    cuts = few.select(along.alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
-    at = sum((F.when(along > c, 1).otherwise(0) for c in cuts), F.lit(0))
-
-    def moved(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values(key, kind="stable").reset_index(drop=True)
-        x = chunk[values].to_numpy(float)
-        out = []
-        for i in range(len(x)):
-            far = ((x - x[i]) ** 2).sum(axis=1)
-            far[i] = np.inf
-            neighbours = np.argsort(far, kind="stable")[: min(near, len(x) - 1)]
-            rng = np.random.default_rng([seed, int(chunk[key][i])])
-            for k in range(copies):
-                to = x[neighbours[rng.integers(len(neighbours))]] if len(neighbours) else x[i]
-                out.append([chunk[key][i], k, *(x[i] + rng.random() * (to - x[i]))])
-        return pd.DataFrame(out, columns=[key, "_k", *values])
-
-    kind = f"{key} long, _k int, " + ", ".join(f"{v} double" for v in values)
-    made = few.withColumn("_at", at.cast("int")).groupBy("_at").applyInPandas(lambda c: moved(c), kind).withColumn(label, F.lit(minority))
+    few = df.where(F.col(label) == minority)
+    found = nearest_rows(few, key, values, near, seed=seed)
+
+    def moved(frames):
+        for f in frames:
+            out = []
+            for own, x, others in zip(f["key"], f["v"], f["others"]):
+                x, rng = np.asarray(x, float), np.random.default_rng([seed, int(own) % 2**63])
+                for _ in range(copies):
+                    to = np.asarray(others[rng.integers(len(others))], float) if len(others) else x
+                    out.append([own, *(x + rng.random() * (to - x))])
+            yield pd.DataFrame(out, columns=[key, *values])
+
+    pairs = found.select("key", "v", F.transform("neighbours", lambda n: n["v"]).alias("others"))
+    made = pairs.mapInPandas(moved, f"`{key}` long, " + ", ".join(f"`{v}` double" for v in values)).withColumn(label, F.lit(minority))
     own = df.select(key, label, *[F.col(v).cast("double").alias(v) for v in values]).withColumn("synthetic", F.lit(False))
     return own.unionByName(made.select(key, F.col(label).cast(df.schema[label].dataType), *values).withColumn("synthetic", F.lit(True)))
