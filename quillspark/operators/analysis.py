@@ -131,3 +131,60 @@ def best_config(grid: DataFrame, scores: Sequence[str], order: Sequence[str]) ->
     """The row with the highest mean of the scores; of equal ones the first by ``order`` (numbers)."""
     mean = sum((F.col(c) for c in scores[1:]), F.col(scores[0])) / len(scores)
     return grid.agg(F.max_by(F.struct(*grid.columns), F.struct(mean.alias("score"), *[(-F.col(c)).alias(c) for c in order])).alias("x")).where("x is not null").select("x.*")
+
+
+# --- combinations and trends --------------------------------------------------------------------
+def first_combination(rules: Sequence[tuple[Sequence[str], str]], otherwise: str) -> Column:
+    """The label of the first rule all of whose flags are set; null counts as not set."""
+    out = F.when(F.lit(False), F.lit(""))
+    for flags, label in rules:
+        out = out.when(completeness(*map(F.col, flags)) == len(flags), label)
+    return out.otherwise(otherwise)
+
+
+def combination_rules(core: dict[str, str], others: dict[str, str] | None = None) -> list[tuple[tuple[str, ...], str]]:
+    """Rules for a few core flags (column to name): all, then each smaller combination, largest first. With
+    ``others`` there are classes for these alone as well, and one before all for the cores with the
+    first two of the others."""
+    from itertools import combinations
+
+    columns, rules = list(core), []
+    if others:
+        rules.append((tuple(columns) + tuple(others)[:2], f"Multiple methods ({len(columns) + 2}+ types)"))
+    for size in range(len(columns), 0, -1):
+        for some in combinations(columns, size):
+            whole = size == len(columns) and not others
+            rules.append((some, f"All {('zero', 'one', 'two', 'three', 'four')[size]} methods" if whole else f"{core[some[0]]} only" if size == 1 else " + ".join(core[c] for c in some)))
+    return rules + [((c,), f"{name} only") for c, name in (others or {}).items()]
+
+
+def combination_counts(docs: DataFrame, schemes: dict[str, Sequence[tuple[Sequence[str], str]]], otherwise: str = "No methods detected") -> DataFrame:
+    """(scheme, label, n, percent) of the documents, which are read once for all schemes."""
+    told = F.array(*[F.struct(F.lit(k).alias("scheme"), first_combination(rules, otherwise).alias("label")) for k, rules in schemes.items()])
+    n = docs.select(F.explode(told).alias("x")).groupBy("x.scheme", "x.label").agg(F.count("*").alias("n"))
+    return n.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("scheme")), 4))
+
+
+def trends(rows: DataFrame, key: str, period: str, methods: dict[str, str], north: str, south: str, species: str, kingdom: str, flags: Sequence[str], high: int = 3) -> DataFrame:
+    """(trend, period, item, n, total, percent): methods, geography, species, kingdoms and completeness over
+    the periods. ``rows`` may have several rows of a document: the first three trends count a document
+    once a period with what any of its rows has, the others count rows, as each is a finding.
+
+    geography is of documents with either of its flags; "distinct species" has no total; "mean score"
+    has the sum of the flags as n.
+    """
+    any_of = lambda c: F.max(F.coalesce(F.col(c), F.lit(False)))
+    docs = rows.groupBy(period, key).agg(*[any_of(c).alias(f"_m{i}") for i, c in enumerate(methods.values())], any_of(north).alias("_n"), any_of(south).alias("_s"), F.max(F.col(species).isNotNull()).alias("_f"))
+    count = lambda c: F.sum(c.cast("long"))
+    either = F.col("_n") | F.col("_s")
+    once = docs.groupBy(period).agg(F.count("*").alias("_all"), *[count(F.col(f"_m{i}")).alias(f"_m{i}") for i in range(len(methods))], count(either).alias("_either"), count(F.col("_n")).alias("_n"), count(F.col("_s")).alias("_s"), count(F.col("_f")).alias("_f"))
+    row = lambda trend, item, n, total: F.struct(F.lit(trend).alias("trend"), F.lit(item).alias("item"), n.cast("long").alias("n"), total.cast("long").alias("total"))
+    of_docs = [row("methods", name, F.col(f"_m{i}"), F.col("_all")) for i, name in enumerate(methods)]
+    of_docs += [row("geography", "north", F.col("_n"), F.col("_either")), row("geography", "south", F.col("_s"), F.col("_either")), row("species", "documents with species", F.col("_f"), F.col("_all"))]
+    score = completeness(*map(F.col, flags))
+    every = rows.groupBy(period).agg(F.countDistinct(species).alias("_d"), F.count("*").alias("_rows"), F.sum(score).alias("_score"), count(score >= high).alias("_high"))
+    of_rows = [row("species", "distinct species", F.col("_d"), F.lit(None)), row("completeness", "mean score", F.col("_score"), F.col("_rows")), row("completeness", f"score of {high} or more", F.col("_high"), F.col("_rows"))]
+    by_kingdom = rows.where(F.col(kingdom).isNotNull()).groupBy(period, kingdom).agg(F.count("*").alias("_n"))
+    by_kingdom = by_kingdom.select(period, F.struct(F.lit("kingdoms").alias("trend"), F.col(kingdom).cast("string").alias("item"), F.col("_n").alias("n"), F.sum("_n").over(Window.partitionBy(period)).alias("total")).alias("x"))
+    tall = once.select(period, F.explode(F.array(*of_docs)).alias("x")).unionByName(every.select(period, F.explode(F.array(*of_rows)).alias("x"))).unionByName(by_kingdom)
+    return tall.select("x.trend", F.col(period).alias("period"), "x.item", "x.n", "x.total", _percent(F.col("x.n"), F.col("x.total")).alias("percent"))

@@ -143,9 +143,11 @@ class PlaceRule:
     not_with: str = ""
 
 
-def places(docs: DataFrame, text: str, countries: dict[str, str], rules: list[PlaceRule], synonyms: dict[str, str], adjectives: dict[str, str], continents: list[str], regions: list[str], north: set[str]) -> DataFrame:
-    """Countries by name, synonym and adjective, canonical and distinct, North and South, continents,
-    regions, whether coordinates are given, and a summary."""
+def places(docs: DataFrame, text: str, countries: dict[str, str], rules: list[PlaceRule], synonyms: dict[str, str], adjectives: dict[str, str], continents: list[str], regions: list[str], north: set[str], institutions: dict[str, str] | None = None, again: bool = False) -> DataFrame:
+    """Countries by name (longest first), synonym, institution (patterns of the lower-cased text) and
+    adjective, in this order, canonical and distinct; North and South, continents, regions, whether
+    coordinates are given, and a summary. With ``again``, texts without a country are searched once
+    more for capitalised phrases (``second_pass``)."""
     c, low = F.col(text), F.lower(text)
     special = {r.name: r for r in rules}
     bounded = lambda w: rf"(?i)(?<!\w){tx.escaped(w)}(?!\w)".replace(" ", r"\s+")
@@ -160,9 +162,12 @@ def places(docs: DataFrame, text: str, countries: dict[str, str], rules: list[Pl
         return F.when(yes, F.lit(to))
 
     names = sorted(countries, key=lambda n: (-len(n), n))
-    every = [hit(n, n) for n in names] + [hit(s, to) for s, to in synonyms.items()] + [hit(a, to) for a, to in adjectives.items()]
+    every = [hit(n, n) for n in names] + [hit(s, to) for s, to in synonyms.items()]
+    every += [F.when(low.rlike(pattern), F.lit(to)) for pattern, to in (institutions or {}).items()] + [hit(a, to) for a, to in adjectives.items()]
     clean = lambda cols: F.array_distinct(F.filter(F.array(*cols), lambda x: x.isNotNull()))
     out = docs.withColumn("_c", clean(every))
+    if again:
+        out = second_pass(out, text, "_c", list(countries), synonyms, rules)
     words_of = lambda ws: clean([F.when(c.rlike(bounded(w)), F.lit(w)) for w in ws])
     out = out.withColumns({"_k": words_of(continents), "_r": words_of(regions)})
     top = F.array(*map(F.lit, sorted(north)))
@@ -235,6 +240,28 @@ def evidence_level(absence: Column, method: Column, categories: Column) -> Colum
     return F.when((absence >= 8) & (method >= 4) & (categories >= 2), "Very High").when((absence >= 6) & (method >= 3), "High").when((absence >= 3) & (method >= 2), "Medium").when((absence >= 1) & (method >= 1), "Low").otherwise("None")
 
 
+def _labelled(values: Column, dimension: str) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(dimension).alias("dimension"), v.alias("value")))
+
+
+def evidence_by(found: DataFrame, level: str, lists: dict[str, str], flags: dict[str, str] | None = None, by: str = "; ") -> DataFrame:
+    """(dimension, value, level, n, percent): documents by level for each value of several columns at
+    once. ``lists`` names columns of values joined by ``by`` (or of one value), ``flags`` columns that
+    are true or not; percent is of the level's documents. Each document is read once."""
+    split = lambda c: F.filter(F.array_distinct(F.transform(F.split(F.col(c).cast("string"), by), lambda v: F.trim(v))), lambda v: v != "")
+    told = []
+    for dimension, c in lists.items():
+        values = F.coalesce(split(c), F.array().cast("array<string>"))
+        told.append(_labelled(values, dimension))
+    for name, c in (flags or {}).items():
+        told.append(F.when(F.col(c), F.array(F.struct(F.lit("flag").alias("dimension"), F.lit(name).alias("value")))).otherwise(F.array().cast("array<struct<dimension:string,value:string>>")))
+    kind = "array<struct<dimension:string,value:string>>"
+    tall = found.select(F.col(level).alias("level"), F.explode(F.concat(*[t.cast(kind) for t in told])).alias("x")).groupBy("x.dimension", "x.value", "level").agg(F.count("*").alias("n"))
+    totals = found.groupBy(F.col(level).alias("_level")).agg(F.count("*").alias("_all"))
+    out = tall.join(totals, F.col("level").eqNullSafe(F.col("_level")))
+    return out.select("dimension", "value", "level", "n", F.round(100 * F.col("n") / F.col("_all"), 4).alias("percent"))
+
+
 def statements(docs: DataFrame, key: str, text: str, phrases: dict[str, list[str]], least: float = 0.9) -> DataFrame:
     """One row per document and phrase found, exactly or within the similarity; texts of fewer
     than 10 characters have none."""

@@ -50,8 +50,14 @@ register("MTH7", f"WITH {CLASSES}, t AS (SELECT count(*) FILTER (label = 'Presen
 _ASCII = DOCS.replace("text AS abstract", "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS abstract")
 _ascii = lambda s, d: docs(s, d).withColumn("abstract", F.regexp_replace("abstract", r"[^\x00-\x7F]", "_"))
 register("STR7", f"WITH {_ASCII} SELECT id, regexp_matches(abstract, '\\b(sp|spp|var|subsp)\\.') AS hit FROM docs")(lambda s, d: _ascii(s, d).select("id", F.col("abstract").rlike(tx.INDICATORS).alias("hit")))
-register("STR15", f"WITH {_ASCII} SELECT id, regexp_matches(abstract, '(?i)\\bthe\\b') AND regexp_matches(lower(abstract), 'ing|ed') AND NOT regexp_matches(lower(abstract), 'xx') AS hit FROM docs")(lambda s, d: _ascii(s, d).select("id", (F.col("abstract").rlike(r"(?i)\bthe\b") & F.lower("abstract").rlike("ing|ed") & ~F.lower("abstract").rlike("xx")).alias("hit")))
-register("STR16", f"WITH {_ASCII} SELECT id, regexp_matches(abstract, '(?i)\\bof\\s+the\\b') AS hit FROM docs")(lambda s, d: _ascii(s, d).select("id", F.col("abstract").rlike(r"(?i)(?<!\w)of\s+the(?!\w)").alias("hit")))
+def _place(s, d, name, rules):
+    """Whether the documents have one country by the library's rules; null of a null text."""
+    found = ex.places(_ascii(s, d), "abstract", {name: ""}, rules, {}, {}, [], [], set())
+    return found.select("id", F.when(F.col("abstract").isNotNull(), F.col("countries_detected") == name).alias("hit"))
+
+
+register("STR15", f"WITH {_ASCII} SELECT id, regexp_matches(abstract, '(?i)\\bthe\\b') AND regexp_matches(lower(abstract), 'ing|ed') AND NOT regexp_matches(lower(abstract), 'xx') AS hit FROM docs")(lambda s, d: _place(s, d, "the", [ex.PlaceRule("the", needs="ing|ed", not_with="xx")]))
+register("STR16", f"WITH {_ASCII} SELECT id, regexp_matches(abstract, '(?i)\\bof\\s+the\\b') AS hit FROM docs")(lambda s, d: _place(s, d, "of the", []))
 register("STR18", "SELECT c_custkey, CASE WHEN regexp_matches(c_mktsegment, '\\bBUILDING\\b') THEN 'Houses' WHEN regexp_matches(c_mktsegment, '\\bMACHINERY\\b') THEN 'Works' END AS place FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", tx.labelled_by(F.col("c_mktsegment"), {r"\bbuilding\b": "Houses", r"\bmachinery\b": "Works"}).alias("place")))
 register("STR19", "SELECT r_name, trim(c) AS country FROM (SELECT r_name, unnest(string_split(r_name || 'land; Multiple others; ' || r_name || 'ia', ';')) AS c FROM region) WHERE trim(c) NOT LIKE 'Multiple%'")(lambda s, d: tb.separated(table(s, d, "region").select("r_name", F.concat("r_name", F.lit("land; Multiple others; "), "r_name", F.lit("ia")).alias("country")), "country").where("country not like 'Multiple%'"))
 _HITS = "regexp_extract_all(abstract, '" + "|".join(ex.COORDINATES).replace("'", "''") + "')"
