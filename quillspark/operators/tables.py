@@ -322,18 +322,48 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     return df.orderBy(draw(key, seed), key).limit(n)
 
 
+#: Draws lie below this.
+_DRAWS = 1 << 52
+#: Deviations around a stratum's expected draw that are looked through for its quota.
+_MARGIN = 6
+
+
+def _first_draws(df: DataFrame, strata: str, quota: Column, key: str, seed: int) -> DataFrame:
+    """``df`` with ``_in``: whether a row is among the first draws of its stratum, as many as its quota.
+
+    Draws are even, so the last one that counts lies near quota / n of their range. Rows clearly
+    below are counted, not sorted; only those within some deviations are ranked, so that no task
+    sorts a stratum. Where a count shows that a stratum's draws are not so even, all of it is ranked.
+    """
+    if taken := {c for c in df.columns if c.lower() in ("_in", "_g", "_u", "_q", "_low", "_high", "_below")}:
+        raise ValueError(f"columns of these names are made here: {sorted(taken)}")
+    group = F.col(strata).alias("_g")
+    rows = df.withColumns({"_u": draw(key, seed), "_q": quota.cast("double")})
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"), F.min("_q").alias("_least"), F.max("_q").alias("_most"))
+    edge = lambda q, sign: F.lit(float(_DRAWS)) * (F.col(q) + sign * (_MARGIN * F.sqrt(F.greatest(F.col(q), F.lit(1.0))) + 10)) / F.col("_n")
+    edges = sizes.withColumns({"_low": F.coalesce(F.when(F.col("_least") >= F.col("_n"), float(_DRAWS)).otherwise(edge("_least", -1)), F.lit(0.0)), "_high": F.coalesce(edge("_most", 1), F.lit(0.0))})
+    same = F.col(strata).eqNullSafe(F.col("_g"))
+    below = rows.select(strata, "_u").join(edges, same).groupBy("_g", "_n", "_least", "_most", "_low", "_high").agg(F.sum((F.col("_u") < F.col("_low")).cast("long")).alias("_below"), F.sum((F.col("_u") < F.col("_high")).cast("long")).alias("_upto"))
+    even = (F.col("_below") <= F.col("_least")) & (F.col("_upto") >= F.least(F.ceil("_most"), F.col("_n")))
+    known = below.select("_g", F.when(even, F.col("_low")).otherwise(0.0).alias("_low"), F.when(even, F.col("_high")).otherwise(float(_DRAWS)).alias("_high"), F.when(even, F.col("_below")).otherwise(0).alias("_below"))
+    placed = rows.join(known, same)
+    sure = placed.where("_u < _low").withColumn("_in", F.col("_q").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("_g").orderBy("_u", key))
+    near = placed.where("_u >= _low and _u < _high").withColumn("_in", F.coalesce(F.col("_below") + rank <= F.col("_q"), F.lit(False)))
+    out = placed.where("_u >= _low and _u >= _high").withColumn("_in", F.lit(False))
+    return sure.unionByName(near).unionByName(out).select(*df.columns, "_in")
+
+
 def sample_strata(df: DataFrame, strata: str, quota: Column, key: str, seed: int) -> DataFrame:
     """In each stratum as many rows as the quota column says, or all there are."""
-    w = Window.partitionBy(strata).orderBy(draw(key, seed), key)
-    return df.withColumn("_q", quota).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_q")).drop("_rn", "_q")
+    return _first_draws(df, strata, quota, key, seed).where("_in").drop("_in")
 
 
 def split(df: DataFrame, strata: str, share: float, key: str, seed: int) -> DataFrame:
     """Add ``is_train``: the first ceil(share * n) draws of each stratum."""
-    n = df.groupBy(strata).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(strata).orderBy(draw(key, seed), key)
-    ranked = df.withColumn("_rn", F.row_number().over(w))
-    return ranked.join(F.broadcast(n), strata).withColumn("is_train", F.col("_rn") <= F.ceil(F.col("_n") * share)).drop("_rn", "_n")
+    sizes = df.groupBy(F.col(strata).alias("_s")).agg(F.ceil(F.count("*") * share).alias("_goal"))
+    goal = df.join(sizes, F.col(strata).eqNullSafe(F.col("_s"))).drop("_s")
+    return _first_draws(goal, strata, F.col("_goal"), key, seed).drop("_goal").withColumnRenamed("_in", "is_train")
 
 
 def proportional_quotas(counts: dict[str, int], total: int) -> dict[str, int]:

@@ -134,3 +134,17 @@ def test_near_zero_variance(spark):
 def test_narrowed(spark):
     out = tb.narrowed(spark.createDataFrame([(1, 1.0, 0.5, 70_000), (-100, 2.0, 1.0, 2)], "a long, b double, c double, d long"), ["a", "b", "c", "d"])
     assert [f.dataType.simpleString() for f in out.schema] == ["tinyint", "tinyint", "double", "int"]
+
+
+def test_strata_are_drawn_as_by_a_full_ranking(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(30_000).select("id", F.expr("case when id % 3 = 0 then 'a' when id % 3 = 1 then 'b' when id < 100 then null else 'c' end").alias("g"))
+    order = Window.partitionBy("g").orderBy(tb.draw("id", 5), "id")
+    for quota in (F.expr("case g when 'a' then 500 when 'b' then 0 when 'c' then 100000 else 3 end"), F.lit(4_000), F.lit(None).cast("int")):
+        got = sorted(r.id for r in tb.sample_strata(df, "g", quota, "id", 5).collect())
+        assert got == sorted(r.id for r in df.withColumn("q", quota).withColumn("n", F.row_number().over(order)).where("n <= q").collect())
+    with pytest.raises(ValueError):
+        tb.sample_strata(df.withColumn("_q", F.lit(1)), "g", F.lit(1), "id", 5)
+    same = spark.range(500).select(F.lit(7).alias("id"), F.lit("a").alias("g"))  # draws that aren't even
+    assert tb.sample_strata(same, "g", F.lit(20), "id", 5).count() == 20
