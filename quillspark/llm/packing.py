@@ -98,12 +98,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[in
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "start", "ids_crc32")) -> DataFrame:
-    """Add sequence_id and offset to rows with a ``length`` of 1 to ``capacity``.
+    """Add sequence_id and offset to rows with a ``length`` of 1 to ``capacity``; columns of these names,
+    whatever their case, are replaced.
 
     ``found`` is read three times and should be stored. A length that a third of all rows share
     is ranked in many buckets; the rank goes on over the buckets by their counts.
     """
-    spark = found.sparkSession
+    spark, found = found.sparkSession, found.drop("sequence_id", "offset")
     bucket, rank, before, n_, share, size = fresh(found, "bucket", "rank", "before", "n", "share", "size")
     rows_of = {r.length: r["count"] for r in found.groupBy("length").count().collect()}  # at most capacity rows
     segments, sequences = [], 0

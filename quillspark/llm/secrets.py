@@ -170,10 +170,11 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replace each secret in the text by a mark; spans that overlap become one. ``n_chars``, if
-    there is one, follows the new text. All rows and columns stay."""
+    there is one, follows the new text. All rows and columns stay, also one named ``secrets``."""
     names = docs.columns
+    mine = next((c for c in names if c.lower() == "secrets"), None)
     old, spans, given = fresh(docs, "old", "spans", "given")
-    plain = docs.withColumnRenamed("secrets", given) if "secrets" in names else docs
+    plain = docs.withColumnRenamed(mine, given) if mine else docs
     out = scan(plain, text).withColumnRenamed("secrets", spans).withColumnRenamed(text, old)
     # the parts of the text before each span that starts beyond all earlier spans
     build = f"""concat_ws('', aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)), (s, x) -> named_struct('at', greatest(s.at, x.stop),
@@ -181,7 +182,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     out = out.withColumn(text, F.when(F.size(spans) > 0, F.expr(build)).otherwise(F.col(old)))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(given).alias(c) if c == "secrets" else c for c in names])
+    return out.select(*[F.col(given).alias(c) if c == mine else c for c in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
