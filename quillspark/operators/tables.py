@@ -272,7 +272,12 @@ def contingency(df: DataFrame, a: str, b: str, values: Sequence) -> DataFrame:
 
 # --- windows ----------------------------------------------------------------------------------
 def top_with_ties(df: DataFrame, by: str, n: int, keys: Keys = ()) -> DataFrame:
-    """The n largest of each group, with all that tie with the last."""
+    """The n largest of each group, with all that tie with the last; nulls are the smallest. Without keys
+    the n-th largest value is found first, by a distributed top-n, so that nothing is ranked in one task."""
+    if not keys:
+        top = df.select(F.col(by).alias("_v")).where("_v is not null").orderBy(F.desc("_v")).limit(n)
+        cut = top.agg(F.min("_v").alias("_cut"), F.count("*").alias("_some"))
+        return df.crossJoin(F.broadcast(cut)).where((F.col(by) >= F.col("_cut")) | (F.col("_some") < n)).drop("_cut", "_some")
     w = Window.partitionBy(*keys).orderBy(F.col(by).desc_nulls_last())
     return df.withColumn("_rk", F.rank().over(w)).where(F.col("_rk") <= n).drop("_rk")
 

@@ -71,11 +71,17 @@ def looked_up(names: DataFrame, name: str, path: str, buckets: int = 16) -> Data
     return table.join(keys, ["_key", "_bucket"], "left_semi").drop("_bucket")
 
 
+def shown(df: DataFrame, most: int) -> tuple[list, str]:
+    """The first rows of a result and what to say of the others: nothing, or how many are left out."""
+    rows = df.limit(most + 1).collect()
+    return rows[:most], f"({df.count() - most} more rows)" if len(rows) > most else ""
+
+
 def markdown(df: DataFrame, most: int = 100) -> str:
-    """A small result as a Markdown table; a report, so at most ``most`` rows."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table of at most ``most`` rows, and a line that counts any others."""
+    rows, rest = shown(df, most)
     lines = [" | ".join(df.columns), " | ".join("---" for _ in df.columns), *(" | ".join("" if v is None else str(v) for v in r) for r in rows)]
-    return "\n".join(f"| {x} |" for x in lines)
+    return "\n".join([*(f"| {x} |" for x in lines), *(["", rest] if rest else [])])
 
 
 def bibtex(df: DataFrame, doi: str, order: str) -> DataFrame:
@@ -146,12 +152,13 @@ def backup(spark: SparkSession, path: str, folder: str, stamp: str) -> str:
 
 
 def report(title: str, sections: dict[str, DataFrame], most: int = 100) -> list[str]:
-    """A text report: a title, and each section's rows as "name: value" lines."""
+    """A text report: a title, and each section's rows as "name: value" lines, at most ``most``, and a line that counts any others."""
     out = [title, "=" * len(title)]
     for name, df in sections.items():
         out += ["", name, "-" * len(name)]
-        for r in df.limit(most).collect():
-            out.append(", ".join(f"{c}: {'NA' if v is None else v}" for c, v in r.asDict().items()))
+        rows, rest = shown(df, most)
+        out += [", ".join(f"{c}: {'NA' if v is None else v}" for c, v in r.asDict().items()) for r in rows]
+        out += [rest] if rest else []
     return out
 
 

@@ -61,3 +61,18 @@ def test_stream_counts(spark, tmp_path):
     finally:
         q.stop()
     assert got == {("a", 0): 3, ("b", 0): 2, ("a", 5): 3, ("b", 5): 1}
+
+
+def test_reports_say_what_they_leave_out(spark):
+    df = spark.range(7)
+    assert fl.markdown(df, 5).split("\n")[-1] == "(2 more rows)" and "more" not in fl.markdown(df, 7)
+    assert fl.report("T", {"s": df}, 3)[-1] == "(4 more rows)" and len(fl.report("T", {"s": df}, 7)) == 2 + 3 + 7
+
+
+def test_top_with_ties_without_keys(spark):
+    from quillspark.operators import tables as tb
+
+    df = spark.createDataFrame([(1,), (5,), (5,), (3,), (3,), (None,), (None,)], "v int")
+    top = lambda n: sorted((r.v for r in tb.top_with_ties(df, "v", n).collect()), key=lambda v: (v is None, v))
+    assert top(1) == [5, 5] and top(3) == [3, 3, 5, 5] and top(5) == [1, 3, 3, 5, 5] and top(6) == [1, 3, 3, 5, 5, None, None]
+    assert tb.top_with_ties(df.limit(0), "v", 2).collect() == []
