@@ -12,7 +12,7 @@ from quillspark.operators import places as pl
 from quillspark.operators import tables as tb
 from quillspark.operators.tables import spread
 
-from .registry import DOCS, docs, register, table
+from .registry import DOCS, SQL, docs, register, table
 from .texts import _ABS, _ASCII, _EV, _MET, _ascii
 
 # --- curves -----------------------------------------------------------------------------------
@@ -148,6 +148,11 @@ _NATIONS = {"The": "", "And La": "", "Of": "", "Und": ""}
 _ANY = lambda w: f"regexp_matches(abstract, '(?i)\\b{w}\\b')"
 
 
+def _placed(df):
+    rules = [ex.PlaceRule("The", needs="ing|ed", not_with="xx")]
+    return ex.places(df, "abstract", _NATIONS, rules, {"Der": "Und"}, {"Une": "Of"}, ["Que"], ["In", "For"], {"The", "Por"}, institutions={r"\bpor\s+el\b|quer": "Por"}, again=True)
+
+
 @register(
     "EXT9_places",
     f"""WITH {_ASCII}, c AS (SELECT id, abstract, list_filter([CASE WHEN {_ANY('And\\s+La')} THEN 'And La' END, CASE WHEN {_ANY('The')} AND regexp_matches(lower(abstract), 'ing|ed') AND NOT regexp_matches(lower(abstract), 'xx') THEN 'The' END, CASE WHEN {_ANY('Und')} THEN 'Und' END,
@@ -159,9 +164,24 @@ _ANY = lambda w: f"regexp_matches(abstract, '(?i)\\b{w}\\b')"
 )
 def all_places(s, d):
     """Names (one with a rule), a synonym, an institution, an adjective, continents and regions."""
-    rules = [ex.PlaceRule("The", needs="ing|ed", not_with="xx")]
-    found = ex.places(_ascii(s, d), "abstract", _NATIONS, rules, {"Der": "Und"}, {"Une": "Of"}, ["Que"], ["In", "For"], {"The", "Por"}, institutions={r"\bpor\s+el\b|quer": "Por"}, again=True)
-    return found.select("id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("countries_detected", "global_north_countries", "global_south_countries", "continents_detected", "regions_detected", "geographic_summary"))).where("id is not null")
+    return _placed(_ascii(s, d)).select("id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("countries_detected", "global_north_countries", "global_south_countries", "continents_detected", "regions_detected", "geographic_summary"))).where("id is not null")
+
+
+@register(
+    "EXT22_all",
+    f"""WITH {_ASCII}, f AS (SELECT id, {_FLAGS} FROM docs), m AS (SELECT id, {", ".join(f"{k}_methods" for k in _STEMS)} FROM f),
+    p AS ({SQL["EXT9_places"]}), e AS ({_EV.replace(DOCS, _ASCII)} SELECT id, absence_score, method_score, confidence_level FROM v)
+    SELECT id, m.* EXCLUDE (id), countries_detected, regions_detected, absence_score, method_score, confidence_level FROM m JOIN p USING (id) JOIN e USING (id)""",
+)
+def all_detectors(s, d):
+    """Methods, places and evidence of each document, in one pass over its text."""
+    found = ex.everything(
+        _ascii(s, d), "id", "abstract",
+        lambda f: ex.methods(f, "abstract", _STEMS),
+        lambda f: _placed(f),
+        lambda f: ex.evidence(f, "abstract", _ABS, _MET),
+    )
+    return found.select("id", *[f"{k}_methods" for k in _STEMS], *(F.coalesce(c, F.lit("")).alias(c) for c in ("countries_detected", "regions_detected")), "absence_score", "method_score", "confidence_level")
 
 
 @register(
