@@ -13,11 +13,15 @@ divided by the number of strata (Bonferroni). Of the certified policies the mild
 rejects nearly as many bad tuning rows as the best. With probability 1 - DELTA no stratum loses
 more than ALPHA of its good rows, as far as families are independent draws.
 
-A certificate needs about ln(strata / DELTA) / ALPHA good families in the holdout (some 450 for four
-languages). A stratum without one keeps whatever the base rule keeps; the result says so for every
-row: stratum, certified, policy (its number; null without), n_holdout (good trials) and bound.
-Strata with less than one in POOL of the labelled rows, and those without labels, are judged
-together as the stratum ``*``, so there are at most POOL + 1 rules, whatever the number of strata.
+A certificate needs about ln(rules / DELTA) / ALPHA good families in the holdout (some 450 for four
+rules). Strata that have fewer can't get one of their own, whatever their signals say; with those that
+have less than one in POOL of the labelled rows, or no labels, they are judged together as the stratum
+``*``. Its certificate holds for the pool: of its good rows, taken together, no more than ALPHA are
+lost; it says nothing of a single language in it. Which strata are pooled depends on numbers of trials
+alone, so the tests stay valid, and there are at most POOL + 1 rules. Where the pool has too few as well,
+it keeps whatever the base rule keeps. The result says so for every row: stratum (the rule's; a language
+of the name ``*`` is in the pool), certified, policy (its number; null without), n_holdout (good
+trials), n_needed (those that a certificate takes) and bound.
 
 Everything but a bounded table of grid counts stays distributed. Defined cases: null and empty
 texts have no words and fail the base rule; labels without a doc_id or quality are not used, and of
@@ -133,13 +137,20 @@ def _pooled(df: DataFrame, own: list[str]) -> DataFrame:
     return df.withColumn("stratum", F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(REST))
 
 
+def needed(rules: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Good trials in the holdout without which no policy of one of so many rules can be certified."""
+    return math.ceil(math.log(delta / max(rules, 1)) / math.log1p(-alpha))
+
+
 def select(seen: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict]:
     """For each stratum its certificate: certified, the cutoffs (a row is rejected at a cell >= its
     cutoff; GRID rejects nothing), the number of the policy, the number of good trials and the bound."""
     spark = seen.sparkSession
     rows, path = stored(trials(seen, labels), "labelled")
     least = max(1, rows.count() // POOL)
-    own = [r.stratum for r in rows.groupBy("stratum").count().where(F.col("count") >= least).collect()]  # at most POOL
+    trials_of = rows.groupBy("stratum").agg(F.count("*").alias("n"), F.sum((F.col("good") & F.col("holdout")).cast("long")).alias("good"))
+    large = trials_of.where(F.col("n") >= least).collect()  # at most POOL
+    own = [r.stratum for r in large if r.good >= needed(len(large), alpha, delta)]
     rows = _pooled(rows, own)
     cells = rows.where("good and not holdout").select("stratum", F.posexplode(F.array(*SIGNALS)).alias("signal", "cell"))
     counts: dict = {}
@@ -173,10 +184,10 @@ def select(seen: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
                 break
             passed = g
         if passed < 0:
-            out[s] = {"certified": False, "cutoffs": [GRID] * len(SIGNALS), "policy": None, "n": n, "bound": None}
+            out[s] = {"certified": False, "cutoffs": [GRID] * len(SIGNALS), "policy": None, "n": n, "bound": None, "needed": needed(len(policies), alpha, delta)}
             continue
         g = next(g for g in range(passed + 1) if bad[g] >= NEARLY * bad[passed])
-        out[s] = {"certified": True, "cutoffs": policies[s][g], "policy": g, "n": n, "bound": upper_bound(int(wrong[g]), n, delta / len(policies))}
+        out[s] = {"certified": True, "cutoffs": policies[s][g], "policy": g, "n": n, "bound": upper_bound(int(wrong[g]), n, delta / len(policies)), "needed": needed(len(policies), alpha, delta)}
     return out
 
 
@@ -184,12 +195,12 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
     """The counts, base_failed and kept of each row, and the certificate of its stratum's rule."""
     seen, _ = stored(features(docs), "quality")
     chosen = select(seen, labels, alpha, delta)
-    rules = [(s, c["certified"], c["cutoffs"], c["policy"], c["n"], c["bound"]) for s, c in sorted(chosen.items())]
-    rules = docs.sparkSession.createDataFrame(rules, "stratum string, certified boolean, cutoffs array<int>, policy int, n_holdout long, bound double")
+    rules = [(s, c["certified"], c["cutoffs"], c["policy"], c["n"], c["bound"], c["needed"]) for s, c in sorted(chosen.items())]
+    rules = docs.sparkSession.createDataFrame(rules, "stratum string, certified boolean, cutoffs array<int>, policy int, n_holdout long, bound double, n_needed long")
     out = _pooled(seen, [s for s in chosen if s != REST]).join(F.broadcast(rules), "stratum", "left")
     rejected = F.coalesce(F.exists(F.zip_with(F.array(*SIGNALS), "cutoffs", lambda x, cut: x >= cut), lambda x: x), F.lit(False))
     out = out.withColumn("base_failed", F.expr(BASE)).withColumn("kept", ~F.col("base_failed") & ~rejected)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", F.coalesce("certified", F.lit(False)).alias("certified"), "policy", F.coalesce("n_holdout", F.lit(0).cast("long")).alias("n_holdout"), "bound")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", F.coalesce("certified", F.lit(False)).alias("certified"), "policy", F.coalesce("n_holdout", F.lit(0).cast("long")).alias("n_holdout"), F.coalesce("n_needed", F.lit(needed(1, alpha, delta)).cast("long")).alias("n_needed"), "bound")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
