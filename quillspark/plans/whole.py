@@ -11,6 +11,7 @@ from quillspark.operators import penalised as pn
 from quillspark.operators import places as pl
 from quillspark.operators import tables as tb
 from quillspark.operators.tables import spread
+from quillspark.sources import files as fl
 
 from .registry import DOCS, SQL, docs, register, table
 from .texts import _ABS, _ASCII, _EV, _MET, _ascii
@@ -209,3 +210,25 @@ def tuned(s, d):
     labelled = table(s, d, "documents").select("doc_id", "text").join(table(s, d, "labels").select("doc_id", "toxic"), "doc_id")
     areas, _ = pn.tuned(labelled, "doc_id", "text", "toxic", [0.1, 0.5, 1.0], [0.1, 0.03, 0.01], features=500)
     return areas.select("mixing", "penalty", F.round("area", 4).alias("area"), F.round("sd", 4).alias("sd"), "folds")
+
+
+def _square(x: str, y: str, half: int) -> str:
+    return "[" + ", ".join(f"[', {x} + {half * a}, ', ', {y} + {half * b}, ']" for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))) + "]"
+
+
+@register(
+    "SRC16_outlines",
+    """WITH n AS (SELECT n_name AS name, n_nationkey * 7 % 90 AS x, n_nationkey * 3 % 60 AS y FROM nation), p AS (SELECT s_suppkey, s_acctbal / 110 AS px, s_suppkey * 1.7 % 60 AS py FROM supplier)
+    SELECT name, count(s_suppkey) AS n FROM n LEFT JOIN p ON px >= x - 5 AND px < x + 5 AND py >= y - 5 AND py < y + 5 AND NOT (px >= x - 2 AND px < x + 2 AND py >= y - 2 AND py < y + 2) GROUP BY 1""",
+)
+def outlines_from_files(s, d):
+    """Outlines with holes, one a nation, written as GeoJSON and read again; and the suppliers within."""
+    x, y = "(n_nationkey * 7 % 90)", "(n_nationkey * 3 % 60)"
+    shape = f"concat('{{\"type\": \"Feature\", \"properties\": {{\"name\": \"', n_name, '\"}}, \"geometry\": {{\"type\": \"Polygon\", \"coordinates\": [{_square(x, y, 5)}, {_square(x, y, 2)}]}}}}')"
+    path = fl.scratch(s, "outlines")
+    table(s, d, "nation").select(F.expr(shape).alias("value")).write.text(path)
+    outlines = fl.read_outlines(s, path, "name")
+    points = table(s, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 110).alias("px_"), (F.col("s_suppkey") * 1.7 % 60).alias("py_"))
+    found = pl.located(points, "px_", "py_", outlines, "name", "ring").groupBy("place").agg(F.count("*").alias("n"))
+    names = outlines.select("name").distinct()
+    return names.join(found, F.col("name") == F.col("place"), "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))

@@ -165,3 +165,25 @@ def report(title: str, sections: dict[str, DataFrame], most: int = 100) -> list[
 def write_subsets(df: DataFrame, by: str, path: str) -> None:
     """Compressed subsets, one folder a value; a large value is written by as many tasks as hold it."""
     df.write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(path)
+
+
+_POINTS = "array<array<array<double>>>"
+
+
+def read_outlines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(name, part, ring): the outlines of GeoJSON features, from files with a feature a line or with one
+    collection each. Several polygons of a feature are its parts. Holes are joined to their outline by
+    an edge there and back, which the even-odd rule doesn't see; features without polygons are left out.
+    """
+    feature = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", f"struct<type:string,features:array<{feature}>,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>").alias("x"))
+    single = F.array(F.struct("x.properties", "x.geometry"))
+    features = parsed.select(F.explode(F.when(F.col("x.type") == "FeatureCollection", F.col("x.features")).otherwise(single)).alias("f"))
+    kind, told = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    polygons = F.when(kind == "Polygon", F.array(F.from_json(told, _POINTS))).when(kind == "MultiPolygon", F.from_json(told, f"array<{_POINTS}>"))
+    rows = features.select(F.col("f.properties").getItem(name).alias("name"), F.posexplode(polygons).alias("part", "rings"))
+    corners = lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    outer = F.get("rings", F.lit(0))
+    holes = F.transform(F.slice("rings", F.lit(2), F.greatest(F.size("rings") - 1, F.lit(0))), lambda r: F.concat(r, F.array(F.get(outer, F.lit(0)))))
+    return rows.where(F.size("rings") > 0).select("name", "part", corners(F.flatten(F.concat(F.array(outer), holes))).alias("ring"))

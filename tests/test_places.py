@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -33,3 +35,21 @@ def test_points_in_outlines(spark, size):
     got = {(r.id, r.place) for r in pl.located(df, "x", "y", outlines, "name", "ring", size=size).collect()}
     want = {(i, n) for n, r in rings.items() if len(r) > 2 for i in np.nonzero(pl._inside(points[:, 0], points[:, 1], np.array(r, float)))[0].tolist()}
     assert got == want
+
+
+def test_outlines_of_geojson(spark, tmp_path):
+    from quillspark.sources import files as fl
+
+    square = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    holed = {"type": "Feature", "properties": {"name": "A", "n": 1}, "geometry": {"type": "Polygon", "coordinates": [square(0, 10), square(2, 4), square(6, 8)]}}
+    several = {"type": "Feature", "properties": {"name": "B"}, "geometry": {"type": "MultiPolygon", "coordinates": [[square(20, 21)], [square(30, 31)]]}}
+    point = {"type": "Feature", "properties": {"name": "C"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}
+    none = {"type": "Feature", "properties": {"name": "D"}, "geometry": None}
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, (holed, several, point, none))) + "\n\n")
+    (tmp_path / "all.json").write_text(json.dumps({"type": "FeatureCollection", "features": [holed, several, point, none]}))
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 3.0), (3, 7.0, 7.0), (4, 5.0, 5.0), (5, 20.5, 20.5), (6, 30.5, 30.5), (7, 9.0, 3.0)], "id long, x double, y double")
+    for file in ("lines.json", "all.json"):
+        outlines = fl.read_outlines(spark, f"file://{tmp_path}/{file}", "name")
+        assert sorted((r.name, r.part) for r in outlines.collect()) == [("A", 0), ("B", 0), ("B", 1)]
+        got = sorted((r.id, r.place) for r in pl.located(points, "x", "y", outlines, "name", "ring").collect())
+        assert got == [(1, "A"), (4, "A"), (5, "B"), (6, "B"), (7, "A")]
