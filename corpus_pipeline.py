@@ -23,7 +23,7 @@ from quillspark.llm.common import discard, fresh, small_batches, stored, table
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity is below the cut; texts without words have no features and pass."""
+    """The documents that the classifier, fitted on those with labels, doesn't reject; texts without words pass."""
     small_batches(spark)
     return toxicity.kept(docs, table(spark, sf_dir, "labels"))
 
