@@ -25,7 +25,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import preprocessed, tokens
+from quillspark.functions.text import ngrams, preprocessed, run_lengths, tokens
+from quillspark.operators.tables import exploded, repeated_keys
 
 #: Characters of names in a part.
 PART = 4_000_000
@@ -140,6 +141,48 @@ def pairs(df: DataFrame, text: Column, found: Dictionary, name: str = "name") ->
     return every.select(*df.columns, F.explode("_names").alias("_x")).select(*df.columns, F.col("_x.name").alias(name), "_x.n")
 
 
+def name_counts(df: DataFrame, key: str, text: Column, found: Dictionary) -> DataFrame:
+    """(key, n_names, n): how many names of the dictionary the texts of each key have, and how often;
+    keys without any are left out. A name is in one part alone, so that numbers of the parts add up:
+    of a document and a part a row of two numbers is shuffled. Only where a key stands for several
+    rows, whose names may be the same, the names themselves are."""
+    if df.groupBy(key).count().where("count > 1").isEmpty():
+        some = (_with_part(df.select(key, text.alias("_t")), F.col("_t"), part, found.whole, "_names") for part in found.parts)
+        total = F.aggregate("_names", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+        each = reduce(DataFrame.unionByName, [f.where(F.size("_names") > 0).select(key, F.size("_names").cast("long").alias("n_names"), total.alias("n")) for f in some])
+        return each if len(found.parts) == 1 else each.groupBy(key).agg(F.sum("n_names").alias("n_names"), F.sum("n").alias("n"))
+    names = pairs(df.select(key, text.alias("_t")), F.col("_t"), found, "_name")
+    return names.groupBy(key).agg(F.countDistinct("_name").alias("n_names"), F.sum("n").cast("long").alias("n"))
+
+
+def name_counts(df: DataFrame, key: str, text: Column, names: DataFrame, name: str, part: int = PART) -> DataFrame:
+    """(key, n_names, n): how many of the whole names the texts of each key have, and how often; keys
+    without any are left out. ``text`` is as for ``with_names``.
+
+    Names of one part are found by its automaton. More of them would take a pass over the texts for
+    each part, so that the work grew with the product of both: they meet the texts' runs of as many
+    tokens in a join instead, each run once a text with its number.
+    """
+    distinct = names.select(F.col(name).alias("_name")).where(F.length("_name") > 0).distinct()
+    rows = df.select(key, text.alias("_spaced"))
+    once = not repeated_keys(df, key)
+    if distinct.agg(F.coalesce(F.sum(F.length("_name")), F.lit(0))).first()[0] <= part:
+        seen = with_names(rows, F.col("_spaced"), dictionary(distinct, "_name", part=part), "_names")
+        if once:
+            total = F.aggregate("_names", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+            return seen.where(F.size("_names") > 0).select(key, F.size("_names").cast("long").alias("n_names"), total.alias("n"))
+        found = seen.select(key, F.explode("_names").alias("_x")).select(key, "_x.name", "_x.n")
+    else:
+        size = F.size(F.split("_name", GAP))
+        sizes = [r[0] for r in distinct.select(size).distinct().limit(101).collect()]
+        if len(sizes) > 100:
+            raise ValueError("names of more than 100 different numbers of tokens")
+        runs = F.concat(*[run_lengths(ngrams(F.split(F.trim("_spaced"), GAP), k)) for k in sizes])
+        found = exploded(rows, [key], runs).join(distinct, F.col("value") == F.col("_name")).select(key, F.col("_name").alias("name"), "n")
+    distinct_names = F.count("*") if once else F.countDistinct("name")  # a text has a name once
+    return found.groupBy(key).agg(distinct_names.alias("n_names"), F.sum("n").cast("long").alias("n"))
+
+
 def with_any(df: DataFrame, text: Column, found: Dictionary) -> DataFrame:
     """The rows whose text has any of the names."""
     return with_names(df, text, found, "_names").where(F.size("_names") > 0).drop("_names")

@@ -180,6 +180,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def repeated_keys(df: DataFrame, key: str) -> bool:
+    """Whether a key (null too) stands for more than one row; reads that column alone."""
+    return not df.groupBy(key).count().where("count > 1").isEmpty()
+
+
+def exploded(df: DataFrame, keys: Keys, structs: Column) -> DataFrame:
+    """The keys with each struct of an array. ``explode`` alone would make Spark compute the array twice,
+    once for a filter that it adds."""
+    return df.select(*keys, F.explode_outer(structs).alias("_x")).where("_x is not null").select(*keys, "_x.*")
+
+
 # --- duplicates -------------------------------------------------------------------------------
 def digest(*keys: str) -> Column:
     """128 bits that stand for the values of the keys; nulls are told from empty values. Long
