@@ -19,9 +19,13 @@ match; repeated strings give each pair of their rows; an empty side gives no row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import octets_of
+
 #: What a similarity may lose by rounding: candidates are looked for with a little more, then verified.
 ROUNDING = 1e-6
 #: Phrases of at most some hundred keys each that are broadcast.
@@ -65,34 +69,45 @@ def _keys(strings: DataFrame, cut: bool, similarity: float | None, distance: int
     return rows.select(*own, "m", F.explode(F.array_distinct(F.expr(every))).alias("_k")).select(*own, "m", "_k.n", "_k.i", "_k.piece")
 
 
-def close(left: DataFrame, a: str, right: DataFrame, b: str, similarity: float | None = None, distance: int | None = None) -> DataFrame:
+def _distance(a: str, b: str, octets: bool) -> Column:
+    return F.levenshtein(octets_of(F.col(a)), octets_of(F.col(b))) if octets else F.levenshtein(a, b)
+
+
+def close(left: DataFrame, a: str, right: DataFrame, b: str, similarity: float | None = None, distance: int | None = None, octets: bool = False) -> DataFrame:
     """(a, b, distance): the distinct pairs of strings of both columns that are close enough, by one of
-    the two measures; the similarity is 1 less the distance over the longer length, above 0."""
+    the two measures; the similarity is 1 less the distance over the longer length, above 0.
+
+    With ``octets`` edits are of UTF-8 bytes, as engines count them that compare bytes (lengths stay
+    those of characters). Such a distance is never below that of characters, for a character that
+    isn't kept takes an edit of one of its bytes or within it; so the keys find those pairs too."""
     if (similarity is None) == (distance is None) or similarity is not None and not 0 < similarity <= 1:
         raise ValueError("give either a similarity above 0 or a distance")
     one, two = (df.select(F.col(c).alias("x")).where(F.col(c).isNotNull()).distinct() for df, c in ((left, a), (right, b)))
     mine = _keys(one, False, similarity, distance).withColumnRenamed("x", "a")
     theirs = _keys(two, True, similarity, distance).withColumnRenamed("x", "b")
     pairs = mine.join(theirs, ["m", "n", "i", "piece"]).where("greatest(char_length(a), char_length(b)) = m").select("a", "b").distinct()
-    found = pairs.withColumn("distance", F.levenshtein("a", "b"))
+    found = pairs.withColumn("distance", _distance("a", "b", octets))
     longest = F.greatest(F.char_length("a"), F.char_length("b"))
     good = F.col("distance") <= distance if distance is not None else F.when(longest == 0, 1.0).otherwise(1 - F.col("distance") / longest) >= similarity
     return found.where(good)
 
 
-def joined(left: DataFrame, a: str, right: DataFrame, b: str, similarity: float | None = None, distance: int | None = None) -> DataFrame:
+def joined(left: DataFrame, a: str, right: DataFrame, b: str, similarity: float | None = None, distance: int | None = None, equal: dict[str, str] | None = None, octets: bool = False) -> DataFrame:
     """All rows of the left with all of the right whose strings are close enough, with ``distance``;
-    the columns of both sides must differ."""
-    pairs = close(left, a, right, b, similarity, distance).withColumnsRenamed({"a": "_a", "b": "_b"})
-    return left.join(pairs, F.col(a) == F.col("_a")).join(right, F.col("_b") == F.col(b)).drop("_a", "_b")
+    the columns of both sides must differ. ``equal`` gives columns of the left and those of the right
+    that must have the same value: rows meet by them too."""
+    pairs = close(left, a, right, b, similarity, distance, octets).withColumnsRenamed({"a": "_a", "b": "_b"})
+    same = [F.col(x) == F.col(y) for x, y in (equal or {}).items()]
+    return left.join(pairs, F.col(a) == F.col("_a")).join(right, reduce(Column.__and__, same, F.col("_b") == F.col(b))).drop("_a", "_b")
 
 
-def phrases_in(docs: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str, similarity: float = 0.9) -> DataFrame:
+def phrases_in(docs: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str, similarity: float = 0.9, octets: bool = False) -> DataFrame:
     """(key, phrase, found, place, similarity): for each document and phrase the first window of as many
     words as the phrase has that is close enough, by the place of its first word from 1.
 
     The windows are exploded where they are, with the few keys of strings that are cut, and meet the
     keys of the phrases, which are broadcast if there are at most ``FEW`` phrases; only hits are shuffled then.
+    ``octets`` is as in ``close``.
     """
     from quillspark.functions.text import ngrams, tokens
 
@@ -113,7 +128,7 @@ def phrases_in(docs: DataFrame, key: str, text: str, phrases: DataFrame, phrase:
     sought = _keys(wanted.withColumnRenamed("phrase", "x"), False, similarity, None).withColumnsRenamed({"x": "phrase"})
     cut = _keys(windows, True, similarity, None).withColumnRenamed("x", "found")
     hits = cut.join(F.broadcast(sought) if wanted.count() <= FEW else sought, ["m", "n", "i", "piece", "words"])
-    hits = hits.where("greatest(char_length(found), char_length(phrase)) = m").withColumn("distance", F.levenshtein("found", "phrase"))
+    hits = hits.where("greatest(char_length(found), char_length(phrase)) = m").withColumn("distance", _distance("found", "phrase", octets))
     score = 1 - F.col("distance") / F.col("m")
     first = hits.where(score >= similarity).groupBy("key", "phrase").agg(F.min(F.struct("place", "found", F.round(score, 6).alias("similarity"))).alias("x"))
     return first.select(F.col("key").alias(key), "phrase", "x.found", "x.place", "x.similarity")

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.operators import fuzzy as fz
 from quillspark.operators import models as md
 from quillspark.operators import tables as tb
 
@@ -68,7 +69,7 @@ register("JN12", "WITH a AS (SELECT c_nationkey AS k, count(*) AS n_customers FR
 register("JN13", "SELECT r_name, t AS threshold FROM region CROSS JOIN (SELECT unnest([0.5::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS t)")(lambda s, d: table(s, d, "region").select("r_name", F.explode(F.array(F.lit(0.5), F.lit(0.6), F.lit(0.8))).alias("threshold")))
 register("JN14", "WITH a AS (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS p FROM region), b AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) SELECT r_name, n_name FROM a JOIN b USING (p)")(lambda s, d: tb.bind_columns(table(s, d, "region"), table(s, d, "nation"), ["r_regionkey"], ["n_nationkey"]).select("r_name", "n_name"))
 register("JN15", "WITH t AS (SELECT DISTINCT lower(p_name) AS term FROM part), q AS (SELECT p_partkey, ' ' || trim(regexp_replace(lower(p_name || ' ' || p_type), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS x FROM part) SELECT p_partkey, term FROM q JOIN t ON contains(x, ' ' || term || ' ')")(lambda s, d: (lambda p: tb.containing(p.withColumn("x", F.concat_ws(" ", "p_name", "p_type")), "x", p.select(F.col("p_name").alias("term")), "term").select("p_partkey", "term"))(table(s, d, "part")))
-register("JN16", "SELECT a.s_suppkey, b.c_custkey FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey AND 1 - levenshtein(right(a.s_name, 9), right(b.c_name, 9)) / 9.0 >= 0.88")(lambda s, d: table(s, d, "supplier").join(table(s, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey")).where(tx.similarity(F.expr("right(s_name, 9)"), F.expr("right(c_name, 9)")) >= 0.88).select("s_suppkey", "c_custkey"))
+register("JN16", "SELECT a.s_suppkey, b.c_custkey FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey AND 1 - levenshtein(right(a.s_name, 9), right(b.c_name, 9)) / 9.0 >= 0.88")(lambda s, d: fz.joined(table(s, d, "supplier").withColumn("s", F.expr("right(s_name, 9)")), "s", table(s, d, "customer").withColumn("c", F.expr("right(c_name, 9)")), "c", distance=1, equal={"s_nationkey": "c_nationkey"}, octets=True).select("s_suppkey", "c_custkey"))  # 1 - d / 9 >= 0.88
 register("JN18", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'houses' WHEN 'MACHINERY' THEN 'machines' END AS common FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", tx.looked_up(F.col("c_mktsegment"), {"BUILDING": "houses", "MACHINERY": "machines"}).alias("common")))
 register("JN19", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")(lambda s, d: table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name"))
 
