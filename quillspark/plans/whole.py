@@ -194,7 +194,7 @@ def all_detectors(s, d):
 def on_the_map(s, d):
     """Customers by the outline of a nation that holds the coordinates in their descriptions."""
     y = F.round(F.abs("c_acctbal") / 250, 3)
-    x = F.round(F.col("c_custkey") * 0.7 % 160 - 80, 1)
+    x = F.col("c_custkey") * 7 % 1600 / 10 - 80  # in whole numbers: a double just below 160 would be 80 degrees, not -80
     side = lambda c, plus, minus: F.when(c < 0, minus).otherwise(plus)
     text = F.concat(F.lit("plot at "), y.cast("decimal(9,3)").cast("string"), F.lit("°"), F.when(F.col("c_acctbal") < 5000, "S").otherwise("N"), F.lit(", "), F.abs(x).cast("decimal(9,1)").cast("string"), F.lit("°"), side(x, "E", "W"), F.lit(" in summer"))
     points = table(s, d, "customer").select("c_custkey", F.explode(pl.coordinates(text)).alias("at")).select("c_custkey", "at.lat", "at.lon")
