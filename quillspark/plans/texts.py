@@ -145,7 +145,7 @@ register("AN7", "SELECT DISTINCT p_name FROM part WHERE p_name NOT IN (SELECT p_
 register("AN8", "WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS rn FROM c) SELECT p_brand, string_agg(p_type || ' (' || n || ')', ', ' ORDER BY rn) AS top FROM r WHERE rn <= 5 GROUP BY 1")(lambda s, d: tb.counted(table(s, d, "part"), "p_brand", "p_type").withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), "p_type"))).where("rn <= 5").groupBy("p_brand").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", F.format_string("%s (%d)", "p_type", "n").alias("x")))), lambda x: x["x"]), ", ").alias("top")))
 register("AN10", f"WITH {DOCS}, f AS (SELECT id, {_FLAG} FROM docs) SELECT CASE WHEN molecular_methods AND culture_methods THEN 'Both' WHEN molecular_methods THEN 'Molecular only' WHEN culture_methods THEN 'Culture only' ELSE 'Neither' END AS combination, count(*) AS n FROM f GROUP BY 1")(lambda s, d: ex.methods(docs(s, d), "abstract", _CATS).groupBy(F.expr("case when molecular_methods and culture_methods then 'Both' when molecular_methods then 'Molecular only' when culture_methods then 'Culture only' else 'Neither' end").alias("combination")).agg(F.count("*").alias("n")))
 register("AN16", f"WITH {CLASSES} SELECT guess, CASE WHEN conf >= 0.8 THEN 'high' WHEN conf >= 0.6 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM classes GROUP BY 1, 2")(lambda s, d: classes(s, d).groupBy("guess", F.when(F.col("conf") >= 0.8, "high").when(F.col("conf") >= 0.6, "medium").otherwise("low").alias("band")).agg(F.count("*").alias("n")))
-register("AN18", "WITH n AS (SELECT 0 AS position, 'identified' AS step, count(*) AS n FROM documents UNION ALL SELECT 1, 'distinct', count(DISTINCT text) FROM documents UNION ALL SELECT 2, 'labelled', count(*) FROM labels WHERE doc_id IN (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL GROUP BY text) UNION ALL SELECT 3, 'kept', count(*) FROM labels WHERE toxic = 0 AND doc_id IN (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL GROUP BY text)) SELECT *, lag(n) OVER (ORDER BY position) - n AS removed FROM n")(lambda s, d: (lambda x, l: (lambda u: an.flow([("identified", x), ("distinct", u), ("labelled", l.join(u, "doc_id", "left_semi")), ("kept", l.where("toxic = 0").join(u, "doc_id", "left_semi"))]))(tb.first_by_text(x.where("text is not null"), "text", ["doc_id"])))(table(s, d, "documents"), table(s, d, "labels")))
+register("AN18", "WITH n AS (SELECT 0 AS position, 'identified' AS step, count(*) AS n FROM documents UNION ALL SELECT 1, 'distinct', count(DISTINCT text) FROM documents UNION ALL SELECT 2, 'labelled', count(*) FROM labels WHERE doc_id IN (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL GROUP BY text) UNION ALL SELECT 3, 'kept', count(*) FROM labels WHERE toxic = 0 AND doc_id IN (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL GROUP BY text)) SELECT *, lag(n) OVER (ORDER BY position) - n AS removed FROM n")(lambda s, d: (lambda x, l: (lambda u: an.flow([("identified", x), ("distinct", u), ("labelled", l.join(u, "doc_id", "left_semi")), ("kept", l.where("toxic = 0").join(u, "doc_id", "left_semi"))]))(x.where("text is not null").groupBy(tb.digest("text").alias("_text")).agg(F.min("doc_id").alias("doc_id"))))(table(s, d, "documents"), table(s, d, "labels")))
 register("AN20", f"WITH {DOCS}, {CLASSES}, j AS (SELECT label, source, year, n_chars, lang FROM classes JOIN docs ON classes.id = docs.id), b AS (SELECT label, count(*) AS n, min(year) AS y0, max(year) AS y1, min(n_chars) AS c0, avg(n_chars) AS c, max(n_chars) AS c1 FROM j GROUP BY 1) SELECT section, label, name, round(value::DOUBLE, 6) AS value FROM (SELECT label, unnest(['labels', 'years', 'years', 'lengths', 'lengths', 'lengths']) AS section, unnest(['n', 'first', 'last', 'shortest', 'mean', 'longest']) AS name, unnest([n, y0, y1, c0, c, c1]) AS value FROM b UNION ALL SELECT label, 'origins', source, count(*) FROM j GROUP BY 1, 3 UNION ALL SELECT NULL, 'top', lang, n FROM (SELECT lang, count(*) AS n FROM j WHERE lang <> '' GROUP BY 1 ORDER BY n DESC, lang LIMIT 3))")(lambda s, d: an.training_profile(classes(s, d).join(docs(s, d), "id"), "label", "source", "year", "n_chars", "lang", 3))
 register("AN22", "WITH g AS (SELECT * FROM (SELECT DISTINCT lang FROM documents) CROSS JOIN (SELECT unnest([0, 1]) AS toxic)), c AS (SELECT lang, toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2) SELECT g.lang, g.toxic, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.lang = c.lang AND g.toxic = c.toxic")(lambda s, d: (lambda j: j.select("lang").distinct().withColumn("toxic", F.explode(F.array(F.lit(0), F.lit(1)))).join(tb.counted(j.join(table(s, d, "labels"), "doc_id"), "lang", "toxic"), ["lang", "toxic"], "left").fillna(0, ["n"]))(table(s, d, "documents")))
 
