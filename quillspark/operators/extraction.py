@@ -375,7 +375,7 @@ def bigram_counts(docs: DataFrame, key: str, text: str, stop: list[str], least:
 def second_pass(docs: DataFrame, text: str, found: str, canonical: list[str], synonyms: dict[str, str], rules: list[PlaceRule] = ()) -> DataFrame:
     """Where the array ``found`` is empty, it becomes the canonical names of the text's capitalised
     phrases that are countries or synonyms, each once in the order of the text. A name with a rule
-    against the text's other words is left out."""
+    that the text's other words don't meet is left out, as in the first pass."""
     phrases = F.regexp_extract_all(F.col(text), F.lit(r"\b([A-Z][a-z]+\b(?:\s+[A-Z][a-z]+\b)*+)"), F.lit(1))
     to = {n.lower(): n for n in canonical} | {s.lower(): c for s, c in synonyms.items() if c in canonical}
     table = F.create_map(*[F.lit(x) for kv in to.items() for x in kv])
@@ -414,3 +414,4 @@ def everything(docs: DataFrame, key: str, text: str, *detectors) -> DataFrame:
     for d in detectors:
         out = d(out)
     return out.drop(text)
+    against += [F.when(~low.rlike(r.needs), F.lit(r.name)) for r in rules if r.needs]
