@@ -354,11 +354,11 @@ def term_counts(docs: DataFrame, key: str, text: str, stop: list[str]) -> DataFr
     return w.where(~F.col("word").rlike(r"\d") & ~F.col("word").isin(*stop)).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
-def nearest_names(names: DataFrame, key: str, name: str, candidates: DataFrame, candidate: str, order: str, most: float = 0.15) -> DataFrame:
+def nearest_names(names: DataFrame, key: str, name: str, candidates: DataFrame, candidate: str, order: str, most: float = 0.15, sql: bool = False) -> DataFrame:
     """key, distance of the nearest candidate by Jaro-Winkler on whole names, and that candidate as
     ``nearest`` if it is at most ``most`` away; the first in order of equal ones. Bounds spare most of the
     comparisons (``operators.nearest``)."""
-    first = nr.nearest(names, key, name, candidates, candidate, order)
+    first = nr.nearest(names, key, name, candidates, candidate, order, sql=sql)
     return first.select(key, "distance", F.when(F.col("distance") <= most, F.col("candidate")).alias("nearest"))
 
 

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import jaro_winkler
+from quillspark.functions.text import jaro_winkler, octets
 
 #: Characters of candidates in a part, and bins of characters.
 PART, BINS = 4_000_000, 32
@@ -41,10 +41,12 @@ def counts(names: list[str]) -> np.ndarray:
 
 
 class Candidates:
-    """Names in their order; ``nearest`` gives the first of the nearest."""
+    """Names in their order; ``nearest`` gives the first of the nearest. With ``sql`` bytes are compared,
+    as DuckDB does."""
 
-    def __init__(self, names: list[str]):
-        self.names = names
+    def __init__(self, names: list[str], sql: bool = False):
+        self.names, self.sql = [*map(octets, names)] if sql else names, sql
+        names = self.names
         self.sizes = np.fromiter(map(len, names), np.int64, len(names))
         self.bins = counts(names)
         self.starts = np.zeros((len(names), 4), np.uint32)
@@ -54,7 +56,7 @@ class Candidates:
     def bounds(self, name: str) -> np.ndarray:
         """At least the similarity with each candidate."""
         if not name:
-            return (self.sizes == 0).astype(float)
+            return ((self.sizes == 0) & (not self.sql)).astype(float)
         shared = np.minimum(self.bins, counts([name])[0]).sum(1, dtype=np.int64)
         sizes = np.maximum(self.sizes, 1)
         jaro = np.where(shared > 0, (shared / len(name) + shared / sizes + 1) / 3, 0.0)
@@ -65,6 +67,8 @@ class Candidates:
 
     def nearest(self, name: str) -> tuple[float, int, int]:
         """(distance, index, candidates compared)."""
+        if self.sql:
+            name = octets(name)
         bounds = self.bounds(name)
         order = np.argsort(-bounds, kind="stable")
         best, at, n = 2.0, -1, 0
@@ -73,7 +77,7 @@ class Candidates:
             if 1 - bounds[i] > best + slack:
                 break
             n += 1
-            d = round(1 - jaro_winkler(name, self.names[i]), PLACES)
+            d = round(1 - jaro_winkler(name, self.names[i], sql=self.sql), PLACES)
             if d < best or d == best and i < at:
                 best, at = d, i
         return best, at, n
@@ -82,19 +86,19 @@ class Candidates:
 _HELD: dict[int, tuple] = {}
 
 
-def _held(part: Broadcast) -> tuple[pa.Table, Candidates]:
-    key = hash(part.value)
+def _held(part: Broadcast, sql: bool) -> tuple[pa.Table, Candidates]:
+    key = hash((part.value, sql))
     if key not in _HELD:
         _HELD.clear()
         table = pa.ipc.open_stream(part.value).read_all().combine_chunks()
-        _HELD[key] = table, Candidates(table.column(0).to_pylist())
+        _HELD[key] = table, Candidates(table.column(0).to_pylist(), sql)
     return _HELD[key]
 
 
-def nearest(names: DataFrame, key: str, name: str, candidates: DataFrame, candidate: str, order: str, part: int = PART) -> DataFrame:
+def nearest(names: DataFrame, key: str, name: str, candidates: DataFrame, candidate: str, order: str, part: int = PART, sql: bool = False) -> DataFrame:
     """(key, distance, candidate, compared): the nearest candidate of each key and how many were
     compared for it; of equally near ones the first in ``order``. A null name, or no candidate,
-    gives nulls."""
+    gives nulls. With ``sql`` strings are compared as DuckDB compares them (``jaro_winkler``)."""
     spark = names.sparkSession
     some = candidates.select(F.col(candidate).alias("candidate"), F.col(order).alias("order")).where("candidate is not null")
     many = max(1, -(-(some.agg(F.sum(F.length("candidate"))).first()[0] or 0) // part))
@@ -109,7 +113,7 @@ def nearest(names: DataFrame, key: str, name: str, candidates: DataFrame, candid
 
     def found(broadcast: Broadcast) -> DataFrame:
         def run(batches) -> Iterator[pa.RecordBatch]:
-            table, known = _held(broadcast)
+            table, known = _held(broadcast, sql)
             seen: dict[str, tuple] = {}
             for batch in batches:
                 hits = []

@@ -65,7 +65,7 @@ _POSSIBLE = "CASE WHEN len(n) >= 2 THEN len(list_filter(n, lambda x: abs(x) <= 9
 register("STR21", f"WITH {DOCS}, h AS (SELECT id, unnest({_HITS}) AS h FROM docs), n AS (SELECT id, list_transform(regexp_extract_all(h, '-?\\d+\\.?\\d*'), lambda x: CAST(x AS DOUBLE)) AS n FROM h) SELECT id, id IN (SELECT id FROM n WHERE {_POSSIBLE}) AS hit FROM docs")(lambda s, d: docs(s, d).select("id", ex.has_coordinates(F.col("abstract")).alias("hit")))
 register("STR24", f"WITH {DOCS}, t AS (SELECT id, list_filter(regexp_split_to_array(lower(abstract), '\\s+'), lambda x: x <> '') AS t FROM docs), p AS (SELECT id, t, list_position(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), 'of the') AS p FROM t), g AS (SELECT id, array_to_string(t[greatest(1, p - 15):p + 16], ' ') AS g FROM p WHERE p > 0) SELECT id, CASE WHEN length(g) > 300 THEN left(g, 300) || '...' ELSE g END AS context FROM g")(lambda s, d: docs(s, d).select("id", tx.context_words(F.col("abstract"), "of the").alias("context")).where("context is not null"))
 register("STR25", f"WITH {DOCS}, g AS (SELECT id, regexp_extract(abstract, '(?is)(?:^|\\s)(.{{0,60}}of\\s+the.{{0,60}})(?:\\s|$)', 1) AS g FROM docs) SELECT id, left(trim(g), 500) AS context FROM g WHERE g <> ''")(lambda s, d: docs(s, d).select("id", tx.context_chars(F.col("abstract"), "of the").alias("context")).where("context is not null"))
-register("STR28", "SELECT s_suppkey, d AS distance, CASE WHEN d <= 0.15 THEN n_name END AS nearest FROM (SELECT s_suppkey, n_name, n_nationkey, round(1 - jaro_winkler_similarity(s_name, n_name), 9) AS d FROM supplier CROSS JOIN nation) QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY d, n_nationkey) = 1")(lambda s, d: ex.nearest_names(table(s, d, "supplier"), "s_suppkey", "s_name", table(s, d, "nation"), "n_name", "n_nationkey"))
+register("STR28", "SELECT s_suppkey, d AS distance, CASE WHEN d <= 0.15 THEN n_name END AS nearest FROM (SELECT s_suppkey, n_name, n_nationkey, round(1 - jaro_winkler_similarity(s_name, n_name), 9) AS d FROM supplier CROSS JOIN nation) QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY d, n_nationkey) = 1")(lambda s, d: ex.nearest_names(table(s, d, "supplier"), "s_suppkey", "s_name", table(s, d, "nation"), "n_name", "n_nationkey", sql=True))
 register("STR34", "SELECT r_regionkey, CASE WHEN lower(r_name) LIKE 'a%' THEN 'Plantae' ELSE 'Fungi' END AS kingdom FROM region")(lambda s, d: table(s, d, "region").select("r_regionkey", tx.labelled_by(F.col("r_name"), {"^a": "Plantae"}, "Fungi").alias("kingdom")))
 register("STR36", "SELECT p_partkey FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'box')")(lambda s, d: table(s, d, "part").where(tx.contains_any(F.col("p_name"), ["ring", "box"])).select("p_partkey"))
 register("STR38", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN contains(p_name, 'sm') THEN 'small' END, CASE WHEN contains(p_name, 'in') THEN 'in' END], lambda x: x IS NOT NULL), '; ') AS found FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(tx.categories_found(F.col("p_name"), {"small": ["sm"], "in": ["in"]}), "; ").alias("found")))
