@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as tx
 from quillspark.operators import dictionary as dc
 from quillspark.operators import nearest as nr
-from quillspark.operators.tables import first_by
+from quillspark.operators.tables import exploded, first_by, repeated_keys
+from quillspark.sources.files import scratch
 
 
 # --- taxonomy ---------------------------------------------------------------------------------
@@ -262,18 +263,21 @@ def evidence_by(found: DataFrame, level: str, lists: dict[str, str], flags: dict
     return out.select("dimension", "value", "level", "n", F.round(100 * F.col("n") / F.col("_all"), 4).alias("percent"))
 
 
-def statements(docs: DataFrame, key: str, text: str, phrases: dict[str, list[str]], least: float = 0.9) -> DataFrame:
+def statements(docs: DataFrame, key: str, text: str, phrases: dict[str, list[str]], least: float = 0.9, sql: bool = False) -> DataFrame:
     """One row per document and phrase found, exactly or within the similarity; texts of fewer
-    than 10 characters have none."""
+    than 10 characters have none. A text is lower-cased and cut into tokens once for all phrases. ``sql``
+    is as for ``near_window``."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    every = []
-    for category, ps in phrases.items():
-        for p in ps:
-            exact = low.rlike(tx.phrase_pattern(p))
-            near = tx.fuzzy_phrase(low, p, least)
-            every.append(F.when(exact, F.struct(F.lit(category).alias("category"), F.lit(p).alias("phrase"), F.lit(1.0).alias("similarity"))).when(near.isNotNull(), F.struct(F.lit(category).alias("category"), F.lit(p).alias("phrase"), F.round(near["similarity"], 4).alias("similarity"))))
-    hits = docs.where(F.length(low) >= 10).select(key, F.explode(F.filter(F.array(*every), lambda x: x.isNotNull())).alias("s"))
-    return hits.select(key, "s.*")
+    row = lambda category, p, similarity: F.struct(F.lit(category).alias("category"), F.lit(p).alias("phrase"), similarity.alias("similarity"))
+
+    def found(lo: Column, t: Column, category: str, p: str) -> Column:
+        near = tx.let(tx.near_window(t, p, least, sql), lambda n: F.when(n.isNotNull(), row(category, p, F.round(n["similarity"], 4))))
+        return F.when(lo.rlike(tx.phrase_pattern(p)), row(category, p, F.lit(1.0))).when(F.contains(lo, F.lit(p.lower().split()[0])), near)
+
+    each = [(category, p) for category, ps in phrases.items() for p in ps]
+    every = tx.let(low, lambda lo: tx.let(tx.tokens(lo), lambda t: F.filter(F.array(*[found(lo, t, *x) for x in each]), lambda x: x.isNotNull())))
+    hits = docs.where(F.length(low) >= 10).select(key, F.explode_outer(every).alias("s"))  # outer: else a filter computes the array too
+    return hits.where("s is not null").select(key, "s.*")
 
 
 def merged(base: DataFrame, key: str, *components: DataFrame) -> DataFrame:
@@ -343,15 +347,42 @@ def tf_idf(terms: DataFrame, doc: str, term: str, n: str) -> DataFrame:
     return out.select(doc, term, tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("tf_idf"))
 
 
+#: Words whose document frequencies are broadcast.
+BROADCAST_WORDS = 500_000
+
+
+def text_tf_idf(docs: DataFrame, key: str, text: str, stop: list[str]) -> DataFrame:
+    """``tf_idf`` of the ``term_counts`` of texts. Where each key has one text, words are counted and summed
+    within their row; the documents of each word are counted and stored, and where there are not
+    more words than ``BROADCAST_WORDS`` they are broadcast, so that the counts themselves are never shuffled."""
+    if repeated_keys(docs, key):
+        return tf_idf(term_counts(docs, key, text, stop), key, "word", "n")
+    plain = F.filter(tx.run_lengths(tx.words(F.col(text))), lambda x: ~x["value"].rlike(r"\d") & ~x["value"].isin(*stop))
+    total = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    terms = exploded(docs, [key], tx.let(plain, lambda t: tx.let(total(t), lambda n: F.transform(t, lambda x: F.struct(x["value"].alias("word"), x["n"].alias("n"), n.alias("_all"))))))
+    path = scratch(docs.sparkSession, "frequencies")
+    terms.groupBy("word").agg(F.count(key).alias("_df")).write.parquet(path)
+    df = docs.sparkSession.read.parquet(path)
+    has = F.coalesce(F.exists(tx.words(F.col(text)), lambda w: ~w.rlike(r"\d") & ~w.isin(*stop)), F.lit(False))
+    n_docs = docs.where(F.col(key).isNotNull() & has).agg(F.count("*").alias("_docs"))
+    out = terms.where(F.col(key).isNotNull()).join(F.broadcast(df) if df.count() <= BROADCAST_WORDS else df, "word").crossJoin(F.broadcast(n_docs))
+    tf, idf = F.col("n") / F.col("_all"), F.log(F.col("_docs") / F.col("_df"))
+    return out.select(key, "word", tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("tf_idf"))
+
+
 def vocabulary(terms: DataFrame, term: str, n: str, least: int, most: int) -> DataFrame:
     """The most frequent terms of at least ``least`` occurrences."""
     return terms.groupBy(term).agg(F.sum(n).alias("total")).where(F.col("total") >= least).orderBy(F.desc("total"), term).limit(most)
 
 
 def term_counts(docs: DataFrame, key: str, text: str, stop: list[str]) -> DataFrame:
-    """Long document-term counts of words without digits and stop words."""
+    """Long document-term counts of words without digits and stop words. Where each key has one text,
+    words are counted within their row, and nothing is shuffled."""
+    plain = ~F.col("word").rlike(r"\d") & ~F.col("word").isin(*stop)
+    if not repeated_keys(docs, key):
+        return exploded(docs, [key], tx.run_lengths(tx.words(F.col(text)))).select(key, F.col("value").alias("word"), "n").where(plain)
     w = docs.select(key, F.explode(tx.words(F.col(text))).alias("word"))
-    return w.where(~F.col("word").rlike(r"\d") & ~F.col("word").isin(*stop)).groupBy(key, "word").agg(F.count("*").alias("n"))
+    return w.where(plain).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
 def nearest_names(names: DataFrame, key: str, name: str, candidates: DataFrame, candidate: str, order: str, most: float = 0.15, sql: bool = False) -> DataFrame:
@@ -382,6 +413,7 @@ def second_pass(docs: DataFrame, text: str, found: str, canonical: list[str], sy
     names = F.transform(phrases, lambda p: F.element_at(table, F.lower(F.regexp_replace(p, r"\s+", " "))))
     low = F.lower(text)
     against = [F.when(low.rlike(r.not_with), F.lit(r.name)) for r in rules if r.not_with]
+    against += [F.when(~low.rlike(r.needs), F.lit(r.name)) for r in rules if r.needs]
     kept = F.filter(names, lambda n: n.isNotNull())
     if against:
         kept = F.array_except(kept, F.filter(F.array(*against), lambda x: x.isNotNull()))
@@ -414,4 +446,3 @@ def everything(docs: DataFrame, key: str, text: str, *detectors) -> DataFrame:
     for d in detectors:
         out = d(out)
     return out.drop(text)
-    against += [F.when(~low.rlike(r.needs), F.lit(r.name)) for r in rules if r.needs]

@@ -125,9 +125,9 @@ def _statements(phrases: dict[str, list[str]]) -> str:
 
 
 _A = {"x": ["of the thing", "that the"]}
-register("STR27", f"{_statements(_A)} SELECT * FROM s WHERE similarity IS NOT NULL")(lambda s, d: ex.statements(docs(s, d), "id", "abstract", _A))
+register("STR27", f"{_statements(_A)} SELECT * FROM s WHERE similarity IS NOT NULL")(lambda s, d: ex.statements(docs(s, d), "id", "abstract", _A, sql=True))
 _B = {"a": ["of the", "that the"], "b": ["in the thing"]}
-register("EXT18", f"{_statements(_B)} SELECT category, phrase, count(*) AS n FROM s WHERE similarity IS NOT NULL GROUP BY 1, 2")(lambda s, d: tb.counted(ex.statements(docs(s, d), "id", "abstract", _B), "category", "phrase"))
+register("EXT18", f"{_statements(_B)} SELECT category, phrase, count(*) AS n FROM s WHERE similarity IS NOT NULL GROUP BY 1, 2")(lambda s, d: tb.counted(ex.statements(docs(s, d), "id", "abstract", _B, sql=True), "category", "phrase"))
 
 _PARTS = f"regexp_extract_all({_LOW}, '\\b(the|and|la|der)\\b') || CASE WHEN contains({_LOW}, 'of the') THEN ['of the'] ELSE [] END"
 register("EXT8", f"WITH {_ASCII}, p AS (SELECT id, {_PARTS} AS l FROM docs), u AS (SELECT id, list_filter(l, lambda x, i: list_position(l, x) = i) AS u FROM p) SELECT id, array_to_string(u, '; ') AS plant_parts_detected, len(u) AS parts_count, array_to_string(u, '; ') AS parts_normalized FROM u")(lambda s, d: ex.parts(_ascii(s, d), "abstract", ["the", "and", "la", "der"], ["of the"], {}).select("id", "plant_parts_detected", "parts_count", "parts_normalized"))

@@ -78,7 +78,7 @@ _terms = lambda s, d: ex.term_counts(texts(s, d), "id", "abstract", _STOP)  # no
 register("ML1", f"WITH {_TC}, v AS (SELECT word FROM tc GROUP BY 1 HAVING sum(n) >= 2 ORDER BY sum(n) DESC, word LIMIT 500) SELECT id, word, n FROM tc WHERE word IN (SELECT word FROM v)")(lambda s, d: (lambda t: t.join(F.broadcast(ex.vocabulary(t, "word", "n", 2, 500).select("word")), "word", "left_semi"))(_terms(s, d)))
 register("FLT9", f"WITH {DOCS}, w AS (SELECT id, {_WORDS.format(c='abstract')} AS t FROM docs), b AS (SELECT unnest(list_filter({_BI.format(t='t')}, lambda x: split_part(x, ' ', 1) NOT IN ('the', 'of', 'and', 'de', 'la') AND split_part(x, ' ', 2) NOT IN ('the', 'of', 'and', 'de', 'la'))) AS bigram FROM w) SELECT replace(bigram, ' ', '_') AS bigram, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 2")(lambda s, d: docs(s, d).select(F.explode(tx.ngrams(tx.words(F.col("abstract")), 2)).alias("b")).where(~F.split("b", " ")[0].isin(*_STOP) & ~F.split("b", " ")[1].isin(*_STOP)).groupBy(F.replace("b", F.lit(" "), F.lit("_")).alias("bigram")).agg(F.count("*").alias("n")).where("n >= 2"))
 register("SR6", f"WITH {_TC} SELECT word, CAST(sum(n) AS BIGINT) AS total FROM tc GROUP BY 1 HAVING sum(n) >= 5 ORDER BY total DESC, word LIMIT 100")(lambda s, d: ex.vocabulary(_terms(s, d), "word", "n", 5, 100))
-register("MTH8", f"WITH {_TC}, a AS (SELECT id, sum(n) AS total FROM tc GROUP BY 1), f AS (SELECT word, count(*) AS df FROM tc GROUP BY 1), nd AS (SELECT count(DISTINCT id) AS docs FROM tc) SELECT id, word, round(n / total, 6) AS tf, round(ln(docs / df), 6) AS idf FROM tc JOIN a USING (id) JOIN f USING (word) CROSS JOIN nd")(lambda s, d: ex.tf_idf(_terms(s, d), "id", "word", "n").select("id", "word", F.round("tf", 6).alias("tf"), F.round("idf", 6).alias("idf")))
+register("MTH8", f"WITH {_TC}, a AS (SELECT id, sum(n) AS total FROM tc GROUP BY 1), f AS (SELECT word, count(*) AS df FROM tc GROUP BY 1), nd AS (SELECT count(DISTINCT id) AS docs FROM tc) SELECT id, word, round(n / total, 6) AS tf, round(ln(docs / df), 6) AS idf FROM tc JOIN a USING (id) JOIN f USING (word) CROSS JOIN nd")(lambda s, d: ex.text_tf_idf(texts(s, d), "id", "abstract", _STOP).select("id", "word", F.round("tf", 6).alias("tf"), F.round("idf", 6).alias("idf")))
 register("ML3", f"WITH {_TC}, v AS (SELECT unnest(['est', 'that', 'zzz']) AS word), g AS (SELECT id, word FROM docs CROSS JOIN v) SELECT g.id, g.word, coalesce(n, 0) AS n FROM g LEFT JOIN tc ON g.id = tc.id AND g.word = tc.word")(lambda s, d: docs(s, d).select("id", F.explode(F.array(*map(F.lit, ["est", "that", "zzz"]))).alias("word")).join(_terms(s, d), ["id", "word"], "left").fillna(0, ["n"]))
 register("RS7", f"WITH {_TC} SELECT id, coalesce(max(n) FILTER (word = 'est'), 0) AS est, coalesce(max(n) FILTER (word = 'that'), 0) AS that FROM tc GROUP BY 1")(lambda s, d: tb.wider(_terms(s, d), ["id"], "word", "n", ["est", "that"]))
 register("RS8", f"WITH {_TC}, p AS (SELECT id, sum(n) AS n FROM tc WHERE word = 'that' GROUP BY 1) SELECT docs.id, CAST(coalesce(n, 0) AS BIGINT) AS n FROM docs LEFT JOIN p ON docs.id = p.id")(lambda s, d: docs(s, d).select("id").join(_terms(s, d).where("word = 'that'").groupBy("id").agg(F.sum("n").alias("n")), "id", "left").fillna(0, ["n"]))
