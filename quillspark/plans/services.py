@@ -27,22 +27,15 @@ def _records(s, d) -> DataFrame:
     year::VARCHAR AS year, source AS journal, regexp_replace(coalesce(abstract, ''), '{ILLEGAL}', '', 'g') AS abstract FROM docs""",
 )
 def pubmed(s, d):
-    """Ranges of years, XML pages, and a service that ends after so many records, so that ranges are halved."""
+    """Ranges of years, XML pages, and a service that ends after so many records, so that ranges are halved,
+    down to days of a year."""
     folder, window = fl.scratch(s, "service"), 10_000
-    halves = {r for first, last in YEARS for r in _halves(first, last)}
-    pg.record(_records(s, d), folder, "year", "id", sorted(halves), 200, pg.xml_answer)
-    read = pg.read_pages(s, "title string, authors string, doi string, year string, journal string, abstract string", FETCH, folder=folder, format="xml", first=1980, last=2024, years=5, limit=200, window=window)
+    dated = _records(s, d).withColumn("day", F.pmod(F.xxhash64("id"), F.lit(365)) + 1)
+    pg.record(dated, folder, "year", "id", YEARS, 200, pg.xml_answer, window, "day")
+    read = pg.read_pages(s, "title string, authors string, doi string, year string, journal string, abstract string", FETCH, folder=folder, format="xml", first=1980, last=2024, years=5, limit=200, window=window, days=True)
     return _good(read)
 
 
-def _halves(first: int, last: int):
-    yield first, last
-    if first < last:
-        middle = (first + last) // 2
-        yield from _halves(first, middle)
-        yield from _halves(middle + 1, last)
-
-
 def _good(read: DataFrame) -> DataFrame:
     """Records only; a failed request stops the query instead of missing silently."""
     checked = F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(" ", F.lit("failed:"), "request", "error"))).otherwise(F.lit(True))

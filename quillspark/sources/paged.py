@@ -10,7 +10,9 @@ dictionary with ``records`` (dictionaries), and ``total`` or ``next`` where the
   a row with ``error`` set and all fields null. With a known total the next page follows; else the
   rest of the range is open, and its ``request`` says so (``rest``).
 * Services that end at some offset (``window``) get a range of several years halved until its parts
-  fit; a single year with more is read as far as it goes, and the rest is a row with an error.
+  fit. Where the service takes ``days``, a single year with more is halved by its days (1 to 366, a
+  request then has the first as ``day`` and the last as ``until``). What can't be halved is read as
+  far as it goes, and the rest is a row with an error.
 * ``failed`` gives the open requests of an earlier reading; read again with ``requests`` they are
   the partitions, so that nothing else is fetched twice.
 
@@ -36,6 +38,7 @@ from quillspark.operators.tables import positioned
 
 Fetch = Callable[[dict, dict], dict]
 PAGINGS = ("total", "empty", "cursor")
+DAYS = 366
 
 
 class Refused(Exception):
@@ -62,9 +65,23 @@ def answered(fetch: Fetch, options: dict, request: dict) -> tuple[dict | None, s
     return None, error
 
 
+def halved(request: dict, days: bool) -> list[dict]:
+    """The two halves of a range of years or, with ``days``, of the days of a year; none where it is one year or day."""
+    first, last = request["from"], request["to"]
+    if first < last:
+        middle = (first + last) // 2
+        return [{"from": first, "to": middle}, {"from": middle + 1, "to": last}]
+    day, until = request.get("day", 1), request.get("until", DAYS)
+    if not days or day == until:
+        return []
+    middle = (day + until) // 2
+    return [{"from": first, "to": last, "day": a, "until": b} for a, b in ((day, middle), (middle + 1, until))]
+
+
 def pages(fetch: Fetch, options: dict, request: dict) -> Iterator[tuple[dict, list[dict], str | None]]:
     """(request, records, error) of each page from the request on, of that page alone if ``rest`` is false."""
     paging, window = options.get("paging", "total"), int(options.get("window", 0))
+    days = str(options.get("days", False)).lower() == "true"
     request, only, total = dict(request), request.get("rest") is False, None
     request.pop("rest", None)
     if paging == "cursor":
@@ -82,10 +99,10 @@ def pages(fetch: Fetch, options: dict, request: dict) -> Iterator[tuple[dict, li
             records, following = [], None
         else:
             records, following, total = answer.get("records") or [], answer.get("next"), answer.get("total", total)
-            if paging == "total" and window and total > window and request["offset"] == 0 and request["from"] < request["to"]:
-                middle = (request["from"] + request["to"]) // 2
-                yield from pages(fetch, options, {"from": request["from"], "to": middle})
-                yield from pages(fetch, options, {"from": middle + 1, "to": request["to"]})
+            halves = halved(request, days) if paging == "total" and window and total > window and request["offset"] == 0 else []
+            if halves:
+                for half in halves:
+                    yield from pages(fetch, options, half)
                 return
             yield request, records, None
         if only or paging == "empty" and not records or paging == "cursor" and not following:
@@ -164,6 +181,9 @@ def failed(df: DataFrame, most: int = 10_000) -> str:
 
 
 # --- recorded answers -------------------------------------------------------------------------
+RANGE = ("from", "to", "day", "until")
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -176,7 +196,7 @@ def recorded(options: dict, request: dict) -> dict:
     from pyarrow.fs import FileSelector
 
     fs, top = _filesystem(options["folder"])
-    page = f"{top}/page={request['from']}-{request['to']}-{request['offset']}"
+    page = f"{top}/page=" + "-".join(str(request[k]) for k in (*RANGE, "offset") if k in request)
     files = [f.path for f in fs.get_file_info(FileSelector(page)) if f.base_name.startswith("part-")]
     with fs.open_input_stream(files[0]) as f:
         text = f.read().decode()
@@ -204,23 +224,55 @@ def articles(xml: str) -> list[dict]:
     return out
 
 
-def record(df: DataFrame, folder: str, year: str, order: str, ranges: list[tuple[int, int]], limit: int, answer: Callable[[F.Column, F.Column], F.Column]) -> None:
+def asked(counts: dict[tuple[int, int], int], request: dict, window: int) -> Iterator[tuple[dict, int, bool]]:
+    """(request, total, whether its pages are read) of all requests of a reader that halves ranges beyond
+    the window, given the records of each year and day."""
+    bounds = request["from"], request["to"], request.get("day", 1), request.get("until", DAYS)
+    within = {k: n for k, n in counts.items() if bounds[0] <= k[0] <= bounds[1] and bounds[2] <= k[1] <= bounds[3]}
+    total = sum(within.values())
+    halves = halved(request, True) if total > window else []
+    yield request, total, not halves
+    for half in halves:
+        yield from asked(within, half, window)
+
+
+def record(df: DataFrame, folder: str, year: str, order: str, ranges: list[tuple[int, int]], limit: int, answer: Callable[[F.Column, F.Column], F.Column], window: int = 0, day: str | None = None) -> None:
     """Write the answers of a service over the rows to a folder, one file a page; ``answer`` makes a
     page's text of its rows (an array of structs in order) and the range's total. Each range also
-    gets the page behind its last, which is empty."""
+    gets the page behind its last, which is empty. With ``window`` and ``day`` (the column of the day
+    within the year, 1 to 366), these are the answers to a reader that halves ranges: each row is
+    written once, and a range beyond the window is answered by its total alone."""
     spark = df.sparkSession
-    wanted = spark.createDataFrame(ranges, "_from long, _to long")
-    placed = df.join(F.broadcast(wanted), F.col(year).between(F.col("_from"), F.col("_to")))
-    at = positioned(placed, ["_from", "_to", order], "_at")
-    starts_at = at.groupBy("_from", "_to").agg(F.min("_at").alias("_first"), F.count("*").alias("_total"))
+    name = F.concat_ws("-", *[f"_{k}" for k in RANGE]).alias("_asked")
+    kind = ", ".join(f"_{k} long" for k in RANGE)
+    table = lambda found: [tuple(r.get(k) for k in RANGE) for r in found]
+    requests = [{"from": a, "to": b} for a, b in ranges]
+    if window and day:
+        # as many counts as days
+        counts = {(r[0], r[1]): r[2] for r in df.where(F.col(year).isNotNull()).groupBy(year, day).agg(F.count("*")).collect()}
+        found = [x for r in requests for x in asked(counts, r, window)]
+        requests, wide = [r for r, _, read in found if read], [(*table([r])[0], n) for r, n, read in found if not read]
+        wanted = spark.createDataFrame(table(requests), kind)
+        dates = wanted.select(name, F.explode(F.sequence("_from", "_to")).alias("_y"), F.coalesce("_day", F.lit(1)).alias("_d"), F.coalesce("_until", F.lit(DAYS)).alias("_u"))
+        dates = dates.select("_asked", "_y", F.explode(F.sequence("_d", "_u")).alias("_d"))
+        placed = df.join(F.broadcast(dates), (F.col(year) == F.col("_y")) & (F.col(day) == F.col("_d"))).drop("_y", "_d")
+    else:
+        wanted = spark.createDataFrame(table(requests), kind)
+        placed = df.join(F.broadcast(wanted.select(name, "_from", "_to")), F.col(year).between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
+        wide = []
+    at = positioned(placed, ["_asked", order], "_at")
+    starts_at = at.groupBy("_asked").agg(F.min("_at").alias("_first"), F.count("*").alias("_total"))
     offset = (F.floor((F.col("_at") - F.col("_first")) / limit) * limit).alias("_offset")
     columns = F.struct(F.col(order).alias("_order"), *df.columns)
-    grouped = at.join(F.broadcast(starts_at), ["_from", "_to"]).groupBy("_from", "_to", offset).agg(F.sort_array(F.collect_list(columns)).alias("_rows"))
-    totals = wanted.join(starts_at.drop("_first"), ["_from", "_to"], "left").withColumn("_total", F.coalesce("_total", F.lit(0)))
+    grouped = at.join(F.broadcast(starts_at), "_asked").groupBy("_asked", offset).agg(F.sort_array(F.collect_list(columns)).alias("_rows"))
+    totals = wanted.select(name).join(starts_at.drop("_first"), "_asked", "left").withColumn("_total", F.coalesce("_total", F.lit(0)))
     starts = totals.withColumn("_offset", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_total") / limit) * limit, F.lit(limit).cast("long"))))
-    full = starts.join(grouped, ["_from", "_to", "_offset"], "left")
+    if wide:
+        beyond = spark.createDataFrame(wide, f"{kind}, _total long").select(name, "_total", F.lit(0).cast("long").alias("_offset"))
+        starts = starts.unionByName(beyond)
+    full = starts.join(grouped, ["_asked", "_offset"], "left")
     text = answer(F.coalesce("_rows", F.array().cast(grouped.schema["_rows"].dataType)), F.col("_total"))
-    full.select(F.concat_ws("-", "_from", "_to", "_offset").alias("page"), text.alias("value")).write.partitionBy("page").text(folder)
+    full.select(F.concat_ws("-", "_asked", "_offset").alias("page"), text.alias("value")).write.partitionBy("page").text(folder)
 
 
 def json_answer(rows: F.Column, total: F.Column) -> F.Column:
