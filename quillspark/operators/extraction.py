@@ -397,9 +397,11 @@ def bigram_counts(docs: DataFrame, key: str, text: str, stop: list[str], least:
     """Long document-bigram counts without digits and stop words, of the bigrams that all documents
     together have ``least`` times; a document without any has one row: no bigram, 0 times."""
     plain = lambda x: ~x.rlike(r"\p{Nd}") & ~F.substring_index(x, "_", 1).isin(*stop) & ~F.substring_index(x, "_", -1).isin(*stop)
-    counts = docs.select(key, F.explode(F.filter(tx.ngrams(tx.words(F.col(text)), 2, "_"), plain)).alias("bigram")).groupBy(key, "bigram").agg(F.count("*").alias("n"))
-    often = counts.groupBy("bigram").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
-    return docs.select(key).distinct().join(counts.join(often, "bigram", "left_semi"), key, "left").select(key, "bigram", F.coalesce("n", F.lit(0)).alias("n"))
+    # counted where the text is; then each row is shuffled once by its bigram and, if that is frequent, once by its key
+    counts = docs.select(key, F.inline(tx.run_lengths(F.filter(tx.ngrams(tx.words(F.col(text)), 2, "_"), plain))).alias("bigram", "n"))
+    often = counts.withColumn("all", F.sum("n").over(Window.partitionBy("bigram"))).where(F.col("all") >= least).drop("all")
+    # rows that share a key are one document
+    return docs.select(key).distinct().join(often, key, "left").groupBy(key, "bigram").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 # --- second pass, groups, join-back -------------------------------------------------------------
