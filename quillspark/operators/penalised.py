@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +36,8 @@ from quillspark.operators.tables import draw, running, shared_folder
 ROUNDS, STEPS, TOLERANCE = 12, 40, 1e-4
 #: Tasks that add up gradients before the driver does.
 ADDERS = 8
+#: Rows whose words or terms are Python objects, or a dense block, at a time.
+ROWS = 500
 
 
 @dataclass
@@ -62,19 +65,8 @@ def matrix(docs: DataFrame, key: str, text: str, label: str, features: int = 2_0
     terms = [r.term for r in often.orderBy(F.desc("count"), "term").limit(features).collect()]
     place = spark.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
 
-    def counted(batches):
-        from collections import Counter
-
-        for batch in batches:
-            at, n = [], []
-            for found in batch.column(3).to_pylist():
-                c = sorted(Counter(place.value[w] for w in found if w in place.value).items())
-                at.append([i for i, _ in c])
-                n.append([float(k) for _, k in c])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], ["key", "label", "folds", "at", "n"])
-
     path = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
-    rows.mapInArrow(counted, "key string, label int, folds array<int>, at array<int>, n array<float>").write.parquet(path)
+    rows.mapInArrow(lambda batches: _counted(batches, place.value), "key string, label int, folds array<int>, at array<int>, n array<float>").write.parquet(path)
     stored = spark.read.parquet(path)
     size = stored.count()
     if not size:
@@ -87,6 +79,17 @@ def matrix(docs: DataFrame, key: str, text: str, label: str, features: int = 2_0
     return Matrix(stored, terms, mean, deviation, size, repeats, folds)
 
 
+def _counted(batches: Iterable[pa.RecordBatch], place: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Rows with the places and counts of their terms, ``ROWS`` at a time."""
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        at, n = [], []
+        for found in batch.column(3).to_pylist():
+            c = sorted(Counter(place[w] for w in found if w in place).items())
+            at.append([i for i, _ in c])
+            n.append([float(k) for _, k in c])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], ["key", "label", "folds", "at", "n"])
+
+
 def _dense(batch: pa.RecordBatch, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Rows with their centred and scaled terms and a last column of ones."""
     at, n = batch.column(3), batch.column(4)
@@ -112,8 +115,8 @@ def _summed(m: Matrix, width: int, run) -> np.ndarray:
     def each(batches):
         total = np.zeros((height, width))
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                total += run(batch.slice(i, 500))
+            for i in range(0, batch.num_rows, ROWS):
+                total += run(batch.slice(i, ROWS))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
 
     def both(batches):
@@ -178,8 +181,8 @@ def scored(m: Matrix, coefficients: dict[tuple[int, int, float, float], np.ndarr
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                b = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, ROWS):
+                b = batch.slice(i, ROWS)
                 p = 1 / (1 + np.exp(-np.clip(_dense(b, mean, scale) @ w.value, -30, 30)))
                 row, at = np.nonzero(~_trains(b, models))
                 kinds = (pa.float64(), pa.float64(), pa.int32(), pa.int32())
