@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,14 +12,17 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from quillspark.functions.text import words
 from quillspark.operators.neighbours import nearest_rows
-from quillspark.operators.tables import draw
+from quillspark.operators.tables import draw, shared_folder
 
 
 def terms(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("terms", F.coalesce(words(F.col(text)), F.array().cast("array<string>")))
+    """Add ``terms``, the words of a column of texts, or that column where it has words already."""
+    found = F.col(text) if isinstance(docs.select(text).schema[0].dataType, ArrayType) else words(F.col(text))
+    return docs.withColumn("terms", F.coalesce(found, F.array().cast("array<string>")))
 
 
 def elastic_net(train: DataFrame, text: str, label: str, features: int = 2_000, mixing: float = 0.5, penalty: float = 0.01, rounds: int = 20):
@@ -69,15 +73,21 @@ def cross_validated(train: DataFrame, text: str, label: str, key: str, grid: Seq
 
 
 def learning_curve(train: DataFrame, test: DataFrame, text: str, label: str, key: str, shares: Sequence[float], fit=None, seed: int = 1) -> DataFrame:
-    """share, n, accuracy of a model fitted on the first draws of that share of the training rows."""
+    """share, n, accuracy of a model fitted on the first draws of that share of the training rows. Rows are
+    stored once, as a fit passes over them several times; the learners here get words for texts."""
     fit = fit or elastic_net
-    out = []
+    spark, out = train.sparkSession, []
+    path = f"{shared_folder(spark)}/curve-{uuid.uuid4().hex}"
+    for name, df in (("train", train), ("test", test)):
+        kept = terms(df, text).withColumn(text, F.col("terms")).drop("terms") if fit in (elastic_net, linear_svm, forest, boosted) else df
+        kept.write.parquet(f"{path}/{name}")
+    train, test = (spark.read.parquet(f"{path}/{name}") for name in ("train", "test"))
     for s in shares:
         some = train.where(draw(key, seed) < int(s * 2**52))
         scored = fit(some, text, label).transform(terms(test, text))
         right = scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
         out.append((s, some.count(), right))
-    return train.sparkSession.createDataFrame(out, "share double, n long, accuracy double")
+    return spark.createDataFrame(out, "share double, n long, accuracy double")
 
 
 def coefficients(model) -> DataFrame:
