@@ -204,13 +204,18 @@ COORDINATES = [
     r"\b\d{8}[NS][EW]\b",
 ]
 
+#: How each of the forms begins: at other places none of them is tried.
+COORDINATES_START = r"(?=-?\d|[(\[]\s*+-?\d|[NS]\d|[a-zA-Z]{2}(?:\s*+|-)\d)"
+
+
 def has_coordinates(c: Column) -> Column:
     """Whether any of all matches is possible: of two or more numbers one is at most 90, a single
     one at most 180, or a grid reference from 100,000 on. No text has none."""
-    hits = F.regexp_extract_all(c, F.lit("(?U)" + "|".join(COORDINATES)), F.lit(0))
+    hits = F.regexp_extract_all(c, F.lit(f"(?U){COORDINATES_START}(?:{'|'.join(COORDINATES)})"), F.lit(0))
     numbers = lambda hit: F.transform(F.regexp_extract_all(hit, F.lit(r"-?\d+\.?\d*"), F.lit(0)), lambda x: x.try_cast("double"))
     possible = lambda n: F.when(F.size(n) >= 2, F.exists(n, lambda x: F.abs(x) <= 90)).otherwise(F.exists(n, lambda x: (F.abs(x) <= 180) | (x >= 100_000)))
-    return F.coalesce(F.exists(hits, lambda hit: possible(numbers(hit))), F.lit(False))
+    # every form has a digit
+    return F.when(c.rlike(r"(?U)\d"), F.coalesce(F.exists(hits, lambda hit: possible(numbers(hit))), F.lit(False))).otherwise(False)
 
 
 def geographic_summary(countries: Column, continents: Column, regions: Column) -> Column:
