@@ -157,14 +157,14 @@ def _(s, d):
     to, c = fl.scratch(s, "csv"), table(s, d, "customer")
     fl.write_csv(c.where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_mktsegment"), f"{to}/a")
     fl.write_csv(c.where("c_custkey % 2 = 1").select("c_name", "c_custkey"), f"{to}/b")
-    return fl.read_delimited(s, f"{to}/*").select("c_custkey", "c_name", "c_mktsegment")
+    return fl.read_delimited(s, f"{to}/*", empties=True).select("c_custkey", "c_name", "c_mktsegment")
 
 
 @register("SRC1", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
 def _(s, d):
     to = fl.scratch(s, "tsv")
-    table(s, d, "nation").write.csv(to, sep="\t", header=True)
-    return fl.read_delimited(s, to, sep="\t", columns=["n_nationkey", "n_name", "n_missing"])
+    fl.write_csv(table(s, d, "nation"), to, sep="\t")
+    return fl.read_delimited(s, to, sep="\t", columns=["n_nationkey", "n_name", "n_missing"], empties=True)
 
 
 @register("SRC10", "SELECT min(p_partkey) AS p_partkey FROM part WHERE lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size = 7) GROUP BY p_name")

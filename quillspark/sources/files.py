@@ -15,12 +15,17 @@ def files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found) if found else []
 
 
-def read_delimited(spark: SparkSession, pattern: str, sep: str = ",", encoding: str = "UTF-8", columns: list[str] | None = None) -> DataFrame:
-    """All files of a pattern as strings, bound by name: headers may differ."""
+def read_delimited(spark: SparkSession, pattern: str, sep: str = ",", encoding: str = "UTF-8", columns: list[str] | None = None, empties: bool = False) -> DataFrame:
+    """All files of a pattern as strings, bound by name: headers may differ. Empty values are null; with
+    ``empties``, those in quotes are empty texts, as ``write_csv`` writes them."""
+    import uuid
+
     paths = files(spark, pattern)
     if not paths:
         raise FileNotFoundError(f"no file matches {pattern}")
-    one = lambda p: spark.read.csv(p, sep=sep, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', encoding=encoding)
+    null = uuid.uuid4().hex if empties else ""  # what an empty value without quotes becomes, and then null; no text is equal to it
+    # without charToEscapeQuoteEscaping, Spark's parser loses the character 0 in quotes
+    one = lambda p: spark.read.csv(p, sep=sep, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', charToEscapeQuoteEscaping='"', encoding=encoding, nullValue=null)
     out = bind_rows(*map(one, paths))
     return present(out, columns) if columns else out
 
@@ -46,8 +51,9 @@ def read_taxonomy(spark: SparkSession, path: str, kingdoms: list[str], ranks: li
     return out.where(F.col("kingdom").isin(*kingdoms) & F.col("taxonRank").isin(*ranks))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """Values as they are, blanks and line ends around them too; nulls are empty, empty texts a pair of quotes."""
+    df.write.mode("overwrite").csv(path, sep=sep, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def checkpointed(df: DataFrame, path: str, again: bool = False) -> DataFrame:
