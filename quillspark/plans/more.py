@@ -28,7 +28,7 @@ register("SRC3", "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FRO
 register("SRC4", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents")(lambda s, d: fl.read_delimited(s, _csv(s, table(s, d, "documents")), columns=["doc_id", "text"], empties=True))
 register("SRC5", "SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS name")(lambda s, d: (lambda c: s.range(1).select(F.explode(F.array(*map(F.lit, c))).alias("name")))(fl.read_delimited(s, _csv(s, table(s, d, "nation"))).columns))
 register("SRC6", "SELECT r_name FROM region")(lambda s, d: fl.read_first(s, fl.scratch(s, "none"), _csv(s, table(s, d, "region")), empties=True).select("r_name"))
-register("SRC7", "SELECT doc_id, text FROM documents")(lambda s, d: fl.read_with_fallback(s, _csv(s, table(s, d, "documents").select("doc_id", "text"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+register("SRC7", "SELECT doc_id, text FROM documents")(lambda s, d: fl.read_with_fallback(s, _csv(s, table(s, d, "documents").select("doc_id", "text")), empties=True).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 register("SRC9", "SELECT p_name FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') AND p_type IN ('ECONOMY', 'STANDARD', 'PROMO', 'LARGE', 'SMALL', 'MEDIUM')")(lambda s, d: (lambda to: (table(s, d, "part").select("p_name", F.col("p_brand").alias("kingdom"), F.col("p_type").alias("taxonRank")).write.csv(to, sep="\t", header=True), fl.read_taxonomy(s, to, ["Brand#1", "Brand#2"], ["ECONOMY", "STANDARD", "PROMO", "LARGE", "SMALL", "MEDIUM"]).select("p_name"))[1])(fl.scratch(s, "tax")))
 register("SNK1", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer")(lambda s, d: fl.read_delimited(s, _csv(s, table(s, d, "customer").select("c_custkey", "c_name")), empties=True))
 register("PRJ8", "SELECT n_nationkey, n_name FROM nation")(lambda s, d: tb.first_names(table(s, d, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("n_nationkey"), F.lit("").alias("n_name"))))

@@ -39,9 +39,9 @@ def read_first(spark: SparkSession, *patterns: str, **options) -> DataFrame:
 
 
 def read_with_fallback(spark: SparkSession, pattern: str, **options) -> DataFrame:
-    """UTF-8, or Latin-1 where the UTF-8 reading has replacement characters."""
+    """UTF-8, or Latin-1 where the bytes of the files aren't UTF-8."""
     out = read_delimited(spark, pattern, **options)
-    if out.where(F.exists(F.array(*out.columns), lambda x: F.contains(x, F.lit("�")))).limit(1).count():
+    if spark.read.text(files(spark, pattern)).where(~F.is_valid_utf8("value")).limit(1).count():
         return read_delimited(spark, pattern, encoding="ISO-8859-1", **options)
     return out
 

@@ -7,7 +7,7 @@ import pytest
 from quillspark.plans import catalogue
 from quillspark.sources import files as fl
 
-TEXTS = [None, "", " ", "  a", "a ", "\ta\t", "\n", "\na", "a\n", "\r", "a\rb", "a\r\n", "\r\n" * 50_000, '"', '""', ' "a" ', '\r"y', 'a "b", c', "\\", 'a\\"b', "#a", "\x00", '\x00"a\nb', "a,\x00\x00", '\x00""\x00,"\x00', "\x01\x0b", "null", "\ufeffa", "\xa0a\u2028", "Müller"]
+TEXTS = [None, "", " ", "  a", "a ", "\ta\t", "\n", "\na", "a\n", "\r", "a\rb", "a\r\n", "\r\n" * 50_000, '"', '""', ' "a" ', '\r"y', 'a "b", c', "\\", 'a\\"b', "#a", "\x00", '\x00"a\nb', "a,\x00\x00", '\x00""\x00,"\x00', "\x01\x0b", "null", "\ufeffa", "a\ufffdb", "\xa0a\u2028", "Müller"]
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +25,19 @@ def test_pruned(spark, awkward):
     assert sorted((int(r.doc_id), r.text) for r in got) == awkward[1]
 
 
+def test_replacement_characters_of_a_text_are_utf8(spark, awkward):
+    got = catalogue.queries()["SRC7"](spark, awkward[0]).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == awkward[1]
+
+
+def test_bytes_decide_the_encoding(spark, tmp_path):
+    read = lambda name, data: ((tmp_path / name).write_bytes(data), [tuple(r) for r in fl.read_with_fallback(spark, f"{tmp_path}/{name}").collect()])[1]
+    assert read("u.csv", 'k,t\n1,"a\ufffd\nü"\n'.encode()) == [("1", "a\ufffd\nü")]
+    assert read("l.csv", 'k,t\n1,"a\nü"\n2,\xc3b\n'.encode("latin-1")) == [("1", "a\nü"), ("2", "\xc3b")]
+    (tmp_path / "h.csv").write_bytes("k,ü\n1,a\n".encode("latin-1"))
+    assert fl.read_with_fallback(spark, f"{tmp_path}/h.csv").columns == ["k", "ü"]
+
+
 def test_other_separator(spark, tmp_path):
     rows = [(str(i), t) for i, t in enumerate(["a\tb", " ", "", None, "c\n"])]
     fl.write_csv(spark.createDataFrame(rows, "k string, t string"), f"{tmp_path}/out", sep="\t")
